@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, near_dup
+from . import license_scan, line_dedup, near_dup, toxicity, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,7 +21,31 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_near_dup, op4_line_dedup)}
+#: host, path, verdict
+URL_RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "block"), ("example.net", "/de/8", "allow"), ("org", "/es/", "block")]
+
+
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return url_filter.judge_urls(_table(spark, sf_dir, "pages").select("page_id", "url"), rules).drop("url")
+
+
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan_licenses(_table(spark, sf_dir, "documents"))
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = toxicity.score(docs, toxicity.fit(docs, _table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+QUERIES = {f.__name__: f for f in (op1_near_dup, op3_url_filter, op4_line_dedup, op5_license_scan, op7_toxicity)}
+
+_RULE_ROWS = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)
+_TEMPLATE_ROWS = ", ".join(f"('{label}', '{text}')" for label, text in license_scan.TEMPLATES.items())
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = "'[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'"
 
 #: All links by an equi-join of sets on shared shingles; components by iterated minima.
 ORACLES = {
@@ -65,5 +89,50 @@ marked AS (SELECT keyed.*, coalesce(doc_id < most, false) AS gone FROM keyed LEF
 SELECT doc_id, count(*)::BIGINT AS n_lines, (count(*) FILTER (gone))::BIGINT AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
 FROM marked GROUP BY doc_id
+""",
+    "op3_url_filter": f"""
+WITH rules(r_host, r_path, r_verdict) AS (VALUES {_RULE_ROWS}),
+parts AS (
+  SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, position('://' IN url) + 3) ELSE '' END AS rest FROM pages),
+named AS (
+  SELECT page_id, {_LOWER.format("regexp_extract(rest, '^[^/?#]*')")} AS host,
+         regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path
+  FROM parts),
+fits AS (
+  SELECT page_id, arg_max(r_host || r_path, length(r_host || r_path)) AS rule, arg_max(r_verdict, length(r_host || r_path)) AS r_verdict
+  FROM named JOIN rules ON (host = r_host OR ends_with(host, '.' || r_host)) AND starts_with(path, r_path)
+  GROUP BY page_id)
+SELECT page_id, host, path, rule, coalesce(r_verdict, 'allow') AS verdict FROM named LEFT JOIN fits USING (page_id)
+""",
+    "op5_license_scan": f"""
+WITH words AS (
+  SELECT doc_id, line_no, unnest(regexp_extract_all({_LOWER.format("line")}, {_WORDS})) AS w,
+         generate_subscripts(regexp_extract_all({_LOWER.format("line")}, {_WORDS}), 1) AS k
+  FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+               generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS line_no FROM documents)),
+placed AS (
+  SELECT *, row_number() OVER o - 1 AS spot, lead(w) OVER o AS w1, lead(w, 2) OVER o AS w2
+  FROM words WINDOW o AS (PARTITION BY doc_id ORDER BY line_no, k)),
+base AS (
+  SELECT doc_id, spot, CASE WHEN w = 'cc' AND w1 = 'by' THEN 'cc-by'
+    WHEN w = 'general' AND w1 = 'public' AND w2 = 'license' THEN 'gpl'
+    WHEN w = 'all' AND w1 = 'rights' AND w2 = 'reserved' THEN 'reserved' END AS label
+  FROM placed),
+templates(label, t) AS (VALUES {_TEMPLATE_ROWS}),
+wanted AS (SELECT DISTINCT label, unnest(regexp_extract_all(lower(t), {_WORDS})) AS w FROM templates),
+blocks AS (SELECT DISTINCT doc_id, line_no, w FROM words),
+shares AS (
+  SELECT doc_id, line_no, label, count(*) / any_value(n) AS share, count(*) AS c, any_value(n) AS n
+  FROM blocks JOIN wanted USING (w) JOIN (SELECT label, count(*) AS n FROM wanted GROUP BY label) USING (label) GROUP BY ALL),
+met AS (SELECT doc_id, label, share FROM shares WHERE 100 * c >= 80 * n
+  UNION ALL SELECT doc_id, label, 1.0 FROM base WHERE label IS NOT NULL),
+found AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(share) AS score FROM met GROUP BY doc_id),
+counted AS (
+  SELECT doc_id, count(*) AS n_words, count(label) AS n_base, min(spot) FILTER (label IS NOT NULL) AS first_word,
+         max(spot) FILTER (label IS NOT NULL) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels
+  FROM base GROUP BY doc_id)
+SELECT doc_id, coalesce(n_words, 0)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word, last_word,
+       coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0)::DOUBLE AS score
+FROM documents LEFT JOIN counted USING (doc_id) LEFT JOIN found USING (doc_id)
 """,
 }
