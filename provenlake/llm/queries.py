@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import license_scan, line_dedup, near_dup, toxicity, url_filter
+from . import decontaminate, license_scan, line_dedup, mixing, near_dup, toxicity, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,7 +40,19 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op1_near_dup, op3_url_filter, op4_line_dedup, op5_license_scan, op7_toxicity)}
+#: Target weights of the mix; sources not named share the rest.
+SOURCE_WEIGHTS = {"src0": 6, "src1": 4, "src2": 3, "src3": 2, "other": 9}
+
+
+def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_sources(_table(spark, sf_dir, "documents").select("doc_id", "source"), SOURCE_WEIGHTS)
+
+
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated_pairs(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op1_near_dup, op3_url_filter, op4_line_dedup, op5_license_scan, op7_toxicity, op9_mix_sources, op10_decontaminate)}
 
 _RULE_ROWS = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)
 _TEMPLATE_ROWS = ", ".join(f"('{label}', '{text}')" for label, text in license_scan.TEMPLATES.items())
@@ -134,5 +146,36 @@ counted AS (
 SELECT doc_id, coalesce(n_words, 0)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word, last_word,
        coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0)::DOUBLE AS score
 FROM documents LEFT JOIN counted USING (doc_id) LEFT JOIN found USING (doc_id)
+""",
+    "op10_decontaminate": f"""
+WITH masks(k, mask) AS (VALUES (0, '1101011'), (1, '11100101'), (2, '100110011')),
+d AS (SELECT doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, {_WORDS}) AS w FROM documents),
+b AS (SELECT item_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, {_WORDS}) AS w FROM benchmark),
+d_spots AS (SELECT doc_id, w, unnest(range(0, len(w))) AS p FROM d),
+b_spots AS (SELECT item_id, w, unnest(range(0, len(w))) AS p FROM b WHERE len(w) >= 7),
+d_seeds AS (
+  SELECT doc_id, p, k, array_to_string(list_transform(list_filter(range(0, len(mask)), lambda x: mask[x + 1] = '1'), lambda x: w[p + x + 1]), ' ') AS g
+  FROM d_spots JOIN masks ON p + len(mask) <= len(w)),
+b_seeds AS (
+  SELECT item_id, p, k, array_to_string(list_transform(list_filter(range(0, len(mask)), lambda x: mask[x + 1] = '1'), lambda x: w[p + x + 1]), ' ') AS g
+  FROM b_spots JOIN masks ON p + len(mask) <= len(w)
+  UNION ALL
+  SELECT item_id, 0, 100 + len(w), array_to_string(w, ' ') FROM b WHERE len(w) IN (5, 6)),
+d_short AS (
+  SELECT doc_id, p, 100 + n AS k, array_to_string(w[p + 1 : p + n], ' ') AS g
+  FROM d_spots JOIN (SELECT DISTINCT len(w) AS n FROM b WHERE len(w) IN (5, 6)) ON p + n <= len(w)),
+lines AS (
+  SELECT DISTINCT doc_id, item_id, x.p - y.p AS shift
+  FROM (SELECT * FROM d_seeds UNION ALL SELECT * FROM d_short) x JOIN b_seeds y USING (k, g)),
+agree AS (
+  SELECT doc_id, item_id, shift, b.w AS i_w, unnest(range(0, len(b.w))) AS p, d.w AS d_w
+  FROM lines JOIN d USING (doc_id) JOIN b USING (item_id)),
+runs AS (
+  SELECT doc_id, item_id, p, least(20, len(i_w)) AS n, len(i_w) AS size,
+         sum(CASE WHEN p + shift BETWEEN 0 AND len(d_w) - 1 AND d_w[p + shift + 1] = i_w[p + 1] THEN 1 ELSE 0 END)
+           OVER (PARTITION BY doc_id, item_id, shift ORDER BY p ROWS BETWEEN CURRENT ROW AND 19 FOLLOWING) AS m
+  FROM agree)
+SELECT doc_id, item_id, any_value(n)::BIGINT AS window_tokens, max(m)::BIGINT AS matched
+FROM runs WHERE p <= size - n GROUP BY doc_id, item_id HAVING 100 * max(m) >= 80 * any_value(n)
 """,
 }
