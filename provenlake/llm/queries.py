@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, license_scan, line_dedup, mixing, near_dup, toxicity, url_filter
+from . import decontaminate, license_scan, line_dedup, lm_score, mixing, near_dup, toxicity, url_filter, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,14 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op2_warc_derive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = warc.derive_records(warc.responses_from_pages(_table(spark, sf_dir, "pages")))
+    return records.select(
+        "page_id", "record_type", "new_id", "refers_to", "concurrent_to", "target_uri", "content_length", "block_digest", "payload_digest", "source_digest",
+        F.sha2("warc_header", 256).alias("header_sha256"),
+    )
+
+
 #: host, path, verdict
 URL_RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "block"), ("example.net", "/de/8", "allow"), ("org", "/es/", "block")]
 
@@ -40,6 +48,11 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    good = _table(spark, sf_dir, "labels").filter("quality = 1").select("doc_id")
+    return lm_score.score_documents(_table(spark, sf_dir, "documents"), good)
+
+
 #: Target weights of the mix; sources not named share the rest.
 SOURCE_WEIGHTS = {"src0": 6, "src1": 4, "src2": 3, "src3": 2, "other": 9}
 
@@ -52,11 +65,31 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated_pairs(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_near_dup, op3_url_filter, op4_line_dedup, op5_license_scan, op7_toxicity, op9_mix_sources, op10_decontaminate)}
+QUERIES = {f.__name__: f for f in (
+    op1_near_dup, op2_warc_derive, op3_url_filter, op4_line_dedup, op5_license_scan, op6_lm_score, op7_toxicity, op9_mix_sources, op10_decontaminate,
+)}
 
 _RULE_ROWS = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)
 _TEMPLATE_ROWS = ", ".join(f"('{label}', '{text}')" for label, text in license_scan.TEMPLATES.items())
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def _sql_text(html: str) -> str:
+    """The steps of warc.html_text as one DuckDB expression."""
+    text = f"regexp_replace({html}, '(?s)<!--.*?-->', ' ', 'g')"
+    for name in warc.SILENT:
+        text = f"regexp_replace({text}, '(?is)<{name}\\b[^>]*>.*?</{name}\\s*>', ' ', 'g')"
+    text = f"regexp_replace(regexp_replace({text}, '(?i)</?(?:{warc.BREAKS})\\b[^>]*>', chr(10), 'g'), '<[^>]*>', '', 'g')"
+    for entity, char in warc.ENTITIES:
+        text = "replace({}, '{}', '{}')".format(text, entity.replace("'", "''"), char.replace("'", "''"))
+    text = f"regexp_replace({text}, '[ \\t\\r\\x0B\\f]+', ' ', 'g')"
+    return f"trim(regexp_replace({text}, ' ?\\n[ \\n]*', chr(10), 'g'), ' ' || chr(10))"
+
+
+def _sql_uuid(*parts: str) -> str:
+    return "'<urn:uuid:' || regexp_replace(md5(concat_ws(chr(10), {})), '^(.{{8}})(.{{4}})(.{{4}})(.{{4}})(.{{12}})$', '\\1-\\2-\\3-\\4-\\5') || '>'".format(", ".join(parts))
+
+
 _WORDS = "'[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'"
 
 #: All links by an equi-join of sets on shared shingles; components by iterated minima.
@@ -177,5 +210,34 @@ runs AS (
   FROM agree)
 SELECT doc_id, item_id, any_value(n)::BIGINT AS window_tokens, max(m)::BIGINT AS matched
 FROM runs WHERE p <= size - n GROUP BY doc_id, item_id HAVING 100 * max(m) >= 80 * any_value(n)
+""",
+    "op2_warc_derive": f"""
+WITH crlf AS (SELECT chr(13) || chr(10) AS e),
+responses AS (
+  SELECT page_id, coalesce(url, '') AS uri, coalesce(html, '') AS payload, e,
+         {_sql_uuid("'response'", "coalesce(page_id::VARCHAR, '')", "coalesce(url, '')", "md5(coalesce(html, ''))")} AS refers_to,
+         'Content-Type: text/html; charset=utf-8' || e || 'Content-Length: ' || octet_length(encode(coalesce(html, '')))::VARCHAR || e AS fields
+  FROM pages, crlf),
+facts AS (
+  SELECT *, 'sha256:' || sha256(payload) AS payload_digest, 'sha256:' || sha256('HTTP/1.1 200 OK' || e || fields || e || payload) AS source_digest,
+         {_sql_uuid("'metadata'", "refers_to")} AS metadata_id, {_sql_uuid("'conversion'", "refers_to")} AS conversion_id,
+         {_sql_text("payload")} AS text, {_sql_text("regexp_extract(payload, '(?is)<title" + chr(92) + "b[^>]*>(.*?)</title', 1)")} AS title,
+         regexp_extract(payload, '(?i)<html\\b[^>]*\\blang=["'']?([A-Za-z-]+)', 1) AS language
+  FROM responses),
+made AS (
+  SELECT page_id, 'metadata' AS record_type, metadata_id AS new_id, refers_to, conversion_id AS concurrent_to, uri AS target_uri, payload_digest, source_digest, e,
+         'application/warc-fields' AS content_type,
+         'title: ' || replace(title, chr(10), ' ') || e || 'language: ' || language || e || 'source-payload-digest: ' || payload_digest || e
+           || 'source-block-digest: ' || source_digest || e || 'http-HTTP/1.1 200 OK' || e || 'http-' || replace(rtrim(fields, e), e, e || 'http-') || e AS block
+  FROM facts
+  UNION ALL
+  SELECT page_id, 'conversion', conversion_id, refers_to, metadata_id, uri, payload_digest, source_digest, e, 'text/plain; charset=utf-8', text FROM facts),
+sized AS (SELECT *, octet_length(encode(block))::BIGINT AS content_length, 'sha256:' || sha256(block) AS block_digest FROM made)
+SELECT page_id, record_type, new_id, refers_to, concurrent_to, target_uri, content_length, block_digest, payload_digest, source_digest,
+       sha256('WARC/1.1' || e || 'WARC-Type: ' || record_type || e || 'WARC-Record-ID: ' || new_id || e || 'WARC-Date: 2026-01-01T00:00:00Z' || e
+         || 'WARC-Target-URI: ' || target_uri || e || 'WARC-Refers-To: ' || refers_to || e || 'WARC-Refers-To-Target-URI: ' || target_uri || e
+         || 'WARC-Refers-To-Date: 2026-01-01T00:00:00Z' || e || 'WARC-Concurrent-To: ' || concurrent_to || e || 'WARC-Payload-Digest: ' || payload_digest || e
+         || 'WARC-Block-Digest: ' || block_digest || e || 'Content-Type: ' || content_type || e || 'Content-Length: ' || content_length::VARCHAR || e) AS header_sha256
+FROM sized
 """,
 }
