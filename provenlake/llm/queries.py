@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, license_scan, line_dedup, lm_score, mixing, near_dup, toxicity, url_filter, warc
+from . import decontaminate, license_scan, line_dedup, lm_score, mixing, near_dup, topk_search, toxicity, url_filter, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,6 +53,11 @@ def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.score_documents(_table(spark, sf_dir, "documents"), good)
 
 
+def op8_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return topk_search.top_k(docs, docs.filter("doc_id % 50 = 0"))
+
+
 #: Target weights of the mix; sources not named share the rest.
 SOURCE_WEIGHTS = {"src0": 6, "src1": 4, "src2": 3, "src3": 2, "other": 9}
 
@@ -66,7 +71,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_near_dup, op2_warc_derive, op3_url_filter, op4_line_dedup, op5_license_scan, op6_lm_score, op7_toxicity, op9_mix_sources, op10_decontaminate,
+    op1_near_dup, op2_warc_derive, op3_url_filter, op4_line_dedup, op5_license_scan, op6_lm_score, op7_toxicity, op8_topk_search, op9_mix_sources, op10_decontaminate,
 )}
 
 _RULE_ROWS = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)
@@ -239,5 +244,19 @@ SELECT page_id, record_type, new_id, refers_to, concurrent_to, target_uri, conte
          || 'WARC-Refers-To-Date: 2026-01-01T00:00:00Z' || e || 'WARC-Concurrent-To: ' || concurrent_to || e || 'WARC-Payload-Digest: ' || payload_digest || e
          || 'WARC-Block-Digest: ' || block_digest || e || 'Content-Type: ' || content_type || e || 'Content-Length: ' || content_length::VARCHAR || e) AS header_sha256
 FROM sized
+""",
+    "op8_topk_search": f"""
+WITH words AS (SELECT doc_id, unnest(regexp_extract_all({_LOWER.format("coalesce(text, '')")}, {_WORDS})) AS w FROM documents),
+tf AS (SELECT doc_id, w, count(*) AS n FROM words GROUP BY ALL),
+df AS (SELECT w, count(*) AS docs FROM tf GROUP BY w),
+sizes AS (SELECT doc_id, sum(n) AS dl FROM tf GROUP BY doc_id),
+corpus AS (SELECT (SELECT count(*) FROM documents) AS n_docs, (SELECT count(*) FROM words) / (SELECT count(*) FROM documents) AS mean_length),
+scored AS (
+  SELECT q.doc_id AS query_id, d.doc_id,
+         round(sum(q.n * ln(1 + (n_docs - docs + 0.5) / (docs + 0.5)) * d.n * 2.2 / (d.n + 1.2 * (0.25 + 0.75 * dl / mean_length))), 6) AS score
+  FROM tf q JOIN tf d USING (w) JOIN df USING (w) JOIN sizes ON sizes.doc_id = d.doc_id, corpus
+  WHERE q.doc_id % 50 = 0 GROUP BY ALL)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank, doc_id, score
+FROM scored QUALIFY rank <= 10
 """,
 }
