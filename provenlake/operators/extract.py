@@ -1,0 +1,77 @@
+"""Claims of documents: paragraphs, sentences, classes, near-duplicates, ids."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from .. import constants as K
+from ..functions import text as T
+
+#: Every line end that Python's splitlines knows.
+LINE_END = r"\R|[\x1c-\x1e]"
+
+
+def claim_type(text: Column) -> Column:
+    """The first class, in order of priority, of which a pattern fits the normalised text."""
+    norm = T.normalized(text)
+    out = None
+    for name, patterns in K.CLAIM_TYPES.items():
+        fits = T.any_pattern(norm, patterns)
+        out = F.when(fits, name) if out is None else out.when(fits, name)
+    return out.otherwise("unclassified")
+
+
+def sentences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id_col, paragraph, sentence, text): paragraphs are split at blank lines, heading and blank
+    lines go, empty paragraphs take no number; sentences end at whitespace after . ! or ?, and all
+    are returned.  Null texts have none."""
+    paragraph = F.posexplode(F.filter(F.transform(F.split(text_col, r"\n\s*\n"), _joined_lines), lambda p: p != "")).alias("p", "body")
+    split = docs.select(id_col, paragraph)
+    sentence = F.posexplode(F.filter(F.transform(F.split("body", r"(?<=[.!?])\s+"), F.trim), lambda s: s != "")).alias("s", "text")
+    return split.select(id_col, (F.col("p") + 1).alias("paragraph"), sentence).select(id_col, "paragraph", (F.col("s") + 1).alias("sentence"), "text")
+
+
+def _joined_lines(paragraph: Column) -> Column:
+    lines = F.transform(F.split(paragraph, LINE_END), lambda x: F.regexp_replace(x, r"^\s+|\s+$", ""))
+    return F.array_join(F.filter(lines, lambda x: (x != "") & ~x.rlike(r"^#{1,6}\s")), " ")
+
+
+def claim_sentences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Sentences that can be claims: no question, four tokens or more."""
+    return sentences(docs, id_col, text_col).filter(~F.endswith("text", F.lit("?")) & (F.size(T.tokens(F.col("text"))) >= 4))
+
+
+def near_duplicate(a: Column, b: Column) -> Column:
+    """Whether two term sets are near-duplicates: Jaccard 0.8 or more, or 0.9 of the smaller one
+    shared at a difference of two terms at most; empty sets never."""
+    both = F.size(F.array_intersect(a, b))
+    least = F.least(F.size(a), F.size(b))
+    near = (both >= 0.8 * F.size(F.array_union(a, b))) | ((both >= 0.9 * least) & (F.abs(F.size(a) - F.size(b)) <= 2))
+    return (least > 0) & near
+
+
+def extract_claims(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_unclassified: bool = False) -> DataFrame:
+    """(id_col, claim_id, text, claim_type, location) of each document, first of near-duplicates only.
+
+    A sentence goes when its normalised text equals, or its terms nearly repeat, those of an earlier
+    sentence of the document that stayed.  Each document's sentences are folded in order.
+    """
+    found = claim_sentences(docs, id_col, text_col).withColumn("claim_type", claim_type(F.col("text")))
+    if not keep_unclassified:
+        found = found.filter("claim_type <> 'unclassified'")
+    item = F.struct("paragraph", "sentence", "text", "claim_type", T.normalized(F.col("text")).alias("norm"), T.term_set(F.col("text")).alias("terms"))
+    per_doc = found.groupBy(id_col).agg(F.array_sort(F.collect_list(item)).alias("items"))
+    kept = F.aggregate(
+        "items",
+        F.slice("items", 1, 0),
+        lambda acc, x: F.when(F.exists(acc, lambda y: (y["norm"] == x["norm"]) | near_duplicate(y["terms"], x["terms"])), acc).otherwise(F.concat(acc, F.array(x))),
+    )
+    out = per_doc.select(id_col, F.explode(kept).alias("c"))
+    return out.select(
+        id_col,
+        T.short_id("claim", F.col(id_col).cast("string"), F.col("c.norm")).alias("claim_id"),
+        F.col("c.text").alias("text"),
+        F.col("c.claim_type").alias("claim_type"),
+        F.format_string("paragraph:%d:sentence:%d", "c.paragraph", "c.sentence").alias("location"),
+    )
