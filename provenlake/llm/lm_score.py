@@ -114,7 +114,8 @@ def score_documents(docs: DataFrame, target_ids: DataFrame, id_col: str = "doc_i
     small_batches(docs.sparkSession)
     chosen = target_ids.select(F.col(id_col).alias("t_id")).filter("t_id is not null").distinct().withColumn("target", F.lit(True))
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    marked = texts.join(chosen, F.col("id") == F.col("t_id"), "left").select("text", F.coalesce("target", F.lit(False)).alias("target"))
+    # the target's ids have no size bound: they are never sent whole, at no size
+    marked = texts.join(chosen.hint("merge"), F.col("id") == F.col("t_id"), "left").select("text", F.coalesce("target", F.lit(False)).alias("target"))
     models = count_models(marked)
     sizes = models[:, :WORDS].sum(axis=1, dtype=np.float64).tolist()
     sent = docs.sparkSession.sparkContext.broadcast(models)

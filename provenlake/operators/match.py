@@ -86,8 +86,9 @@ def score_blocked_pairs(claims: DataFrame, excerpts: DataFrame, threshold: float
     c, e = featured(claims, "claim_text", "c"), featured(excerpts, "excerpt_text", "e")
 
     def keys(df: DataFrame, prefix: str, ids: list[str]) -> DataFrame:
-        tagged = [F.transform(f"{prefix}_{name}", lambda x, n=name: F.concat(F.lit(n[0] + ":"), x)) for name in ("terms", "numbers", "dates")]
-        return df.select(*ids, F.explode(F.concat(*tagged)).alias("key"))
+        # a number and a term never look alike; a date is tagged, as some are no numbers
+        dated = F.transform(f"{prefix}_dates", lambda x: F.concat(F.lit("d:"), x))
+        return df.select(*ids, F.explode(F.concat(f"{prefix}_terms", f"{prefix}_numbers", dated)).alias("key"))
 
     c_ids, e_ids = ["claim_id"], ["source_id", "excerpt_id"]
     met = keys(c, "c", c_ids).join(keys(e, "e", e_ids), "key").select(*c_ids, *e_ids).distinct()
