@@ -137,7 +137,8 @@ def direct_support(spark, sf_dir):
 
 def flag_query(code: str):
     def run(spark, sf_dir):
-        one = _assessed(spark, sf_dir).select("bundle_id", "claim_id", F.explode("flags").alias("f")).filter(F.col("f.code") == code)
+        # an inner explode would infer a filter on flags and work the whole expression out again
+        one = _assessed(spark, sf_dir).select("bundle_id", "claim_id", F.explode_outer("flags").alias("f")).filter(F.col("f.code") == code)
         return one.select("bundle_id", "claim_id", F.col("f.id").alias("flag_id"), F.col("f.risk").alias("risk"), F.col("f.message").alias("message"))
 
     return run
