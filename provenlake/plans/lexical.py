@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import constants as K
@@ -13,7 +13,8 @@ from .duck import (
     DOC_TEXT, any_of, array, bigrams, count_shared, dates, flag_case, norm, numbers, overlap, q, sentences_sql, sorted_numbers, term_list, term_set, tok, words,
 )
 
-ASCII = F.regexp_replace("text", r"[^\x00-\x7F]", "z")
+def _ascii() -> Column:
+    return F.regexp_replace("text", r"[^\x00-\x7F]", "z")
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,11 +62,11 @@ def stems(spark, sf_dir):
 
 
 def number_tokens(spark, sf_dir):
-    return _docs(spark, sf_dir).select("doc_id", F.array_join(T.sorted_numbers(T.numbers(ASCII)), ",").alias("numbers"))
+    return _docs(spark, sf_dir).select("doc_id", F.array_join(T.sorted_numbers(T.numbers(_ascii())), ",").alias("numbers"))
 
 
 def date_tokens(spark, sf_dir):
-    return _docs(spark, sf_dir).select("doc_id", F.array_join(F.array_sort(T.dates(ASCII)), ",").alias("dates"))
+    return _docs(spark, sf_dir).select("doc_id", F.array_join(F.array_sort(T.dates(_ascii())), ",").alias("dates"))
 
 
 def names_and_anchors(spark, sf_dir):
