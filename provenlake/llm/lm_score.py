@@ -1,103 +1,176 @@
 """Cross-entropy difference between a target and a background bigram model over one vocabulary.
 
-Both models see words through the same vocabulary, 2^20 hashed word numbers, and count word pairs in
-the same 2^22 cells, over every document: the background over all, the target over the chosen ones.
-With c a model's counts, N its words and V the vocabulary's size,
+Words and word pairs are counted one by one, under 64-bit keys, over every document: the background
+over all, the target over the chosen ones.  With c a model's counts, N its words and V = SMOOTH,
     P(w)     = (c(w) + 1) / (N + V)
     P(w | h) = (least(c(h, w), c(h)) + PULL * P(w)) / (c(h) + PULL)
 and the first word of a text has P(w).  A document's score is its mean loss per word under the
-background less that under the target.  Tables of fixed size reach the tasks whatever the corpus is.
+background less that under the target.
+
+Documents stand in chunks.  A chunk asks for each of its distinct keys once, with its own counts; the
+keys are dealt out by ranges whose number follows the corpus, a range's counts are summed, and the sums
+go back to the chunks that asked.  No task holds more than a chunk or a range, and a frequent word
+weighs no more than one key of each chunk.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import small_batches
-from .textops import BASE, BLANK, Words, mix, pieces
+from .shared import groups, small_batches, written
+from .textops import BASE, BLANK, mix, pieces
 
-WORD_BITS, PAIR_BITS, SLICE_BITS = 20, 22, 16
-WORDS, PAIRS, SLICE = 1 << WORD_BITS, 1 << PAIR_BITS, 1 << SLICE_BITS
+#: Words that add-one smoothing reckons with; a constant of the formula, nothing is counted in it.
+SMOOTH = 1 << 20
 #: How many words' weight the unigram model has in the bigram one.
 PULL = 5.0
-_SPARSE = "slice int, cells binary, target binary, background binary"
-_DENSE = "slice int, target binary, background binary"
+#: Bytes of text in a chunk, about, and keys that the chunks together ask of one range, about.
+CHUNK_BYTES, RANGE_KEYS = 4 << 20, 1 << 20
+_CHUNKS = "chunk long, n_words long, n_target long, body binary"
+_ASKED = "bucket long, chunk long, keys binary, target binary, background binary"
+_TOLD = "chunk long, bucket long, body binary, background binary"
 
 
-def _numbers(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Word numbers, cells of the pairs that end at each word, and which words begin a text."""
-    word = (words.hashes >> np.uint64(64 - WORD_BITS)).astype(np.int64)
-    pair = np.zeros(len(word), np.int64)
-    if len(word) > 1:
-        h = words.hashes
-        pair[1:] = (mix(h[:-1] * np.uint64(BASE) + h[1:]) >> np.uint64(64 - PAIR_BITS)).astype(np.int64)
-    begins = np.zeros(len(word) + 1, bool)
-    begins[words.offsets] = True
-    return word, pair, begins[:-1]
+def _batch(schema: str, *columns: list) -> pa.RecordBatch:
+    kinds = {"long": pa.int64(), "binary": pa.binary()}
+    fields = [c.split() for c in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(columns, fields)], names=[n for n, _ in fields])
 
 
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """This task's counts, cell by cell: words' cells first, then pairs'."""
-    counts = np.zeros((2, WORDS + PAIRS), np.int64)
-    for batch in batches:
-        chosen = np.array(batch.column("target").to_pylist(), bool)
-        for lo, hi, words in pieces(batch.column("text"), BLANK):
-            word, pair, begins = _numbers(words)
-            of_target = np.repeat(chosen[lo:hi], np.diff(words.offsets))
-            for k, use in enumerate((of_target, np.ones(len(word), bool))):
-                cells, n = np.unique(np.concatenate([word[use], WORDS + pair[use & ~begins]]), return_counts=True)
-                counts[k, cells] += n
-    for k in range((WORDS + PAIRS) // SLICE):
-        part = counts[:, k * SLICE : (k + 1) * SLICE]
-        cells = np.flatnonzero(part[1])
-        if len(cells):
-            yield _row(k, cells.astype(np.uint16), part[0, cells], part[1, cells])
-
-
-def _row(k: int, *arrays: np.ndarray) -> pa.RecordBatch:
-    names = [c.split()[0] for c in (_SPARSE if len(arrays) == 3 else _DENSE).split(", ")]
-    return pa.RecordBatch.from_arrays([pa.array([k], pa.int32())] + [pa.array([a.tobytes()], pa.binary()) for a in arrays], names=names)
-
-
-def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total, now = None, None
+def _packed(numbers: np.ndarray) -> bytes:
+    """Unsigned numbers in as few bytes each as the largest needs, all first bytes first."""
+    width = max(1, -(-int(numbers.max(initial=0)).bit_length() // 8))
+    return bytes([width]) + numbers.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(data, np.uint8, offset=1).reshape(data[0], -1)
+    out = np.zeros((planes.shape[1], 8), np.uint8)
+    out[:, : data[0]] = planes.T
+    return out.view("<u8").ravel()
+
+
+def _texts(body: bytes) -> pa.RecordBatch:
+    return pa.ipc.open_stream(body).read_next_batch()
+
+
+def _tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys of all words and then of the pairs that end at each word but a text's first, which words
+    are such first ones, and where each text's words begin."""
+    hashes, bounds, n = [], [np.zeros(1, np.int64)], 0
+    for _, _, words in pieces(texts, BLANK):
+        hashes.append(words.hashes)
+        bounds.append(words.offsets[1:] + n)
+        n += len(words.hashes)
+    h, bounds = np.concatenate([*hashes, np.zeros(0, np.uint64)]), np.concatenate(bounds)
+    begins = np.zeros(n + 1, bool)
+    begins[bounds] = True
+    begins = begins[:-1]
+    at = np.flatnonzero(~begins)
+    return np.concatenate([h, mix(h[at - 1] * np.uint64(BASE) + h[at])]), begins, bounds
+
+
+def _chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    task, made = TaskContext.get().partitionId() << 32, 0
     for batch in batches:
-        for row in batch.to_pylist():
-            if row["slice"] != now:
-                if total is not None:
-                    yield _row(now, *total.astype(np.float32))
-                total, now = np.zeros((2, SLICE), np.int64), row["slice"]
-            cells = np.frombuffer(row["cells"], np.uint16)
-            for k, name in enumerate(("target", "background")):
-                total[k, cells] += np.frombuffer(row[name], np.int64)
-    if total is not None:
-        yield _row(now, *total.astype(np.float32))
-
-
-def count_models(docs: DataFrame) -> np.ndarray:
-    """Counts of both models, target first, from (text, target); 2 * (2^20 + 2^22) numbers."""
-    small_batches(docs.sparkSession)
-    sparse = docs.mapInArrow(_counted, _SPARSE).repartition("slice").sortWithinPartitions("slice")
-    models = np.zeros((2, WORDS + PAIRS), np.float32)
-    for row in sparse.mapInArrow(_added, _DENSE).collect():
-        for k, name in enumerate(("target", "background")):
-            models[k, row["slice"] * SLICE : (row["slice"] + 1) * SLICE] = np.frombuffer(row[name], np.float32)
-    return models
+        sizes = np.cumsum(pa.compute.binary_length(batch.column("text")).fill_null(0).to_numpy(zero_copy_only=False))
+        lo = 0
+        while lo < batch.num_rows:
+            hi = max(lo + 1, int(np.searchsorted(sizes, (sizes[lo - 1] if lo else 0) + CHUNK_BYTES, "right")))
+            part = batch.slice(lo, hi - lo)
+            _, _, bounds = _tokens(part.column("text"))
+            n = np.diff(bounds)
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, part.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+                writer.write_batch(part)
+            chosen = part.column("target").to_numpy(zero_copy_only=False)
+            yield _batch(_CHUNKS, [task + made], [int(n.sum())], [int(n[chosen].sum())], [sink.getvalue().to_pybytes()])
+            lo, made = hi, made + 1
+
+
+def _edges(buckets: int) -> np.ndarray:
+    """The first key of each range."""
+    return np.array([(k << 64) // buckets for k in range(buckets)], np.uint64)
 
 
-def losses(words: Words, counts: np.ndarray, size: float) -> np.ndarray:
-    """-log P of each word under one model; size is the number of words it has seen."""
-    word, pair, begins = _numbers(words)
-    alone = (counts[word] + 1.0) / (size + WORDS)
-    before = np.zeros(len(word))
-    before[1:] = counts[word[:-1]]
-    after = (np.minimum(counts[WORDS + pair], before) + PULL * alone) / (before + PULL)
-    return -np.log(np.where(begins, alone, after))
+def _asked(buckets: int):
+    """What each chunk asks: its distinct keys in order, range by range, and how often it has them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        edges = _edges(buckets)
+        for batch in batches:
+            for chunk, body in zip(batch.column("chunk").to_pylist(), batch.column("body")):
+                texts = _texts(body.as_py())
+                tokens, begins, bounds = _tokens(texts.column("text"))
+                keys, which, times = np.unique(tokens, return_inverse=True, return_counts=True)
+                chosen = np.repeat(texts.column("target").to_numpy(zero_copy_only=False), np.diff(bounds))
+                of_target = np.bincount(which[np.concatenate([chosen, chosen[~begins]])], minlength=len(keys))
+                cuts = [*np.searchsorted(keys, edges).tolist(), len(keys)]
+                full = [k for k in range(buckets) if cuts[k] < cuts[k + 1]]
+                spans = [slice(cuts[k], cuts[k + 1]) for k in full]
+                steps = [_packed(np.diff(keys[s], prepend=edges[k])) for k, s in zip(full, spans)]
+                yield _batch(_ASKED, full, [chunk] * len(full), steps, [_packed(of_target[s]) for s in spans], [_packed(times[s]) for s in spans])
+
+    return run
+
+
+def _told(buckets: int):
+    """The sums over all chunks, for each chunk's keys in the order it asked."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        edges = _edges(buckets)
+        for group in groups(batches, ["bucket"]):
+            bucket = group["bucket"][0].as_py()
+            keys = [np.cumsum(_unpacked(x.as_py()), dtype=np.uint64) + edges[bucket] for x in group["keys"]]
+            ends = np.cumsum([len(k) for k in keys])[:-1]
+            _, which = np.unique(np.concatenate(keys), return_inverse=True)
+            told = []
+            for name in ("target", "background"):
+                times = np.concatenate([_unpacked(x.as_py()) for x in group[name]])
+                sums = np.bincount(which, weights=times).astype(np.uint64)  # exact up to 2^53
+                told.append([_packed(x) for x in np.split(sums[which], ends)])
+            yield _batch(_TOLD, group["chunk"].to_pylist(), [bucket] * len(keys), *told)
+
+    return run
+
+
+def _losses(of_keys: np.ndarray, which: np.ndarray, begins: np.ndarray, size: float) -> np.ndarray:
+    """-log P of each word under one model that has seen size words."""
+    n = len(begins)
+    counts = of_keys.astype(np.float64)[which]
+    p = (counts[:n] + 1.0) / (size + SMOOTH)
+    at = np.flatnonzero(~begins)
+    before = counts[at - 1]
+    p[at] = (np.minimum(counts[n:], before) + PULL * p[at]) / (before + PULL)
+    return -np.log(p)
+
+
+def _scored(sizes: list[float]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in groups(batches, ["chunk"]):
+            # the chunk's texts stand before what its ranges told
+            texts = _texts(group["body"][0].as_py())
+            tokens, begins, bounds = _tokens(texts.column("text"))
+            _, which = np.unique(tokens, return_inverse=True)
+            n, means = np.diff(bounds), []
+            for name, size in zip(("body", "background"), sizes):
+                told = np.concatenate([np.zeros(0, np.uint64), *(_unpacked(x.as_py()) for x in group[name][1:])])
+                total = np.concatenate([[0.0], np.cumsum(_losses(told, which, begins, size))])
+                with np.errstate(invalid="ignore"):
+                    means.append((total[bounds[1:]] - total[bounds[:-1]]) / n)
+            target, background = (pa.array(m, from_pandas=True) for m in means)
+            score = pa.array(np.nan_to_num(means[1] - means[0]))
+            yield pa.RecordBatch.from_arrays([texts.column("id"), pa.array(n, pa.int64()), target, background, score], names=["id", "n_words", "loss_target", "loss_background", "score"])
+
+    return run
 
 
 def score_documents(docs: DataFrame, target_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -115,24 +188,15 @@ def score_documents(docs: DataFrame, target_ids: DataFrame, id_col: str = "doc_i
     chosen = target_ids.select(F.col(id_col).alias("t_id")).filter("t_id is not null").distinct().withColumn("target", F.lit(True))
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     # the target's ids have no size bound: they are never sent whole, at no size
-    marked = texts.join(chosen.hint("merge"), F.col("id") == F.col("t_id"), "left").select("text", F.coalesce("target", F.lit(False)).alias("target"))
-    models = count_models(marked)
-    sizes = models[:, :WORDS].sum(axis=1, dtype=np.float64).tolist()
-    sent = docs.sparkSession.sparkContext.broadcast(models)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n_words, means = [], [[], []]
-            for _, _, words in pieces(batch.column("text"), BLANK):
-                n = np.diff(words.offsets)
-                n_words += n.tolist()
-                for k in range(2):
-                    total = np.concatenate([[0.0], np.cumsum(losses(words, sent.value[k], sizes[k]))])
-                    with np.errstate(invalid="ignore"):
-                        means[k] += ((total[words.offsets[1:]] - total[words.offsets[:-1]]) / n).tolist()
-            target, background = (pa.array(np.array(m), from_pandas=True) for m in means)
-            score = np.nan_to_num(np.array(means[1]) - np.array(means[0]))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(n_words, pa.int64()), target, background, pa.array(score)], names=["id", "n_words", "loss_target", "loss_background", "score"])
-
+    marked = texts.join(chosen.hint("merge"), F.col("id") == F.col("t_id"), "left").select("id", "text", F.coalesce("target", F.lit(False)).alias("target"))
+    chunks = written(marked.mapInArrow(_chunked, _CHUNKS), "chunks")
+    seen = chunks.agg(F.coalesce(F.sum("n_target"), F.lit(0)), F.coalesce(F.sum("n_words"), F.lit(0))).first()
+    buckets = max(1, math.ceil(2 * seen[1] / RANGE_KEYS))
+
+    bodies = chunks.select("chunk", F.lit(-1).cast("long").alias("bucket"), "body", F.lit(None).cast("binary").alias("background"))
+    asked = chunks.select("chunk", "body").mapInArrow(_asked(buckets), _ASKED).repartition("bucket").sortWithinPartitions("bucket")
+    told = asked.mapInArrow(_told(buckets), _TOLD)
+    met = bodies.unionByName(told).repartition("chunk").sortWithinPartitions("chunk", "bucket")
     kind = texts.schema["id"].dataType.simpleString()
-    return texts.mapInArrow(run, f"id {kind}, n_words long, loss_target double, loss_background double, score double").withColumnRenamed("id", id_col)
+    scored = met.mapInArrow(_scored([float(x) for x in seen]), f"id {kind}, n_words long, loss_target double, loss_background double, score double")
+    return scored.withColumnRenamed("id", id_col)
