@@ -56,7 +56,7 @@ def _hash_family(length: int) -> tuple[np.ndarray, np.ndarray]:
 
 def _features(k: int, rows: int, bands: int, length: int):
     schema = pa.schema(
-        [("id", pa.int64()), ("n", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), ("bands", pa.list_(pa.int64())), ("sig", pa.binary())]
+        [("id", pa.int64()), ("text", pa.string()), ("n", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), ("bands", pa.list_(pa.int64())), ("sig", pa.binary())]
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -82,7 +82,7 @@ def _features(k: int, rows: int, bands: int, length: int):
                     sigs.append(mix(least).astype(np.uint8).tobytes())
             prints = np.array(prints, np.uint64).reshape(-1, 2).view(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), pa.array(sizes, pa.int64()), pa.array(prints[:, 0]), pa.array(prints[:, 1]), pa.array(keys, pa.list_(pa.int64())), pa.array(sigs, pa.binary())],
+                [batch.column("id"), batch.column("text").cast(pa.string()), pa.array(sizes, pa.int64()), pa.array(prints[:, 0]), pa.array(prints[:, 1]), pa.array(keys, pa.list_(pa.int64())), pa.array(sigs, pa.binary())],
                 schema=schema,
             )
 
@@ -204,12 +204,16 @@ def near_duplicates(
     rows, bands, length = plan_bands(threshold, miss)
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     features = written(
-        source.mapInArrow(_features(shingle_words, rows, bands, length), "id long, n long, f1 long, f2 long, bands array<long>, sig binary"), "features"
+        source.mapInArrow(_features(shingle_words, rows, bands, length), "id long, text string, n long, f1 long, f2 long, bands array<long>, sig binary").withColumn(
+            "row", F.monotonically_increasing_id()
+        ),
+        "features",
     )
     sets = features.filter("n > 0 and id is not null")
-    classes = written(sets.groupBy("f1", "f2", "n").agg(F.min("id").alias("rep")), "classes")
-    first = classes.select("rep", F.col("f1").alias("g1"), F.col("f2").alias("g2"))
-    reps = sets.join(first, F.col("id") == F.col("rep")).filter("f1 = g1 and f2 = g2")
+    # a class is known by one of its rows, so that repeated rows and ids count once
+    classes = written(sets.groupBy("f1", "f2", "n").agg(F.min(F.struct("id", "row")).alias("o")).select("f1", "f2", "n", F.col("o.id").alias("least"), F.col("o.row").alias("rep")), "classes")
+    holders = written(sets.select("id", "n", "f1", "f2").join(classes.select("f1", "f2", "n", "rep"), ["f1", "f2", "n"]).select("id", "n", "rep"), "holders")
+    reps = sets.select("row", "n", "bands", "sig").join(classes.select(F.col("rep").alias("row")), "row").withColumnRenamed("row", "rep")
 
     keys = reps.select("rep", "n", F.explode("bands").alias("key"))
     buckets = (
@@ -220,7 +224,7 @@ def near_duplicates(
         .agg(F.min("key").alias("key"))
         .select("key", "c")
     )
-    members = keys.join(buckets, "key").distinct().join(reps.select("rep", "sig").dropDuplicates(["rep"]), "rep")
+    members = keys.join(buckets, "key").join(reps.select("rep", "sig"), "rep")
     proposed = _blocks(members, "key", F.ceil(F.col("c") / block_docs)).select("key", "i", "j", "rep", "n", "sig")
     coarse = connected_components(proposed.mapInArrow(_candidates(fewest_matches(length, threshold, miss), percent, 100), "a long, b long"))
 
@@ -228,14 +232,24 @@ def near_duplicates(
     sized = coarse.join(classes.select("rep", "n"), "rep")
     parts = sized.groupBy("cluster").agg(F.sum("n").alias("total"))
     parts = sized.join(parts, "cluster").select("rep", "cluster", F.ceil(F.col("total") / block_shingles).alias("pieces"))
-    texts = source.join(written(parts, "clusters"), F.col("id") == F.col("rep")).drop("id")
+    texts = features.select(F.col("row").alias("rep"), "text").join(written(parts, "clusters"), "rep")
     exact = _blocks(texts, "cluster", F.col("pieces")).select("cluster", "i", "j", "rep", "text")
-    links = connected_components(exact.mapInArrow(_verified(shingle_words, percent, 100), "a long, b long"))
-
-    found = classes.join(links.withColumnRenamed("node", "rep"), "rep", "left").select("f1", "f2", "n", F.coalesce("component", "rep").alias("component"))
-    return features.select("id", "n", "f1", "f2").join(found, ["f1", "f2", "n"], "left").select(
+    alike = exact.mapInArrow(_verified(shingle_words, percent, 100), "a long, b long")
+    # the classes of one id belong together, whatever their sets
+    several = holders.groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).filter("a < z").select("id", "a")
+    links = connected_components(alike.unionByName(holders.join(several, "id").select("a", F.col("rep").alias("b"))))
+
+    joined = classes.join(links.withColumnRenamed("node", "rep"), "rep", "left").select("rep", "least", F.coalesce("component", "rep").alias("node"))
+    least = joined.groupBy("node").agg(F.min("least").alias("component"))
+    found = written(joined.join(least, "node").select("rep", "component"), "components")
+    full = holders.join(found, "rep").select("id", "n", "component")
+    blank = features.filter("n = 0 and id is not null").select("id", "n")
+    theirs = holders.join(blank.select("id").distinct(), "id", "left_semi").join(found, "rep").groupBy("id").agg(F.min("component").alias("component"))
+    rest = blank.join(theirs, "id", "left").select("id", "n", F.coalesce("component", "id").alias("component"))
+    unnamed = features.filter("id is null").select("id", "n", F.lit(None).cast("long").alias("component"))
+    return full.unionByName(rest).unionByName(unnamed).select(
         F.col("id").alias(id_col),
         F.col("n").alias("n_shingles"),
-        F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component_id"),
-        F.coalesce(F.coalesce("component", "id") == F.col("id"), F.lit(True)).alias("kept"),
+        F.col("component").alias("component_id"),
+        F.coalesce(F.col("component") == F.col("id"), F.lit(True)).alias("kept"),
     )

@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from provenlake.llm import lm_score
+from provenlake.llm import lm_score, near_dup
 
 from . import brute
 from .test_documents import table
@@ -20,3 +20,17 @@ def test_lm_scores_of_many_words(spark, monkeypatch):
     want = brute.lm_scores(rows, target)
     assert len(found) == 302
     assert all(r.n_words == want[r.doc_id][0] and r.score == pytest.approx(want[r.doc_id][1], abs=1e-9) for r in found)
+
+
+def test_near_duplicates_of_repeated_rows(spark):
+    """A table joined with itself has the links that it has once; rows of one id belong together."""
+    rng = random.Random(12)
+    rows = []
+    for k in range(0, 200, 2):
+        words = [f"p{rng.randrange(5000)}" for _ in range(60)]
+        rows += [(k, " ".join(words)), (k + 1, " ".join([*words[:-1], "changed"]))]
+    twice = near_dup.near_duplicates(table(spark, rows * 2), shingle_words=3, percent=85).collect()
+    assert len(twice) == 400 and all(r.component_id == r.doc_id // 2 * 2 and r.kept == (r.doc_id % 2 == 0) for r in twice)
+    mixed = [(1, "a b c d"), (3, "A b c d"), (3, "e f g h"), (7, "e f g h"), (7, None), (9, "q r s t")]
+    found = near_dup.near_duplicates(table(spark, mixed), shingle_words=3).collect()
+    assert sorted((r.doc_id, r.component_id) for r in found) == [(1, 1), (3, 1), (3, 1), (7, 1), (7, 1), (9, 9)]
