@@ -9,6 +9,7 @@ out, the others go on in the same way with the weights that are left.
 
 from __future__ import annotations
 
+import heapq
 import math
 
 from pyspark.sql import DataFrame, Window
@@ -25,9 +26,16 @@ def period(weights: dict[str, int]) -> dict[str, list[int]]:
     """The slots of each source within one period."""
     total = sum(weights.values())
     slots: dict[str, list[int]] = {s: [] for s in weights}
+    released, ready = [(0, s) for s in weights], []
+    heapq.heapify(released)
     for t in range(total):
-        ready = [s for s, w in weights.items() if len(slots[s]) < w and len(slots[s]) * total // w <= t]
-        slots[min(ready, key=lambda s: (-(-(len(slots[s]) + 1) * total // weights[s]), s))].append(t)
+        while released and released[0][0] <= t:
+            s = heapq.heappop(released)[1]
+            heapq.heappush(ready, (-(-(len(slots[s]) + 1) * total // weights[s]), s))
+        s = heapq.heappop(ready)[1]
+        slots[s].append(t)
+        if len(slots[s]) < weights[s]:
+            heapq.heappush(released, (len(slots[s]) * total // weights[s], s))
     return slots
 
 
@@ -51,6 +59,23 @@ def phases(weights: dict[str, int], blocks: dict[str, int]) -> list[tuple]:
     return laid
 
 
+def shared_weights(docs: DataFrame, weights: dict[str, int], source_col: str = "source") -> dict[str, int]:
+    """weights with a weight of its own for every source of docs.
+
+    The sources that weights does not name share the weight of 'other' equally, in the ratio to the
+    named ones that weights give; a null source, with one named 'other', is one of them.  The driver
+    counts and lays out all sources: their number is meant to be in the hundreds at most.
+    """
+    named = {s: w for s, w in weights.items() if s != OTHER}
+    present = {r[0] for r in docs.select(F.coalesce(F.col(source_col), F.lit(OTHER))).distinct().collect()}
+    rest = sorted(present - named.keys())
+    if not rest:
+        return dict(weights)
+    spread = {s: w * len(rest) for s, w in named.items()} | dict.fromkeys(rest, weights.get(OTHER, 1))
+    least = math.gcd(*spread.values())
+    return {s: w // least for s, w in spread.items()}
+
+
 def mix_sources(docs: DataFrame, weights: dict[str, int], other_weight: int = 1, block_rows: int = 64, source_col: str = "source") -> DataFrame:
     """docs with mix_slot, the block's place in the mix, and mix_row, the row's place in its block.
 

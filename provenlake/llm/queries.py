@@ -58,12 +58,13 @@ def op8_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk_search.top_k(docs, docs.filter("doc_id % 50 = 0"))
 
 
-#: Target weights of the mix; sources not named share the rest.
+#: Target weights of the mix; sources not named share that of 'other' equally.
 SOURCE_WEIGHTS = {"src0": 6, "src1": 4, "src2": 3, "src3": 2, "other": 9}
 
 
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix_sources(_table(spark, sf_dir, "documents").select("doc_id", "source"), SOURCE_WEIGHTS)
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "source")
+    return mixing.mix_sources(docs, mixing.shared_weights(docs, SOURCE_WEIGHTS))
 
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
