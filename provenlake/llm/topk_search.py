@@ -1,17 +1,22 @@
-"""Exact BM25 top-k with block-max pruning, per shard, merged under global statistics.
-
-Document counts of words, the number of documents and their mean length are taken over the whole
-corpus.  Queries go to the tasks in rounds of bounded size.  A task indexes its documents shard by
-shard: postings by word, in blocks of consecutive documents with the largest contribution of each
-word in each block.  For a query the block maxima bound every block's scores; blocks are scored from
-the best bound on, and those whose bound is under the k-th best score so far, which is carried from
-shard to shard, are never opened.  The merge of the tasks' lists is exact.
+"""Exact BM25 top-k with block-max WAND, per shard, merged under global statistics.
+
+The corpus is tokenised once, into a written index of shards: postings by word over some thousand
+documents, which stand in the order of their length.  Document counts, the number of documents and
+their mean length come from all shards.  Queries go to the tasks in rounds of bounded size.
+
+For a query the words of a shard are split as WAND's pivot does: frequent words whose bounds together
+stay under a part of the threshold are put aside, and only the postings of the others are opened.  A
+block of documents is then left out where what its documents have so far, and the largest that the
+words put aside reach in that block, stays under the threshold; the documents that are left are
+scored in full.  The threshold is the k-th best score so far.  It starts from a first search of a few
+shards, so that no task begins with none.  The merge of the tasks' lists is exact.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -22,133 +27,213 @@ from .shared import small_batches, written
 from .textops import SYMBOLS, pieces
 
 K1, B = 1.2, 0.75
-#: Documents of a block and of a shard, words of queries sent at once, digits of a score.
-BLOCK, SHARD, SENT_WORDS, DIGITS = 64, 8192, 1 << 20, 6
+#: Documents of a block and of a shard, and words after which a shard is closed.
+BLOCK, SHARD, SHARD_WORDS = 64, 8192, 1 << 23
+#: Words of queries sent at once, digits of a score.
+SENT_WORDS, DIGITS = 1 << 21, 6
+#: One shard of so many is searched first, for the thresholds.
+SEEDED = 32
+#: Share of the threshold that words put aside may reach together.
+ASIDE = 0.5
+SLACK = 10.0**-DIGITS
+
+_INDEX = "docs long, words long, ids binary, lengths binary, named binary, terms binary, held binary, doc binary, times binary"
+_HITS = "query long, id long, score double"
+
+
+def _bytes(numbers: np.ndarray) -> bytes:
+    """Unsigned numbers in one, two, four or eight bytes each, as the largest needs."""
+    return numbers.astype(np.min_scalar_type(int(numbers.max(initial=0)))).tobytes()
+
+
+def _numbers(data: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(data, f"u{len(data) // n}") if n else np.zeros(0, np.uint8)
+
+
+def _spread(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """All numbers of the ranges lo .. hi-1, one after the other."""
+    width = hi - lo
+    return np.arange(width.sum()) + np.repeat(lo - (np.cumsum(width) - width), width)
+
+
+def _indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    ids, named, hashes, lengths = [], [], [], []
+
+    def close() -> pa.RecordBatch:
+        size = np.concatenate(lengths)
+        order = np.argsort(size, kind="stable")
+        place = np.empty(len(size), np.int64)
+        place[order] = np.arange(len(size))
+        terms, number = np.unique(np.concatenate(hashes), return_inverse=True)
+        key, times = np.unique(number * len(size) + np.repeat(place, size), return_counts=True)
+        term, doc = np.divmod(key, len(size))
+        row = [[len(size)], [int(size.sum())], [np.concatenate(ids)[order].tobytes()], [_bytes(size[order])], [np.concatenate(named)[order].tobytes()]]
+        row += [[terms.tobytes()], [_bytes(np.bincount(term, minlength=len(terms)))], [_bytes(doc)], [_bytes(times)]]
+        for x in (ids, named, hashes, lengths):
+            x.clear()
+        kinds = {"long": pa.int64(), "binary": pa.binary()}
+        fields = [f.split() for f in _INDEX.split(", ")]
+        return pa.RecordBatch.from_arrays([pa.array(v, kinds[kind]) for v, (_, kind) in zip(row, fields)], names=[name for name, _ in fields])
+
+    for batch in batches:
+        own = batch.column("id")
+        flags, own = own.is_valid().to_numpy(zero_copy_only=False), own.fill_null(0).to_numpy()
+        for lo, hi, words in pieces(batch.column("text"), SYMBOLS):
+            ids.append(own[lo:hi])
+            named.append(flags[lo:hi])
+            hashes.append(words.hashes)
+            lengths.append(np.diff(words.offsets))
+            if sum(map(len, ids)) >= SHARD or sum(map(len, hashes)) >= SHARD_WORDS:
+                yield close()
+    if ids:
+        yield close()
 
 
-def _document_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """How many of the batch's documents hold each word; the row of a null word has their number and words."""
+def _held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many documents of each shard hold each word."""
     for batch in batches:
-        held, total = [], 0
-        for _, _, words in pieces(batch.column("text"), SYMBOLS):
-            held += [np.unique(words.of(k)) for k in range(len(words.offsets) - 1)]
-            total += len(words.hashes)
-        word, docs = np.unique(np.concatenate(held) if held else np.zeros(0, np.uint64), return_counts=True)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([None, *word.view(np.int64).tolist()], pa.int64()), pa.array([batch.num_rows, *docs.tolist()], pa.int64()), pa.array([total] + [0] * len(docs), pa.int64())],
-            names=["word", "docs", "words"],
-        )
+        for terms, held in zip(batch.column("terms").to_pylist(), batch.column("held").to_pylist()):
+            words = np.frombuffer(terms, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(words), pa.array(_numbers(held, len(words)).astype(np.int64))], names=["word", "docs"])
 
 
 def _query_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ids, words_, counts = [], [], []
-        id_list = batch.column("id").to_pylist()
-        for lo, _, words in pieces(batch.column("text"), SYMBOLS):
-            for k in range(len(words.offsets) - 1):
-                word, n = np.unique(words.of(k), return_counts=True)
-                ids += [id_list[lo + k]] * len(word)
-                words_.append(word.view(np.int64))
-                counts.append(n)
-        flat = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in (words_, counts)]
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(flat[0]), pa.array(flat[1].astype(np.int64))], names=["query", "word", "times"])
+        id_list = batch.column("id").to_numpy()
+        for lo, hi, words in pieces(batch.column("text"), SYMBOLS):
+            terms, number = np.unique(words.hashes, return_inverse=True)
+            owner = np.repeat(np.arange(hi - lo), np.diff(words.offsets))
+            key, times = np.unique(owner * len(terms) + number, return_counts=True)
+            owner, number = np.divmod(key, max(1, len(terms)))
+            yield pa.RecordBatch.from_arrays([pa.array(id_list[lo + owner]), pa.array(terms[number].view(np.int64)), pa.array(times.astype(np.int64))], names=["query", "word", "times"])
 
 
+@dataclass
 class Queries:
-    """A round of queries: their words' sorted hashes, and each one's word numbers and weights."""
+    """A round of queries: distinct word hashes, each query's word numbers and weights from `first`
+    on, and the score under which nothing of it counts."""
+
+    hashes: np.ndarray
+    ids: np.ndarray
+    first: np.ndarray
+    number: np.ndarray
+    weight: np.ndarray
+    floor: np.ndarray
 
-    def __init__(self, rows: pa.Table):
-        self.hashes, number = np.unique(rows["word"].to_numpy().view(np.uint64), return_inverse=True)
-        owner, weight = rows["query"].to_numpy(), rows["weight"].to_numpy()
+    @classmethod
+    def of(cls, rows: pa.Table) -> Queries:
+        hashes, number = np.unique(rows["word"].to_numpy().view(np.uint64), return_inverse=True)
+        owner = rows["query"].to_numpy()
         order = np.lexsort((number, owner))
-        self.ids, first = np.unique(owner[order], return_index=True)
-        self.parts = list(zip(np.split(number[order], first[1:]), np.split(weight[order], first[1:])))
+        ids, first = np.unique(owner[order], return_index=True)
+        floor = rows["floor"].to_numpy()[order][first] if len(ids) else np.zeros(0)
+        return cls(hashes, ids, np.append(first, len(order)), number[order].astype(np.int32), rows["weight"].to_numpy()[order], floor)
 
 
 class Shard:
-    """Postings of some documents for the words of a round of queries, in blocks."""
-
-    def __init__(self, ids: np.ndarray, term: np.ndarray, doc: np.ndarray, lengths: np.ndarray, n_terms: int, mean_length: float):
-        self.ids = ids
-        key, tf = np.unique(term * len(ids) + doc, return_counts=True)
-        term, self.doc = key // len(ids), key % len(ids)
-        self.part = tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[self.doc] / mean_length))
-        entry = term * (len(ids) // BLOCK + 1) + self.doc // BLOCK
-        self.begin = np.concatenate([[0], np.flatnonzero(entry[1:] != entry[:-1]) + 1]) if len(entry) else np.zeros(0, np.int64)
-        self.end = np.append(self.begin[1:], len(entry))
-        self.block = self.doc[self.begin] // BLOCK
-        self.most = np.maximum.reduceat(self.part, self.begin) if len(entry) else self.part
-        self.bound = np.searchsorted(term[self.begin], np.arange(n_terms + 1))
-
-    def search(self, number: np.ndarray, weight: np.ndarray, k: int, best: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        """The k best (scores, ids) among `best` and this shard."""
-        lo, hi = self.bound[number], self.bound[number + 1]
-        entries, w = _spread(lo, hi), np.repeat(weight, hi - lo)
-        if not len(entries):
+    """Postings of a shard by word and by document, and the block maxima of its frequent words."""
+
+    def __init__(self, row: dict, mean_length: float):
+        n = row["docs"]
+        self.ids, self.named = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["named"], bool)
+        self.terms = np.frombuffer(row["terms"], np.uint64)
+        self.held = _numbers(row["held"], len(self.terms)).astype(np.int64)
+        self.begin = np.concatenate([[0], np.cumsum(self.held)])
+        self.doc, times = (_numbers(row[c], self.begin[-1]) for c in ("doc", "times"))
+        norm = K1 * (1 - B + B * _numbers(row["lengths"], n) / mean_length)
+        self.part = times * (K1 + 1) / (times + norm[self.doc])
+        self.most = np.maximum.reduceat(self.part, self.begin[:-1]) if len(self.terms) else np.zeros(0)
+        # by document, words in the order of their hashes: equal documents add up alike in any shard
+        order = np.argsort(self.doc, kind="stable")
+        self.doc_term = np.repeat(np.arange(len(self.terms), dtype=np.int32), self.held)[order]
+        self.doc_part = self.part[order]
+        self.doc_begin = np.concatenate([[0], np.cumsum(np.bincount(self.doc, minlength=n))])
+        self.blocks = -(-n // BLOCK)
+        frequent = np.flatnonzero(self.held >= self.blocks)
+        spots = _spread(self.begin[frequent], self.begin[frequent + 1])
+        cell = np.repeat(np.arange(len(frequent)) * self.blocks, self.held[frequent]) + self.doc[spots] // BLOCK
+        starts = np.flatnonzero(np.diff(cell, prepend=-1))
+        peaks = np.zeros(len(frequent) * self.blocks)
+        if len(starts):
+            peaks[cell[starts]] = np.maximum.reduceat(self.part[spots], starts)
+        self.peaks = peaks.reshape(len(frequent), self.blocks)
+        self.peak_row = np.full(len(self.terms), -1)
+        self.peak_row[frequent] = np.arange(len(frequent))
+        self.weights = np.zeros(len(self.terms))
+
+    def locate(self, hashes: np.ndarray) -> np.ndarray:
+        """The number of each hash among the shard's words, or -1."""
+        if not len(self.terms):
+            return np.full(len(hashes), -1)
+        at = np.minimum(np.searchsorted(self.terms, hashes), len(self.terms) - 1)
+        return np.where(self.terms[at] == hashes, at, -1)
+
+    def search(self, at: np.ndarray, weight: np.ndarray, k: int, floor: float, best: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """The k best (scores, ids) of floor or more among `best` and this shard; at and weight are
+        the query's words that the shard holds."""
+        least = max(floor, best[0][-1]) if len(best[0]) == k else floor
+        bound = weight * self.most[at]
+        if bound.sum() < least - SLACK:
             return best
-        block = self.block[entries]
-        above = np.bincount(block, w * self.most[entries]) * (1 + 1e-9) + 10.0**-DIGITS
-        order = np.argsort(-above, kind="stable")
-        order, at, step = order[above[order] > 10.0**-DIGITS], 0, 2
-        while at < len(order):
-            opened = np.zeros(len(above), bool)
-            opened[order[at : at + step]] = True
-            use = opened[block]
+        rows = self.peak_row[at]
+        ranked = np.flatnonzero(rows >= 0)
+        ranked = ranked[np.argsort(bound[ranked] / self.held[at[ranked]])]
+        aside = ranked[: np.searchsorted(np.cumsum(bound[ranked]), ASIDE * least)]
+        opened = np.ones(len(at), bool)
+        opened[aside] = False
+        lo, n = self.begin[at[opened]], self.held[at[opened]]
+        spots = _spread(lo, lo + n)
+        reach = np.zeros(self.blocks * BLOCK)
+        reach[: len(self.ids)] = np.bincount(self.doc[spots], np.repeat(weight[opened], n) * self.part[spots], minlength=len(self.ids))
+        reach = reach.reshape(self.blocks, BLOCK)
+        if len(aside):
+            reach += (weight[aside] @ self.peaks[rows[aside]])[:, None]
+        reach = reach.ravel()[: len(self.ids)]
+        found = np.flatnonzero((reach >= max(least - SLACK, SLACK / 2)) & self.named)
+        found = found[np.argsort(-reach[found], kind="stable")] if len(found) > 4 * k else found
+        self.weights[at] = weight
+        while len(found):
+            # the likeliest documents first: they raise the threshold for the others
+            some, found = found[: 4 * k], found[4 * k :]
             if len(best[0]) == k:
-                use &= above[block] >= best[0][-1]
-            spots = _spread(self.begin[entries[use]], self.end[entries[use]])
-            if not len(spots):
+                some = some[reach[some] >= best[0][-1] - SLACK]
+                if not len(some):
+                    break
+            best = self._better(some, k, floor, best)
+            if len(best[0]) == k:
+                found = found[reach[found] >= best[0][-1] - SLACK]
+                best = self._better(found, k, floor, best) if len(found) else best
                 break
-            each = np.repeat(w[use], self.end[entries[use]] - self.begin[entries[use]])
-            total = np.round(np.bincount(self.doc[spots], each * self.part[spots]), DIGITS)
-            hit = np.flatnonzero(total >= (best[0][-1] if len(best[0]) == k else 10.0**-DIGITS))
-            score, ids = np.concatenate([best[0], total[hit]]), np.concatenate([best[1], self.ids[hit]])
-            first = np.lexsort((ids, -score))[:k]
-            best = (score[first], ids[first])
-            at, step = at + step, 16 if at == 0 else len(order)
+        self.weights[at] = 0
         return best
 
-
-def _spread(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-    """All numbers of the ranges lo .. hi-1, one after the other."""
-    width = hi - lo
-    return np.arange(width.sum()) + np.repeat(lo - (np.cumsum(width) - width), width)
+    def _better(self, docs: np.ndarray, k: int, floor: float, best: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        lo, hi = self.doc_begin[docs], self.doc_begin[docs + 1]
+        spots = _spread(lo, hi)
+        total = np.bincount(np.repeat(np.arange(len(docs)), hi - lo), self.weights[self.doc_term[spots]] * self.doc_part[spots], minlength=len(docs))
+        total = np.round(total, DIGITS)
+        hit = np.flatnonzero(total >= max(floor, SLACK))
+        score, ids = np.concatenate([best[0], total[hit]]), np.concatenate([best[1], self.ids[docs[hit]]])
+        first = np.lexsort((ids, -score))[:k]
+        return score[first], ids[first]
 
 
 def _searched(queries: Queries, mean_length: float, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best = [(np.zeros(0), np.zeros(0, np.int64))] * len(queries.ids)
-        ids, terms, docs, lengths, size = [], [], [], [], 0
-
-        def close() -> None:
-            nonlocal size
-            shard = Shard(np.concatenate(ids), np.concatenate(terms), np.concatenate(docs), np.concatenate(lengths), len(queries.hashes), mean_length)
-            for q, (number, weight) in enumerate(queries.parts):
-                best[q] = shard.search(number, weight, k, best[q])
-            size = 0
-            for x in (ids, terms, docs, lengths):
-                x.clear()
-
         for batch in batches:
-            own = batch.column("id").to_numpy()
-            for lo, hi, words in pieces(batch.column("text"), SYMBOLS):
-                at = np.minimum(np.searchsorted(queries.hashes, words.hashes), len(queries.hashes) - 1)
-                known = queries.hashes[at] == words.hashes
-                n = np.diff(words.offsets)
-                ids.append(own[lo:hi])
-                terms.append(at[known])
-                docs.append(size + np.repeat(np.arange(hi - lo), n)[known])
-                lengths.append(n)
-                size += hi - lo
-                if size >= SHARD:
-                    close()
-        if size:
-            close()
+            for row in batch.to_pylist():
+                shard = Shard(row, mean_length)
+                at = shard.locate(queries.hashes)[queries.number]
+                known = at >= 0
+                first = np.concatenate([[0], np.cumsum(known)])[queries.first].tolist()
+                at, weight = at[known], queries.weight[known]
+                for q, (lo, hi) in enumerate(zip(first[:-1], first[1:])):
+                    if lo < hi:
+                        best[q] = shard.search(at[lo:hi], weight[lo:hi], k, queries.floor[q], best[q])
         n = [len(s) for s, _ in best]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.repeat(queries.ids, n)), pa.array(np.concatenate([d for _, d in best])), pa.array(np.concatenate([s for s, _ in best]))],
-            names=["query", "id", "score"],
-        )
+        score, ids = (np.concatenate([np.zeros(0), *x]) for x in zip(*best)) if best else (np.zeros(0), np.zeros(0))
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(queries.ids, n)), pa.array(ids.astype(np.int64)), pa.array(score)], names=["query", "id", "score"])
 
     return run
 
@@ -156,41 +241,43 @@ def _searched(queries: Queries, mean_length: float, k: int):
 def top_k(docs: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "doc_id", text_col: str = "text", query_id_col: str = "doc_id", query_text_col: str = "text") -> DataFrame:
     """(query_id, rank, id_col, score): for each query the k documents of the highest BM25 scores.
 
-    Words are [^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+ after A-Z are lower-cased.  A query's word weighs its
-    count there times ln(1 + (N - n + 0.5) / (n + 0.5)); k1 is 1.2 and b 0.75.  Scores are rounded to
-    six digits; among equal ones the smaller id comes first.  Fewer than k rows come back where fewer
-    documents share a word with the query.
+    Words are [^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+ after A-Z are lower-cased, and compared by 64-bit
+    hashes.  A query's word weighs its count there times ln(1 + (N - n + 0.5) / (n + 0.5)); k1 is 1.2
+    and b 0.75.  Scores are rounded to six digits; among equal ones the smaller id comes first.  Fewer
+    than k rows come back where fewer documents share a word with the query.
 
     Null and empty texts count as documents of no words and match nothing; queries of that kind have
     no rows.  Rows with a null id count in the statistics but are neither results nor queries.
     Documents that share an id are separate results with that id; queries that share one are taken as
     one query.  Empty tables give an empty result; other columns are ignored.
     """
-    spark = docs.sparkSession
-    small_batches(spark)
+    small_batches(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    counted = written(texts.select("text").mapInArrow(_document_words, "word long, docs long, words long").groupBy("word").agg(F.sum("docs").alias("docs"), F.sum("words").alias("words")), "words")
-    corpus = counted.filter("word is null").first()
+    # a shard is a row: its place among all rows is what picks the first ones searched
+    index = written(texts.mapInArrow(_indexed, _INDEX).withColumn("shard", F.xxhash64("ids", "lengths")), "index")
+    corpus = index.agg(F.coalesce(F.sum("docs"), F.lit(0)).alias("docs"), F.coalesce(F.sum("words"), F.lit(0)).alias("words")).first()
+    counted = index.select("terms", "held").mapInArrow(_held, "word long, docs long").groupBy("word").agg(F.sum("docs").alias("docs"))
     asked = queries.select(F.col(query_id_col).cast("long").alias("id"), F.col(query_text_col).alias("text")).filter("id is not null")
     asked = asked.mapInArrow(_query_words, "query long, word long, times long").groupBy("query", "word").agg(F.sum("times").alias("times"))
-    n, mean_length = (corpus.docs, max(corpus.words, 1) / corpus.docs) if corpus else (0, 1.0)
-    known = counted.filter("word is not null").select("word", "docs")
-    idf = F.log1p((F.lit(n) - F.col("docs") + 0.5) / (F.col("docs") + 0.5))
-    weighed = written(asked.join(known, "word").select("query", "word", (F.col("times") * idf).alias("weight")), "queries")
+    idf = F.log1p((F.lit(corpus.docs) - F.col("docs") + 0.5) / (F.col("docs") + 0.5))
+    weighed = written(asked.join(counted, "word").select("query", "word", (F.col("times") * idf).alias("weight")), "queries")
+    mean_length = max(corpus.words, 1) / max(corpus.docs, 1)
     rounds = max(1, math.ceil(weighed.count() / SENT_WORDS))
+
+    chosen = F.pmod("shard", F.lit(SEEDED)) == 0
+    if index.filter(chosen).isEmpty():
+        chosen = F.col("shard") == index.agg(F.min("shard")).first()[0]
+    order = Window.partitionBy("query").orderBy(F.desc("score"), "id")
     found = None
     for turn in range(rounds):
-        rows = weighed.filter(F.pmod(F.xxhash64("query"), F.lit(rounds)) == turn).toArrow()
-        if not rows.num_rows and found is not None:
-            continue
-        search = texts.filter("id is not null").mapInArrow(_searched(Queries(rows), mean_length, k) if rows.num_rows else _nothing, "query long, id long, score double")
-        part = written(search, "hits")
+        mine = weighed.filter(F.pmod(F.xxhash64("query"), F.lit(rounds)) == turn)
+        sent = Queries.of(mine.withColumn("floor", F.lit(0.0)).toArrow())
+        seeds = written(index.filter(chosen).mapInArrow(_searched(sent, mean_length, k), _HITS).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k), "seeds")
+        floors = {r["query"]: r["score"] for r in seeds.filter(F.col("rank") == k).select("query", "score").collect()}
+        sent.floor = np.array([floors.get(q, 0.0) for q in sent.ids.tolist()])
+        rest = written(index.filter(~chosen).mapInArrow(_searched(sent, mean_length, k), _HITS), "hits")
+        part = seeds.drop("rank").unionByName(rest)
         found = part if found is None else found.unionByName(part)
-    order = Window.partitionBy("query").orderBy(F.desc("score"), "id")
     ranked = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     return ranked.select(F.col("query").alias("query_id"), F.col("rank").cast("long").alias("rank"), F.col("id").alias(id_col), "score")
 
-
-def _nothing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for _ in batches:
-        yield pa.RecordBatch.from_arrays([pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.float64())], names=["query", "id", "score"])
