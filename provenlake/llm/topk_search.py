@@ -8,8 +8,9 @@ For a query the words of a shard are split as WAND's pivot does: frequent words
 stay under a part of the threshold are put aside, and only the postings of the others are opened.  A
 block of documents is then left out where what its documents have so far, and the largest that the
 words put aside reach in that block, stays under the threshold; the documents that are left are
-scored in full.  The threshold is the k-th best score so far.  It starts from a first search of a few
-shards, so that no task begins with none.  The merge of the tasks' lists is exact.
+scored in full.  The threshold is the k-th best score so far.  Shards are searched in three steps, each from
+the thresholds of those before, so that no task begins with none and few scores leave a task that the
+merge does not need.  The merge of the tasks' lists is exact.
 """
 
 from __future__ import annotations
@@ -28,13 +29,14 @@ from .textops import SYMBOLS, pieces
 
 K1, B = 1.2, 0.75
 #: Documents of a block and of a shard, and words after which a shard is closed.
-BLOCK, SHARD, SHARD_WORDS = 64, 8192, 1 << 23
+BLOCK, SHARD, SHARD_WORDS = 16, 8192, 1 << 23
 #: Words of queries sent at once, digits of a score.
-SENT_WORDS, DIGITS = 1 << 21, 6
-#: One shard of so many is searched first, for the thresholds.
-SEEDED = 32
+SENT_WORDS, DIGITS = 1 << 20, 6
+#: Shares of the shards that are searched by the end of the first steps; the last step takes the rest,
+#: and each starts from the thresholds of those before.
+STEPS = (1 / 64, 1 / 6)
 #: Share of the threshold that words put aside may reach together.
-ASIDE = 0.5
+ASIDE = 0.3
 SLACK = 10.0**-DIGITS
 
 _INDEX = "docs long, words long, ids binary, lengths binary, named binary, terms binary, held binary, doc binary, times binary"
@@ -126,8 +128,7 @@ class Queries:
         owner = rows["query"].to_numpy()
         order = np.lexsort((number, owner))
         ids, first = np.unique(owner[order], return_index=True)
-        floor = rows["floor"].to_numpy()[order][first] if len(ids) else np.zeros(0)
-        return cls(hashes, ids, np.append(first, len(order)), number[order].astype(np.int32), rows["weight"].to_numpy()[order], floor)
+        return cls(hashes, ids, np.append(first, len(order)), number[order].astype(np.int32), rows["weight"].to_numpy()[order], np.zeros(len(ids)))
 
 
 class Shard:
@@ -139,12 +140,13 @@ class Shard:
         self.terms = np.frombuffer(row["terms"], np.uint64)
         self.held = _numbers(row["held"], len(self.terms)).astype(np.int64)
         self.begin = np.concatenate([[0], np.cumsum(self.held)])
-        self.doc, times = (_numbers(row[c], self.begin[-1]) for c in ("doc", "times"))
+        doc, times = (_numbers(row[c], self.begin[-1]) for c in ("doc", "times"))
+        self.doc = doc.astype(np.int64)
         norm = K1 * (1 - B + B * _numbers(row["lengths"], n) / mean_length)
         self.part = times * (K1 + 1) / (times + norm[self.doc])
         self.most = np.maximum.reduceat(self.part, self.begin[:-1]) if len(self.terms) else np.zeros(0)
         # by document, words in the order of their hashes: equal documents add up alike in any shard
-        order = np.argsort(self.doc, kind="stable")
+        order = np.argsort(doc, kind="stable")
         self.doc_term = np.repeat(np.arange(len(self.terms), dtype=np.int32), self.held)[order]
         self.doc_part = self.part[order]
         self.doc_begin = np.concatenate([[0], np.cumsum(np.bincount(self.doc, minlength=n))])
@@ -181,10 +183,10 @@ class Shard:
         aside = ranked[: np.searchsorted(np.cumsum(bound[ranked]), ASIDE * least)]
         opened = np.ones(len(at), bool)
         opened[aside] = False
-        lo, n = self.begin[at[opened]], self.held[at[opened]]
-        spots = _spread(lo, lo + n)
+        lo, hi = self.begin[at[opened]], self.begin[at[opened] + 1]
+        spots = _spread(lo, hi)
         reach = np.zeros(self.blocks * BLOCK)
-        reach[: len(self.ids)] = np.bincount(self.doc[spots], np.repeat(weight[opened], n) * self.part[spots], minlength=len(self.ids))
+        reach[: len(self.ids)] = np.bincount(self.doc[spots], np.repeat(weight[opened], hi - lo) * self.part[spots], minlength=len(self.ids))
         reach = reach.reshape(self.blocks, BLOCK)
         if len(aside):
             reach += (weight[aside] @ self.peaks[rows[aside]])[:, None]
@@ -208,9 +210,9 @@ class Shard:
         return best
 
     def _better(self, docs: np.ndarray, k: int, floor: float, best: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        lo, hi = self.doc_begin[docs], self.doc_begin[docs + 1]
-        spots = _spread(lo, hi)
-        total = np.bincount(np.repeat(np.arange(len(docs)), hi - lo), self.weights[self.doc_term[spots]] * self.doc_part[spots], minlength=len(docs))
+        total = np.empty(len(docs))
+        for x, (lo, hi) in enumerate(zip(self.doc_begin[docs].tolist(), self.doc_begin[docs + 1].tolist())):
+            total[x] = (self.weights[self.doc_term[lo:hi]] * self.doc_part[lo:hi]).sum()
         total = np.round(total, DIGITS)
         hit = np.flatnonzero(total >= max(floor, SLACK))
         score, ids = np.concatenate([best[0], total[hit]]), np.concatenate([best[1], self.ids[docs[hit]]])
@@ -253,8 +255,8 @@ def top_k(docs: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "doc_i
     """
     small_batches(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    # a shard is a row: its place among all rows is what picks the first ones searched
-    index = written(texts.mapInArrow(_indexed, _INDEX).withColumn("shard", F.xxhash64("ids", "lengths")), "index")
+    # a shard is a row, and its hash says in which step it is searched
+    index = written(texts.mapInArrow(_indexed, _INDEX).withColumn("shard", F.xxhash64("ids", "lengths") / 2.0**64), "index")
     corpus = index.agg(F.coalesce(F.sum("docs"), F.lit(0)).alias("docs"), F.coalesce(F.sum("words"), F.lit(0)).alias("words")).first()
     counted = index.select("terms", "held").mapInArrow(_held, "word long, docs long").groupBy("word").agg(F.sum("docs").alias("docs"))
     asked = queries.select(F.col(query_id_col).cast("long").alias("id"), F.col(query_text_col).alias("text")).filter("id is not null")
@@ -264,20 +266,22 @@ def top_k(docs: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "doc_i
     mean_length = max(corpus.words, 1) / max(corpus.docs, 1)
     rounds = max(1, math.ceil(weighed.count() / SENT_WORDS))
 
-    chosen = F.pmod("shard", F.lit(SEEDED)) == 0
-    if index.filter(chosen).isEmpty():
-        chosen = F.col("shard") == index.agg(F.min("shard")).first()[0]
+    steps = index.agg(F.percentile_approx("shard", list(STEPS))).first()[0] or []
     order = Window.partitionBy("query").orderBy(F.desc("score"), "id")
     found = None
     for turn in range(rounds):
         mine = weighed.filter(F.pmod(F.xxhash64("query"), F.lit(rounds)) == turn)
-        sent = Queries.of(mine.withColumn("floor", F.lit(0.0)).toArrow())
-        seeds = written(index.filter(chosen).mapInArrow(_searched(sent, mean_length, k), _HITS).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k), "seeds")
-        floors = {r["query"]: r["score"] for r in seeds.filter(F.col("rank") == k).select("query", "score").collect()}
-        sent.floor = np.array([floors.get(q, 0.0) for q in sent.ids.tolist()])
-        rest = written(index.filter(~chosen).mapInArrow(_searched(sent, mean_length, k), _HITS), "hits")
-        part = seeds.drop("rank").unionByName(rest)
-        found = part if found is None else found.unionByName(part)
+        sent = Queries.of(mine.toArrow())
+        for above, upto in zip([None, *steps], [*steps, None]):
+            part = index if above is None else index.filter(F.col("shard") > above)
+            part = part if upto is None else part.filter(F.col("shard") <= upto)
+            hits = written(part.mapInArrow(_searched(sent, mean_length, k), _HITS), "hits")
+            found = hits if found is None else found.unionByName(hits)
+            had = hits if above is None else had.unionByName(hits)
+            if upto is not None:
+                kth = had.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") == k)
+                floors = {r["query"]: r["score"] for r in kth.select("query", "score").collect()}
+                sent.floor = np.array([floors.get(q, 0.0) for q in sent.ids.tolist()])
     ranked = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     return ranked.select(F.col("query").alias("query_id"), F.col("rank").cast("long").alias("rank"), F.col("id").alias(id_col), "score")
 
