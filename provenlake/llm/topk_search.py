@@ -28,16 +28,20 @@ from .shared import small_batches, written
 from .textops import SYMBOLS, pieces
 
 K1, B = 1.2, 0.75
-#: Documents of a block and of a shard, and words after which a shard is closed.
-BLOCK, SHARD, SHARD_WORDS = 16, 8192, 1 << 23
+#: Words of a block, about; documents and words after which a shard is closed.
+BLOCK, SHARD, SHARD_WORDS = 4096, 8192, 1 << 23
+#: Words that one document in so many holds have block maxima.
+FREQUENT = 64
 #: Words of queries sent at once, digits of a score.
 SENT_WORDS, DIGITS = 1 << 20, 6
 #: Shares of the shards that are searched by the end of the first steps; the last step takes the rest,
 #: and each starts from the thresholds of those before.
 STEPS = (1 / 64, 1 / 6)
 #: Share of the threshold that words put aside may reach together.
-ASIDE = 0.3
+ASIDE = 0.6
 SLACK = 10.0**-DIGITS
+#: Covers what sums in single precision may lose.
+ROUNDED_UP = 1 + 1e-4
 
 _INDEX = "docs long, words long, ids binary, lengths binary, named binary, terms binary, held binary, doc binary, times binary"
 _HITS = "query long, id long, score double"
@@ -150,15 +154,17 @@ class Shard:
         self.doc_term = np.repeat(np.arange(len(self.terms), dtype=np.int32), self.held)[order]
         self.doc_part = self.part[order]
         self.doc_begin = np.concatenate([[0], np.cumsum(np.bincount(self.doc, minlength=n))])
-        self.blocks = -(-n // BLOCK)
-        frequent = np.flatnonzero(self.held >= self.blocks)
+        # documents stand in the order of their length: short ones share a block, a long one has its own
+        _, self.block = np.unique(np.cumsum(_numbers(row["lengths"], n), dtype=np.int64) // BLOCK, return_inverse=True)
+        blocks = int(self.block[-1]) + 1
+        frequent = np.flatnonzero(self.held * FREQUENT >= n)
         spots = _spread(self.begin[frequent], self.begin[frequent + 1])
-        cell = np.repeat(np.arange(len(frequent)) * self.blocks, self.held[frequent]) + self.doc[spots] // BLOCK
+        cell = np.repeat(np.arange(len(frequent)) * blocks, self.held[frequent]) + self.block[self.doc[spots]]
         starts = np.flatnonzero(np.diff(cell, prepend=-1))
-        peaks = np.zeros(len(frequent) * self.blocks)
+        peaks = np.zeros(len(frequent) * blocks, np.float32)
         if len(starts):
-            peaks[cell[starts]] = np.maximum.reduceat(self.part[spots], starts)
-        self.peaks = peaks.reshape(len(frequent), self.blocks)
+            peaks[cell[starts]] = np.maximum.reduceat(self.part[spots], starts) * ROUNDED_UP
+        self.peaks = peaks.reshape(len(frequent), blocks)
         self.peak_row = np.full(len(self.terms), -1)
         self.peak_row[frequent] = np.arange(len(frequent))
         self.weights = np.zeros(len(self.terms))
@@ -185,12 +191,9 @@ class Shard:
         opened[aside] = False
         lo, hi = self.begin[at[opened]], self.begin[at[opened] + 1]
         spots = _spread(lo, hi)
-        reach = np.zeros(self.blocks * BLOCK)
-        reach[: len(self.ids)] = np.bincount(self.doc[spots], np.repeat(weight[opened], hi - lo) * self.part[spots], minlength=len(self.ids))
-        reach = reach.reshape(self.blocks, BLOCK)
+        reach = np.bincount(self.doc[spots], np.repeat(weight[opened], hi - lo) * self.part[spots], minlength=len(self.ids))
         if len(aside):
-            reach += (weight[aside] @ self.peaks[rows[aside]])[:, None]
-        reach = reach.ravel()[: len(self.ids)]
+            reach += (weight[aside].astype(np.float32) @ self.peaks[rows[aside]])[self.block]
         found = np.flatnonzero((reach >= max(least - SLACK, SLACK / 2)) & self.named)
         found = found[np.argsort(-reach[found], kind="stable")] if len(found) > 4 * k else found
         self.weights[at] = weight

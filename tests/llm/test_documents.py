@@ -110,7 +110,7 @@ def test_top_k(spark, monkeypatch):
     rows = brute.corpus(seed=8, n=150)
     rows += [(5000 + k, rows[k][1]) for k in range(20)]
     queries = [r for r in rows if r[0] % 10 == 0]
-    for name, value in (("BLOCK", 4), ("SHARD", 12), ("SENT_WORDS", 150)):
+    for name, value in (("BLOCK", 100), ("SHARD", 12), ("SENT_WORDS", 150)):
         monkeypatch.setattr(topk_search, name, value)
     docs = table(spark, [*rows, (None, "w1 w2 w3")], ["id", "score"])
     found = got(topk_search.top_k(docs, table(spark, [*queries, (None, "w1")])), "query_id", "rank", "doc_id", "score")
