@@ -12,13 +12,15 @@ from __future__ import annotations
 import heapq
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Longest period that the driver lays out.
 MOST_SLOTS = 1_000_000
 #: Rows that one ranking group holds, about.
-RANKED_ROWS = 16_384
+RANKED_ROWS = 4096
+#: Most piles of equal rows that are ranked as one row each; this bounds what is sent to every task.
+MOST_PILES = 100_000
 OTHER = "other"
 
 
@@ -82,32 +84,51 @@ def mix_sources(docs: DataFrame, weights: dict[str, int], other_weight: int = 1,
     weights are positive integers by source; their number bounds what the driver counts and lays out.
     Sources not named, and a null source, share one queue of weight other_weight, called 'other'; a
     source named so joins it.  Rows of a queue stand in the order of xxhash64 of all their columns, so
-    the order is fixed and no order of the input shows through.  Every row comes back once, repeated
-    rows included; the last block of a queue may be short.  An empty table gives an empty result.
+    the order is fixed and no order of the input shows through; equal rows stand side by side.  Every
+    row comes back once, repeated rows included; the last block of a queue may be short.  An empty table gives an empty result.
     Columns of docs called mix_slot or mix_row are replaced.
     """
     weights = {s: w for s, w in weights.items() if s != OTHER} | {OTHER: weights.get(OTHER, other_weight)}
     if any(not isinstance(w, int) or w < 1 for w in weights.values()) or sum(weights.values()) > MOST_SLOTS:
         raise ValueError(f"weights must be positive integers that sum to {MOST_SLOTS} at most")
-    docs = docs.drop(*{"mix_slot", "mix_row"} - {source_col})
+    kept = [c for c in docs.columns if c == source_col or c not in ("mix_slot", "mix_row")]
     named = [s for s in weights if s != OTHER]
     queue = F.when(F.col(source_col).isin(named), F.col(source_col)).otherwise(F.lit(OTHER)) if named else F.lit(OTHER)
-    rows = docs.withColumns({"__queue": queue, "__order": F.xxhash64(*docs.columns)})
+    rows = docs.select(F.struct(*kept).alias("row"), queue.alias("queue"), F.xxhash64(*kept).alias("order"))
 
-    sizes = {r["__queue"]: r["n"] for r in rows.groupBy("__queue").agg(F.count("*").alias("n")).collect()}
+    sizes = {r["queue"]: r["n"] for r in rows.groupBy("queue").agg(F.count("*").alias("n")).collect()}
     lots = max(1, math.ceil(sum(sizes.values()) / RANKED_ROWS))
-    rows = rows.withColumn("__lot", F.floor((F.col("__order") / 2.0**64 + 0.5) * lots))
-    # a queue's rank: rows of earlier lots, and the place in its own lot
-    before = Window.partitionBy("__queue").orderBy("__lot").rowsBetween(Window.unboundedPreceding, -1)
-    lot = rows.groupBy("__queue", "__lot").agg(F.count("*").alias("n")).withColumn("__before", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
-    inside = Window.partitionBy("__queue", "__lot").orderBy("__order")
-    ranked = rows.withColumn("__place", F.row_number().over(inside) - 1).join(lot, ["__queue", "__lot"])
-    ranked = ranked.withColumn("__rank", F.col("__before") + F.col("__place")).withColumn("__block", F.floor(F.col("__rank") / block_rows))
+    rows = rows.withColumn("lot", F.floor((F.col("order") / 2.0**64 + 0.5) * lots))
+    # equal rows share one order: their rows are told apart by a bare count, not ranked in one window
+    copies = rows.groupBy("queue", "lot", "order").agg(F.count("*").alias("n"))
+    many = copies.filter(F.col("n") > max(RANKED_ROWS, sum(sizes.values()) // MOST_PILES))
+    if many.isEmpty():
+        ranked = _ranked(rows, lots)
+    else:
+        # one row stands for each pile of equal ones
+        piled = F.broadcast(many.select("order", F.col("n").alias("pile")).groupBy("order").agg(F.sum("pile").alias("pile")))
+        apart = rows.join(piled, "order", "left")
+        one = rows.join(piled, "order").dropDuplicates(["queue", "order"]).select("row", "queue", "order", "lot", "pile")
+        ranked = _ranked(apart.filter("pile is null").unionByName(one), lots, F.coalesce("pile", F.lit(1)))
+        ranked = ranked.withColumn("rank", F.explode(F.sequence(F.col("rank"), F.col("rank") + F.coalesce("pile", F.lit(1)) - 1)))
+    ranked = ranked.withColumn("block", F.floor(F.col("rank") / block_rows))
 
     laid = phases(weights, {s: -(-n // block_rows) for s, n in sizes.items()})
     plan = docs.sparkSession.createDataFrame(laid, "p_queue string, first long, stop long, base long, total long, slots array<long>")
     # as many rows as sources times ends of sources, which the weights bound
-    placed = ranked.join(F.broadcast(plan), (F.col("__queue") == F.col("p_queue")) & (F.col("__block") >= F.col("first")) & (F.col("__block") < F.col("stop")))
-    nth, own = F.col("__block") - F.col("first"), F.size("slots")
+    placed = ranked.join(F.broadcast(plan), (F.col("queue") == F.col("p_queue")) & (F.col("block") >= F.col("first")) & (F.col("block") < F.col("stop")))
+    nth, own = F.col("block") - F.col("first"), F.size("slots")
     slot = F.col("base") + F.floor(nth / own) * F.col("total") + F.get("slots", (nth % own).cast("int"))
-    return placed.select(*docs.columns, slot.cast("long").alias("mix_slot"), (F.col("__rank") % block_rows).cast("long").alias("mix_row"))
+    return placed.select(*[F.col("row")[c].alias(c) for c in kept], slot.cast("long").alias("mix_slot"), (F.col("rank") % block_rows).cast("long").alias("mix_row"))
+
+
+def _ranked(rows: DataFrame, lots: int, weight: Column | None = None) -> DataFrame:
+    """rows with rank: how many rows of the queue stand before, by lots and within the own one."""
+    weight = F.lit(1) if weight is None else weight
+    before = Window.partitionBy("queue").orderBy("lot").rowsBetween(Window.unboundedPreceding, -1)
+    lot = rows.groupBy("queue", "lot").agg(F.sum(weight).alias("n")).withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
+    inside = Window.partitionBy("queue", "lot").orderBy("order").rowsBetween(Window.unboundedPreceding, -1)
+    # as many partitions as lots: a task ranks a bounded number of rows at any size
+    dealt = rows.repartition(max(lots, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "queue", "lot")
+    placed = dealt.withColumn("place", F.coalesce(F.sum(weight).over(inside), F.lit(0))).join(lot, ["queue", "lot"])
+    return placed.withColumn("rank", F.col("before") + F.col("place"))
