@@ -3,8 +3,9 @@
 Line hashes are range-partitioned with their document, so that a hot line spreads over as many
 partitions as it fills, and sorted within by hash, document (largest first) and position.  Each
 partition streams its rows and holds no more than one document's rows of one line.  A line that
-crosses a partition's edge is settled afterwards from two small counts a partition.  Texts never
-take part in the shuffle: decisions come back as (document, position) and end as bitmaps.
+crosses a partition's edge is settled afterwards from two small counts a partition.  Bitmaps are made
+without texts in a shuffle: decisions come back as (document, position).  Rebuilding the texts
+(drop_lines) shuffles them once, to their bitmaps.
 """
 
 from __future__ import annotations
@@ -88,6 +89,8 @@ def _streamed(min_docs: int):
                 edge = (c["h1"][0], c["h2"][0])
                 at_edge = True
             else:
+                if key == edge and not goes_on:
+                    yield _count(edge, docs, most)  # the first line ended with the last batch
                 at_edge = goes_on and key == edge
             ends = len(begin) > 1
             if goes_on and total[0] >= min_docs:
