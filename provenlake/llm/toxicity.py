@@ -22,6 +22,8 @@ from .textops import SYMBOLS, pieces
 
 #: Bits of a word's feature number.
 BITS = 20
+#: Beside the labels 0 and 1.
+UNLABELLED = 2
 
 
 @dataclass
@@ -66,46 +68,67 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = []
         for _, _, words in pieces(batch.column("text"), SYMBOLS):
             found += [np.unique(_features(words.of(k))).astype(np.int32).tobytes() for k in range(len(words.offsets) - 1)]
-        yield pa.RecordBatch.from_arrays([batch.column("positive"), pa.array(found, pa.binary())], names=["positive", "features"])
+        yield pa.RecordBatch.from_arrays([batch.column("kind"), pa.array(found, pa.binary())], names=["kind", "features"])
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", train_rows: int = 20_000, steps: int = 1500) -> Model:
-    """Trains on at most train_rows labelled rows, those with the smallest xxhash64(id): the bound of
-    what the driver gathers.  Rows of label 1 are the positives; all sampled rows, whatever their
-    label, are the unlabelled texts.  The class prior is the share of label 1 in the
-    sample, after equal texts of one label are taken as one.
+    """Trains on at most train_rows labelled rows and as many unlabelled ones, of each those with the
+    smallest xxhash64(id): the bound of what the driver gathers.  Labelled rows of label 1 are the
+    positives; the unlabelled texts are all sampled ones, those that labels does not name and, whatever
+    their label, those that it does.  The class prior is the share of label 1 in the labelled
+    sample.  Equal texts count once.
 
     Held-out rows and rows with a null id or label are not used.  A label repeated for an id counts
-    once, as 1 if any row says so.  Without a single positive, or without training rows, the model
+    once, as 1 if any row says so.  Without a single positive, or without unlabelled rows, the model
     gives every text the same score, below one half.
     """
     small_batches(docs.sparkSession)
+    order = [F.xxhash64("id"), F.col("id")]
     usable = labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & ~held_out(F.col(id_col)))
-    chosen = usable.groupBy(F.col(id_col).alias("id")).agg(F.max(F.col(label_col) == 1).alias("positive"))
-    chosen = chosen.orderBy(F.xxhash64("id"), "id").limit(train_rows)
+    chosen = usable.groupBy(F.col(id_col).alias("id")).agg(F.max((F.col(label_col) == 1).cast("int")).alias("kind")).orderBy(*order).limit(train_rows)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    # the bounded sample is sent to where the texts are
-    sample = texts.join(F.broadcast(chosen), "id").select("positive", "text")
-    rows = sample.mapInArrow(_sets, "positive boolean, features binary").collect()
+    named = labels.select(F.col(id_col).alias("id")).filter("id is not null")
+    open_ids = texts.select("id").filter(F.col("id").isNotNull() & ~held_out(F.col("id"))).join(named, "id", "left_anti").distinct()
+    unlabelled = open_ids.withColumn("kind", F.lit(UNLABELLED)).orderBy(*order).limit(train_rows)
+    # the bounded samples are sent to where the texts are
+    sample = texts.join(F.broadcast(chosen.unionByName(unlabelled)), "id").select("kind", "text")
+    rows = sample.mapInArrow(_sets, "kind int, features binary").collect()
     # copies of one text would make all its words look telling
-    distinct = sorted({(bytes(r.features), r.positive) for r in rows})
-    return train([np.frombuffer(x, np.int32) for x, _ in distinct], np.array([y for _, y in distinct], bool), steps)
-
-
-def train(sets: list[np.ndarray], positive: np.ndarray, steps: int = 1500, rate: float = 0.1, decay: float = 1e-7) -> Model:
+    by_kind = {kind: sorted({bytes(r.features) for r in rows if r.kind == kind}) for kind in (0, 1, UNLABELLED)}
+    labelled = by_kind[0] + by_kind[1]
+    prior = len(by_kind[1]) / max(1, len(labelled))
+    sets = [[np.frombuffer(x, np.int32) for x in part] for part in (by_kind[1], by_kind[UNLABELLED] + labelled)]
+    return train(*sets, prior, steps)
+
+
+def risk_slopes(scores: np.ndarray, positive: np.ndarray, prior: float) -> tuple[float, np.ndarray]:
+    """The negative part of the risk, and the descent's slope at each score: that of the whole risk, or,
+    while the negative part is below zero, that of its opposite.  Rows that are not positive are
+    unlabelled.  Losses are logistic: loss(+) = -log s, loss(-) = -log(1 - s)."""
+    p, u = positive.sum(), (~positive).sum()
+    s = 1 / (1 + np.exp(-np.clip(scores, -30, 30)))
+    negative = -np.log1p(-np.minimum(s, 1 - 1e-12))
+    rest = negative[~positive].mean() - prior * negative[positive].mean()
+    d_rest = np.where(positive, -prior * s / p, s / u)
+    d_up = np.where(positive, prior * (s - 1) / p, 0.0)
+    return float(rest), d_up + d_rest if rest >= 0 else -d_rest
+
+
+def train(positives: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, steps: int = 1500, rate: float = 0.1, decay: float = 1e-7) -> Model:
     """Full-batch training on feature sets.  Features enter when positives hold them more often than
     unlabelled texts do at five standard errors, in three positives or more: rare words that one
     class happens to hold say nothing."""
-    n, p = len(sets), int(positive.sum())
-    prior = p / n if n else 0.0
-    if not 0 < p < n:
+    p, u = len(positives), len(unlabelled)
+    if not p or not u or not 0 < prior < 1:
         return Model(np.zeros(0, np.int64), np.zeros(0), -2.0)
-    sizes = np.array([len(s) for s in sets])
-    column, row = np.concatenate(sets), np.repeat(np.arange(n), sizes)
-    in_u = np.bincount(column, minlength=1 << BITS)
+    sets, n = [*positives, *unlabelled], p + u
+    positive = np.arange(n) < p
+    column, row = np.concatenate(sets), np.repeat(np.arange(n), [len(s) for s in sets])
+    in_u = np.bincount(column[~positive[row]], minlength=1 << BITS)
     in_p = np.bincount(column[positive[row]], minlength=1 << BITS)
-    share = in_u / n
-    z = (in_p / p - share) / np.sqrt(np.maximum(share * (1 - share), 1e-12) / p)
+    # one text more of each feature: what no sampled text holds is not held for impossible
+    share = (in_u + 1) / (u + 2)
+    z = (in_p / p - share) / np.sqrt(share * (1 - share) / p)
     used = np.flatnonzero((in_p >= 3) & (z > 5) & (in_p / p > 2 * share))
     where = np.full(1 << BITS, -1)
     where[used] = np.arange(len(used))
@@ -114,14 +137,7 @@ def train(sets: list[np.ndarray], positive: np.ndarray, steps: int = 1500, rate:
     w, b = np.zeros(len(used)), np.log(prior / (1 - prior))
     m, v = np.zeros(len(used) + 1), np.zeros(len(used) + 1)
     for t in range(1, steps + 1):
-        score = b + np.bincount(row, w[column], minlength=n)
-        s = 1 / (1 + np.exp(-np.clip(score, -30, 30)))
-        # logistic losses: loss(+) = -log s, loss(-) = -log(1 - s)
-        negative = -np.log1p(-np.minimum(s, 1 - 1e-12))
-        rest = negative.mean() - prior * negative[positive].mean()
-        d_rest = s / n - prior * np.where(positive, s, 0) / p
-        d_up = prior * np.where(positive, s - 1, 0) / p
-        slope = d_up + d_rest if rest >= 0 else -d_rest
+        _, slope = risk_slopes(b + np.bincount(row, w[column], minlength=n), positive, prior)
         g = np.append(np.bincount(column, slope[row], minlength=len(used)) + decay * w, slope.sum())
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         step = rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
