@@ -1,7 +1,9 @@
 """Cross-entropy difference between a target and a background bigram model over one vocabulary.
 
-Words and word pairs are counted one by one, under 64-bit keys, over every document: the background
-over all, the target over the chosen ones.  With c a model's counts, N its words and V = SMOOTH,
+Words and word pairs are counted one by one, under 64-bit keys, over every document: the target over
+the chosen ones, the background over all others.  The two are matched: the background's counts are
+scaled by target words / background words, so that smoothing weighs the same in both, and no document
+is left out for it.  With c a model's counts, N its words and V = SMOOTH,
     P(w)     = (c(w) + 1) / (N + V)
     P(w | h) = (least(c(h, w), c(h)) + PULL * P(w)) / (c(h) + PULL)
 and the first word of a text has P(w).  A document's score is its mean loss per word under the
@@ -117,7 +119,7 @@ def _asked(buckets: int):
                 full = [k for k in range(buckets) if cuts[k] < cuts[k + 1]]
                 spans = [slice(cuts[k], cuts[k + 1]) for k in full]
                 steps = [_packed(np.diff(keys[s], prepend=edges[k])) for k, s in zip(full, spans)]
-                yield _batch(_ASKED, full, [chunk] * len(full), steps, [_packed(of_target[s]) for s in spans], [_packed(times[s]) for s in spans])
+                yield _batch(_ASKED, full, [chunk] * len(full), steps, [_packed(of_target[s]) for s in spans], [_packed((times - of_target)[s].astype(np.uint64)) for s in spans])
 
     return run
 
@@ -142,11 +144,11 @@ def _told(buckets: int):
     return run
 
 
-def _losses(of_keys: np.ndarray, which: np.ndarray, begins: np.ndarray, size: float) -> np.ndarray:
-    """-log P of each word under one model that has seen size words."""
+def _losses(of_keys: np.ndarray, which: np.ndarray, begins: np.ndarray, size: float, scale: float) -> np.ndarray:
+    """-log P of each word under one model that has seen size words, its counts scaled."""
     n = len(begins)
-    counts = of_keys.astype(np.float64)[which]
-    p = (counts[:n] + 1.0) / (size + SMOOTH)
+    counts = (of_keys.astype(np.float64) * scale)[which]
+    p = (counts[:n] + 1.0) / (size * scale + SMOOTH)
     at = np.flatnonzero(~begins)
     before = counts[at - 1]
     p[at] = (np.minimum(counts[n:], before) + PULL * p[at]) / (before + PULL)
@@ -154,6 +156,8 @@ def _losses(of_keys: np.ndarray, which: np.ndarray, begins: np.ndarray, size: fl
 
 
 def _scored(sizes: list[float]):
+    scales = (1.0, sizes[0] / sizes[1] if all(sizes) else 1.0)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in groups(batches, ["chunk"]):
             # the chunk's texts stand before what its ranges told
@@ -161,9 +165,9 @@ def _scored(sizes: list[float]):
             tokens, begins, bounds = _tokens(texts.column("text"))
             _, which = np.unique(tokens, return_inverse=True)
             n, means = np.diff(bounds), []
-            for name, size in zip(("body", "background"), sizes):
+            for name, size, scale in zip(("body", "background"), sizes, scales):
                 told = np.concatenate([np.zeros(0, np.uint64), *(_unpacked(x.as_py()) for x in group[name][1:])])
-                total = np.concatenate([[0.0], np.cumsum(_losses(told, which, begins, size))])
+                total = np.concatenate([[0.0], np.cumsum(_losses(told, which, begins, size, scale))])
                 with np.errstate(invalid="ignore"):
                     means.append((total[bounds[1:]] - total[bounds[:-1]]) / n)
             target, background = (pa.array(m, from_pandas=True) for m in means)
@@ -176,13 +180,13 @@ def _scored(sizes: list[float]):
 def score_documents(docs: DataFrame, target_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, n_words, loss_target, loss_background, score) for every row of docs.
 
-    target_ids holds, in its column id_col, the documents of the target; all documents are the
+    target_ids holds, in its column id_col, the documents of the target; all others are the
     background.  Words are [^\\x20\\x09-\\x0D]+ with A-Z lower-cased.  A higher score is nearer to the
     target.
 
     Null and blank texts have no words: losses null, score 0.  Null ids are never of the target;
-    repeated rows are counted and scored each; repeated or unknown target ids change nothing.  With no
-    target documents the target model is uniform.  An empty table gives an empty result.
+    repeated rows are counted and scored each; repeated or unknown target ids change nothing.  A
+    model without documents is uniform, and the other one then keeps its own counts.  An empty table gives an empty result.
     """
     small_batches(docs.sparkSession)
     chosen = target_ids.select(F.col(id_col).alias("t_id")).filter("t_id is not null").distinct().withColumn("target", F.lit(True))
@@ -198,5 +202,5 @@ def score_documents(docs: DataFrame, target_ids: DataFrame, id_col: str = "doc_i
     told = asked.mapInArrow(_told(buckets), _TOLD)
     met = bodies.unionByName(told).repartition("chunk").sortWithinPartitions("chunk", "bucket")
     kind = texts.schema["id"].dataType.simpleString()
-    scored = met.mapInArrow(_scored([float(x) for x in seen]), f"id {kind}, n_words long, loss_target double, loss_background double, score double")
+    scored = met.mapInArrow(_scored([float(seen[0]), float(seen[1] - seen[0])]), f"id {kind}, n_words long, loss_target double, loss_background double, score double")
     return scored.withColumnRenamed("id", id_col)

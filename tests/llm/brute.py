@@ -110,23 +110,28 @@ def lm_scores(rows, target, vocabulary=1 << 20, pull=5.0):
     """{doc_id: (n_words, score)} by exact counts of words and word pairs."""
     texts = {i: blank_words(t) for i, t in rows}
 
+    target = [i for i in texts if i in target]
+    rest = [i for i in texts if i not in target]
+    words_of = lambda ids: sum(len(texts[i]) for i in ids)
+    matched = words_of(target) / words_of(rest) if words_of(target) and words_of(rest) else 1.0
+
     def model(ids):
         uni = Counter(w for i in ids for w in texts[i])
         return uni, Counter(p for i in ids for p in zip(texts[i], texts[i][1:])), sum(uni.values())
 
-    def loss(words, m):
+    def loss(words, m, scale):
         uni, bi, n = m
         total = 0.0
         for at, w in enumerate(words):
-            alone = (uni[w] + 1) / (n + vocabulary)
+            alone = (uni[w] * scale + 1) / (n * scale + vocabulary)
             if at:
-                c = uni[words[at - 1]]
-                alone = (min(bi[words[at - 1], w], c) + pull * alone) / (c + pull)
+                c = uni[words[at - 1]] * scale
+                alone = (min(bi[words[at - 1], w] * scale, c) + pull * alone) / (c + pull)
             total -= math.log(alone)
         return total / len(words)
 
-    t, g = model([i for i in texts if i in target]), model(list(texts))
-    return {i: (len(w), loss(w, g) - loss(w, t) if w else 0.0) for i, w in texts.items()}
+    t, g = model(target), model(rest)
+    return {i: (len(w), loss(w, g, matched) - loss(w, t, 1.0) if w else 0.0) for i, w in texts.items()}
 
 
 def sha(text):
