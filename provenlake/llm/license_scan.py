@@ -1,7 +1,9 @@
 """Exact set-similarity join of text blocks with license templates, and base phrases.
 
-A block is a line; its set is its distinct words.  A block meets a template when it holds at least
-`percent` of the template's words.  Words of no template cannot add to an overlap, so sets are cut
+A block is a window of consecutive words, across line ends: twice as many words as the longest template
+has, one beginning every as many, so that every notice lies whole in one.  Its set is its distinct
+words.  A block meets a template when it holds at least `percent` of the template's words, unless it
+meets another one by as large a share whose words there are these and more.  Words of no template cannot add to an overlap, so sets are cut
 to the templates' words, ordered by how many documents of the whole corpus hold each, rarest first.
 A block and a template can only meet if the block holds a word of the template's prefix
 (all but the overlap still needed), has enough words (length filter), and enough are left on both
@@ -48,6 +50,7 @@ class Vocabulary:
     def __init__(self, templates: dict[str, str], phrases: dict[str, str]):
         self.hashes = np.unique(np.array([h for t in [*templates, *phrases] for h in _hashes(templates.get(t, t))], np.uint64))
         number = {int(h): k for k, h in enumerate(self.hashes)}
+        self.stride = max([len(_hashes(t)) for t in templates.values()], default=1)
         self.templates = {label: sorted({number[h] for h in _hashes(text)}) for label, text in templates.items()}
         self.phrases = {tuple(number[h] for h in _hashes(p)): label for p, label in phrases.items()}
 
@@ -91,7 +94,13 @@ class Index:
 
     def meets(self, block: list[int]) -> Iterator[tuple[str, float]]:
         """Templates that the block, distinct ranks in order, meets; with the share it holds."""
-        tried = set()
+        met = self._tried(block)
+        for label, share, words in met:
+            if not any(words < more and share <= other for _, other, more in met):
+                yield label, share
+
+    def _tried(self, block: list[int]) -> list[tuple[str, float, frozenset]]:
+        tried, met = set(), []
         for j, r in enumerate(block):
             for t, i in self.prefix.get(r, ()):
                 if t in tried:
@@ -101,9 +110,10 @@ class Index:
                 need = self.needed[t]
                 if len(block) < need or min(len(ranked) - i, len(block) - j) < need:
                     continue
-                shared = len(members.intersection(block))
-                if shared >= need:
-                    yield label, shared / len(ranked)
+                shared = members.intersection(block)
+                if len(shared) >= need:
+                    met.append((label, len(shared) / len(ranked), shared))
+        return met
 
 
 def _scanned(vocabulary: Vocabulary, index: Index, id_col: str):
@@ -126,13 +136,18 @@ def _scanned(vocabulary: Vocabulary, index: Index, id_col: str):
                         labels[doc].add(label)
                 hit = np.flatnonzero(numbers >= 0)
                 ranks = index.rank[numbers[hit]]
-                feeds = np.flatnonzero(words.raw == 0x0A)
                 doc_of = np.searchsorted(words.offsets, hit, "right") - 1
-                # equal (document, line feeds before the word) is one block
-                line = np.searchsorted(feeds, words.starts[hit]) * size + doc_of
-                cuts = np.concatenate([[0], np.flatnonzero(line[1:] != line[:-1]) + 1]) if len(hit) else np.zeros(0, np.int64)
+                # a word stands in the block that begins in its stretch and in the one before
+                stretch = (hit - words.offsets[doc_of]) // vocabulary.stride
+                early = np.flatnonzero(stretch > 0)
+                block_of = np.concatenate([stretch, stretch[early] - 1])
+                doc_of, ranks = np.concatenate([doc_of, doc_of[early]]), np.concatenate([ranks, ranks[early]])
+                order = np.lexsort((block_of, doc_of))
+                doc_of, block_of, ranks = doc_of[order], block_of[order], ranks[order]
+                changed = (doc_of[1:] != doc_of[:-1]) | (block_of[1:] != block_of[:-1])
+                cuts = np.concatenate([[0], np.flatnonzero(changed) + 1]) if len(hit) else np.zeros(0, np.int64)
                 rare = np.add.reduceat(index.rare[ranks].astype(int), cuts) if len(hit) else cuts
-                stops = np.append(cuts[1:], len(hit))
+                stops = np.append(cuts[1:], len(ranks))
                 for k in np.flatnonzero(rare).tolist():
                     block = np.unique(ranks[cuts[k] : stops[k]]).tolist()
                     kept = more[int(doc_of[cuts[k]])]
