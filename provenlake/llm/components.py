@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import join_hot, written
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) for every node with a link to another one; component is the least node.
 
-    Only minima per node are aggregated and joined back, so no task gathers the neighbours of a hub
-    and the driver sees two numbers a round.  Rows with a null end, loops and repeated edges are
+    Only minima per node are aggregated, and joined back with hubs apart (join_hot), so no task gathers
+    the neighbours of a hub and the driver sees two numbers a round.  Rows with a null end, loops and repeated edges are
     without effect; an empty edge list gives an empty table.
     """
     now = written(
@@ -21,10 +21,10 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     state = _state(now)
     while state[0]:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        lower = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(lower, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u > v")
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+        large = written(join_hot(both.filter("v > u"), least, ["u"], "n", 2 * state[0]).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "edges")
+        lower = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        small = join_hot(large, lower, ["u"], "n", state[0]).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u > v")
         now = written(small.unionByName(lower.select("u", F.col("m").alias("v"))).distinct(), "edges")
         before, state = state, _state(now)
         if state == before:

@@ -1,7 +1,7 @@
 """MinHash near-duplicates with sequential Bayesian verification.
 
-Documents become sets of word shingles; equal sets collapse into one class, so exact copies cost one
-node.  Banded MinHash keys propose candidates.  In blocks of one bucket's members, candidates are
+Documents become sets of word shingles, compared by 64-bit hashes; equal sets collapse into one class,
+so exact copies cost one node.  Banded MinHash keys propose candidates.  In blocks of one bucket's members, candidates are
 compared batch after batch of signature bytes; after each batch a pair is dropped once the
 posterior probability that its similarity reaches the threshold is below the chosen miss
 probability.  Survivors are gathered into candidate clusters, and every pair of a cluster is then
@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import groups, merge_sets, small_batches, written
+from .shared import groups, join_hot, merge_sets, small_batches, written
 from .textops import BLANK, mix, pieces, shingle_sets
 
 #: Signature values compared between two looks at the posterior.
@@ -211,8 +211,9 @@ def near_duplicates(
     )
     sets = features.filter("n > 0 and id is not null")
     # a class is known by one of its rows, so that repeated rows and ids count once
-    classes = written(sets.groupBy("f1", "f2", "n").agg(F.min(F.struct("id", "row")).alias("o")).select("f1", "f2", "n", F.col("o.id").alias("least"), F.col("o.row").alias("rep")), "classes")
-    holders = written(sets.select("id", "n", "f1", "f2").join(classes.select("f1", "f2", "n", "rep"), ["f1", "f2", "n"]).select("id", "n", "rep"), "holders")
+    classes = written(sets.groupBy("f1", "f2", "n").agg(F.min(F.struct("id", "row")).alias("o"), F.count("*").alias("rows")).select("f1", "f2", "n", F.col("o.id").alias("least"), F.col("o.row").alias("rep"), "rows"), "classes")
+    total = features.count()
+    holders = written(join_hot(sets.select("id", "n", "f1", "f2"), classes.select("f1", "f2", "n", "rep", "rows"), ["f1", "f2", "n"], "rows", total).select("id", "n", "rep"), "holders")
     reps = sets.select("row", "n", "bands", "sig").join(classes.select(F.col("rep").alias("row")), "row").withColumnRenamed("row", "rep")
 
     keys = reps.select("rep", "n", F.explode("bands").alias("key"))
@@ -230,8 +231,8 @@ def near_duplicates(
 
     coarse = coarse.select(F.col("node").alias("rep"), F.col("component").alias("cluster"))
     sized = coarse.join(classes.select("rep", "n"), "rep")
-    parts = sized.groupBy("cluster").agg(F.sum("n").alias("total"))
-    parts = sized.join(parts, "cluster").select("rep", "cluster", F.ceil(F.col("total") / block_shingles).alias("pieces"))
+    parts = sized.groupBy("cluster").agg(F.sum("n").alias("total"), F.count("*").alias("members"))
+    parts = join_hot(sized, parts, ["cluster"], "members", total).select("rep", "cluster", F.ceil(F.col("total") / block_shingles).alias("pieces"))
     texts = features.select(F.col("row").alias("rep"), "text").join(written(parts, "clusters"), "rep")
     exact = _blocks(texts, "cluster", F.col("pieces")).select("cluster", "i", "j", "rep", "text")
     alike = exact.mapInArrow(_verified(shingle_words, percent, 100), "a long, b long")
@@ -239,10 +240,10 @@ def near_duplicates(
     several = holders.groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).filter("a < z").select("id", "a")
     links = connected_components(alike.unionByName(holders.join(several, "id").select("a", F.col("rep").alias("b"))))
 
-    joined = classes.join(links.withColumnRenamed("node", "rep"), "rep", "left").select("rep", "least", F.coalesce("component", "rep").alias("node"))
-    least = joined.groupBy("node").agg(F.min("least").alias("component"))
-    found = written(joined.join(least, "node").select("rep", "component"), "components")
-    full = holders.join(found, "rep").select("id", "n", "component")
+    joined = classes.join(links.withColumnRenamed("node", "rep"), "rep", "left").select("rep", "least", "rows", F.coalesce("component", "rep").alias("node"))
+    least = joined.groupBy("node").agg(F.min("least").alias("component"), F.count("*").alias("members"))
+    found = written(join_hot(joined, least, ["node"], "members", total).select("rep", "rows", "component"), "components")
+    full = join_hot(holders, found, ["rep"], "rows", total).select("id", "n", "component")
     blank = features.filter("n = 0 and id is not null").select("id", "n")
     theirs = holders.join(blank.select("id").distinct(), "id", "left_semi").join(found, "rep").groupBy("id").agg(F.min("component").alias("component"))
     rest = blank.join(theirs, "id", "left").select("id", "n", F.coalesce("component", "id").alias("component"))

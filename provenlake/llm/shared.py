@@ -9,16 +9,20 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes and rows of one Arrow batch sent to a Python task; long texts make row counts a poor bound.
 ARROW_BYTES, ARROW_ROWS = 16 << 20, 4000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a temporary one only where the session names none."""
+    """The folder of spark.checkpoint.dir; a temporary one only where a local session names none.  On a
+    cluster a machine's own folder would be seen by no other one, so that raises ValueError."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     named = tempfile.mkdtemp(prefix="provenlake-")
     spark.conf.set("spark.checkpoint.dir", named)
     return named
@@ -39,6 +43,20 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
 
 
+#: Keys that count as hot: those with more rows than this, and never more of them than HOT_KEYS.
+HOT_ROWS, HOT_KEYS = 1024, 50_000
+
+
+def join_hot(left: DataFrame, right: DataFrame, on: list[str], rows: str, total: int) -> DataFrame:
+    """left joined with right, which has one row a key and in the column `rows` how many of left's
+    `total` rows have it.  Hot keys, whose number that total bounds, are joined by sending their rows of
+    right to where left's lie, the others by a shuffle: no task gathers a hot key's rows."""
+    most = max(HOT_ROWS, total // HOT_KEYS)
+    hot = right.filter(F.col(rows) > most)
+    rest = left.join(F.broadcast(hot.select(*on)), on, "left_anti").join(right.filter(F.col(rows) <= most), on)
+    return left.join(F.broadcast(hot), on).unionByName(rest).drop(rows)
+
+
 def groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
     """Runs of rows with equal keys, from batches that are sorted by them.  The caller bounds a
     group's size; a group may span batches."""
