@@ -88,6 +88,11 @@ def _sql_text(html: str) -> str:
     text = f"regexp_replace(regexp_replace({text}, '(?i)</?(?:{warc.BREAKS})\\b[^>]*>', chr(10), 'g'), '<[^>]*>', '', 'g')"
     for entity, char in warc.ENTITIES:
         text = "replace({}, '{}', '{}')".format(text, entity.replace("'", "''"), char.replace("'", "''"))
+    for pattern, code in ((warc.DECIMAL, "regexp_extract(x, '[1-9][0-9]*')::BIGINT"), (warc.HEXADECIMAL, "('0x' || regexp_extract(x, '[xX]0*([0-9A-Fa-f]+)', 1))::BIGINT")):
+        found = f"list_distinct(regexp_extract_all({text}, '{pattern}'))"
+        one = f"CASE WHEN {code} < 55296 OR {code} BETWEEN 57344 AND 1114111 THEN replace(acc, x, chr(({code})::INT)) ELSE acc END"
+        text = f"list_reduce(list_prepend({text}, {found}), lambda acc, x: {one})"
+    text = f"replace({text}, '&amp;', '&')"
     text = f"regexp_replace({text}, '[ \\t\\r\\x0B\\f]+', ' ', 'g')"
     return f"trim(regexp_replace({text}, ' ?\\n[ \\n]*', chr(10), 'g'), ' ' || chr(10))"
 
@@ -171,11 +176,15 @@ base AS (
   FROM placed),
 templates(label, t) AS (VALUES {_TEMPLATE_ROWS}),
 wanted AS (SELECT DISTINCT label, unnest(regexp_extract_all(lower(t), {_WORDS})) AS w FROM templates),
-blocks AS (SELECT DISTINCT doc_id, line_no, w FROM words),
+stride AS (SELECT max(len(regexp_extract_all(lower(t), {_WORDS}))) AS h FROM templates),
+blocks AS (
+  SELECT DISTINCT doc_id, block, w FROM (SELECT doc_id, w, unnest([spot // h, spot // h - 1]) AS block FROM placed, stride) WHERE block >= 0),
 shares AS (
-  SELECT doc_id, line_no, label, count(*) / any_value(n) AS share, count(*) AS c, any_value(n) AS n
+  SELECT doc_id, block, label, count(*) / any_value(n) AS share, count(*) AS c, any_value(n) AS n, list(w) AS ws
   FROM blocks JOIN wanted USING (w) JOIN (SELECT label, count(*) AS n FROM wanted GROUP BY label) USING (label) GROUP BY ALL),
-met AS (SELECT doc_id, label, share FROM shares WHERE 100 * c >= 80 * n
+enough AS (SELECT * FROM shares WHERE 100 * c >= 80 * n),
+met AS (SELECT doc_id, label, share FROM enough e WHERE NOT EXISTS (
+    SELECT 1 FROM enough o WHERE o.doc_id = e.doc_id AND o.block = e.block AND o.c > e.c AND o.share >= e.share AND list_has_all(o.ws, e.ws))
   UNION ALL SELECT doc_id, label, 1.0 FROM base WHERE label IS NOT NULL),
 found AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(share) AS score FROM met GROUP BY doc_id),
 counted AS (

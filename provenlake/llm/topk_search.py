@@ -38,7 +38,7 @@ SENT_WORDS, DIGITS = 1 << 20, 6
 #: and each starts from the thresholds of those before.
 STEPS = (1 / 64, 1 / 6)
 #: Share of the threshold that words put aside may reach together.
-ASIDE = 0.6
+ASIDE = 0.5
 SLACK = 10.0**-DIGITS
 #: Covers what sums in single precision may lose.
 ROUNDED_UP = 1 + 1e-4

@@ -9,26 +9,55 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CRLF = "\r\n"
-#: Elements without text of their own, elements that end a line, and entities (& last).
+#: Elements without text of their own, elements that end a line, and entities.
 SILENT = ("script", "style", "noscript", "template")
 BREAKS = "address|article|aside|blockquote|body|br|dd|div|dl|dt|figure|footer|form|h[1-6]|head|header|hr|html|li|main|nav|ol|p|pre|section|table|td|th|title|tr|ul"
-ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", " "), ("&amp;", "&"))
+ENTITIES = (
+    ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", " "),
+    ("&ndash;", "\u2013"), ("&mdash;", "\u2014"), ("&lsquo;", "\u2018"), ("&rsquo;", "\u2019"), ("&ldquo;", "\u201c"), ("&rdquo;", "\u201d"), ("&hellip;", "\u2026"), ("&middot;", "\u00b7"),
+    ("&bull;", "\u2022"), ("&copy;", "\u00a9"), ("&reg;", "\u00ae"), ("&trade;", "\u2122"), ("&deg;", "\u00b0"), ("&euro;", "\u20ac"), ("&pound;", "\u00a3"), ("&times;", "\u00d7"),
+    ("&agrave;", "\u00e0"), ("&aacute;", "\u00e1"), ("&acirc;", "\u00e2"), ("&auml;", "\u00e4"), ("&ccedil;", "\u00e7"), ("&egrave;", "\u00e8"), ("&eacute;", "\u00e9"), ("&ecirc;", "\u00ea"),
+    ("&iacute;", "\u00ed"), ("&ntilde;", "\u00f1"), ("&oacute;", "\u00f3"), ("&ouml;", "\u00f6"), ("&uacute;", "\u00fa"), ("&uuml;", "\u00fc"), ("&szlig;", "\u00df"),
+)
+#: Numeric entities: decimal and hexadecimal.
+DECIMAL, HEXADECIMAL = r"&#0*([1-9][0-9]{0,6});", r"&#[xX]0*([1-9A-Fa-f][0-9A-Fa-f]{0,5});"
 
 
 def html_text(html: Column) -> Column:
     """Plain text of HTML: comments and silent elements go, block elements end a line, other tags
-    vanish, common entities are decoded; runs of blanks become one, empty lines go."""
+    vanish, numeric and common named entities are decoded; runs of blanks become one, empty lines go."""
     text = F.regexp_replace(html, r"(?s)<!--.*?-->", " ")
     for name in SILENT:
         text = F.regexp_replace(text, rf"(?is)<{name}\b[^>]*>.*?</{name}\s*>", " ")
     text = F.regexp_replace(text, rf"(?i)</?(?:{BREAKS})\b[^>]*>", "\n")
     text = F.regexp_replace(text, r"<[^>]*>", "")
-    for entity, char in ENTITIES:
-        text = F.replace(text, F.lit(entity), F.lit(char))
+    text = F.when(F.contains(text, F.lit("&")), _decoded(text)).otherwise(text)
     text = F.regexp_replace(text, r"[ \t\r\x0B\f]+", " ")
     return F.btrim(F.regexp_replace(text, r" ?\n[ \n]*", "\n"), F.lit(" \n"))
 
 
+def _decoded(text: Column) -> Column:
+    """Named entities, then numeric ones, then &amp; last, so that nothing is decoded twice.  Numbers that are no
+    character stay as they are."""
+    for entity, char in ENTITIES:
+        text = F.replace(text, F.lit(entity), F.lit(char))
+    for pattern, base in ((DECIMAL, 10), (HEXADECIMAL, 16)):
+        found = F.array_distinct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))
+        code = F.transform(found, _code_point(pattern, base))
+        text = F.aggregate(F.arrays_zip(found.alias("entity"), code.alias("code")), text, _put)
+    return F.replace(text, F.lit("&amp;"), F.lit("&"))
+
+
+def _code_point(pattern: str, base: int):
+    return lambda entity: F.conv(F.regexp_extract(entity, pattern, 1), base, 10).cast("long")
+
+
+def _put(text: Column, found: Column) -> Column:
+    code = found["code"]
+    fine = (code < 0xD800) | code.between(0xE000, 0x10FFFF)
+    return F.when(fine, F.replace(text, found["entity"], F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))).otherwise(text)
+
+
 def digest(block: Column) -> Column:
     return F.concat(F.lit("sha256:"), F.sha2(block, 256))
 
@@ -67,10 +96,11 @@ def derive_records(responses: DataFrame) -> DataFrame:
     given = ("record_id", "target_uri", "date", "http_header", "payload")
     made = ("record_type", "new_id", "refers_to", "concurrent_to", "content_type", "content_length", "block_digest", "payload_digest", "source_digest", "warc_header", "block")
     carried = [c for c in responses.columns if c not in given + made]
-    filled = responses.select(*carried, "record_id", *[F.coalesce(c, F.lit("")).alias(c) for c in given[1:]])
+    others = F.struct(*carried) if carried else F.struct(F.lit(0).alias("none"))
+    filled = responses.select(others.alias("others"), "record_id", *[F.coalesce(c, F.lit("")).alias(c) for c in given[1:]])
     title = F.regexp_extract("payload", r"(?is)<title\b[^>]*>(.*?)</title", 1)
     facts = filled.select(
-        *carried, *given,
+        "others", *given,
         html_text(F.col("payload")).alias("text"),
         html_text(title).alias("title"),
         F.regexp_extract("payload", r"""(?i)<html\b[^>]*\blang=["']?([A-Za-z-]+)""", 1).alias("language"),
@@ -88,8 +118,8 @@ def derive_records(responses: DataFrame) -> DataFrame:
         F.struct(F.lit("metadata").alias("record_type"), F.col("metadata_id").alias("new_id"), F.col("conversion_id").alias("concurrent_to"), F.lit("application/warc-fields").alias("content_type"), about.alias("block")),
         F.struct(F.lit("conversion").alias("record_type"), F.col("conversion_id").alias("new_id"), F.col("metadata_id").alias("concurrent_to"), F.lit("text/plain; charset=utf-8").alias("content_type"), F.col("text").alias("block")),
     )
-    both = facts.select(*carried, *given[:3], "payload_digest", "source_digest", F.explode(kinds).alias("new")).select(
-        *carried, *given[:3], "payload_digest", "source_digest", "new.*"
+    both = facts.select("others", *given[:3], "payload_digest", "source_digest", F.explode(kinds).alias("new")).select(
+        "others", *given[:3], "payload_digest", "source_digest", "new.*"
     )
     both = both.withColumn("content_length", F.octet_length("block").cast("long")).withColumn("block_digest", digest(F.col("block"))).withColumn("refers_to", F.col("record_id"))
     header = F.concat_ws(
@@ -100,7 +130,7 @@ def derive_records(responses: DataFrame) -> DataFrame:
             ("WARC-Payload-Digest", "payload_digest"), ("WARC-Block-Digest", "block_digest"), ("Content-Type", "content_type"), ("Content-Length", "content_length"),
         )],
     )
-    return both.withColumn("warc_header", F.concat(header, F.lit(CRLF))).select(*carried, "target_uri", "date", *made)
+    return both.withColumn("warc_header", F.concat(header, F.lit(CRLF))).select(*[F.col("others")[c].alias(c) for c in carried], "target_uri", "date", *made)
 
 
 def write_warc(records: DataFrame, path: str) -> None:
@@ -130,3 +160,18 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
         field("WARC-Type").alias("record_type"), field("WARC-Record-ID").alias("record_id"), field("WARC-Target-URI").alias("target_uri"), field("WARC-Date").alias("date"),
         field("WARC-Refers-To").alias("refers_to"), size.alias("content_length"), block.alias("block"),
     ).filter("record_type is not null")
+
+
+def responses_from_warc(records: DataFrame) -> DataFrame:
+    """Response records as derive_records takes them, of what read_warc gives: the block of each
+    response is cut at the first empty line into http_header (its lines, each ended by CRLF) and
+    payload.  A block without an empty line is all header; a null block gives both empty.  Records of
+    other types go; further columns are carried."""
+    block = F.coalesce("block", F.lit(""))
+    head = F.substring_index(block, CRLF * 2, 1)
+    made = ("http_header", "payload")
+    cut = records.filter(F.lower("record_type") == "response").withColumns({
+        "http_header": F.when(head == "", "").otherwise(F.concat(F.rtrim(head, F.lit(CRLF)), F.lit(CRLF))),
+        "payload": F.substring(block, F.char_length(head) + 5, F.char_length(block)),
+    })
+    return cut.select(*[c for c in records.columns if c not in (*made, "block", "record_type", "content_length", "refers_to")], *made)

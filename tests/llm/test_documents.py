@@ -78,12 +78,17 @@ def test_licenses(spark):
     for i, text in rows:
         words = brute.symbol_words(text)
         starts = [(at, label) for phrase, label in license_scan.PHRASES.items() for at in range(len(words)) if words[at : at + len(phrase.split())] == phrase.split()]
-        shares = {}
-        for line in (text or "").split("\n"):
+        shares, h = {}, max(len(brute.symbol_words(t)) for t in license_scan.TEMPLATES.values())
+        for at in range(0, len(words), h):
+            met = []
             for label, template in license_scan.TEMPLATES.items():
                 need = set(brute.symbol_words(template))
-                if 100 * len(need & set(brute.symbol_words(line))) >= 80 * len(need):
-                    shares[label] = max(shares.get(label, 0), len(need & set(brute.symbol_words(line))) / len(need))
+                held = need & set(words[at : at + 2 * h])
+                if 100 * len(held) >= 80 * len(need):
+                    met.append((label, len(held) / len(need), held))
+            for label, share, held in met:
+                if not any(held < more and share <= other for _, other, more in met):
+                    shares[label] = max(shares.get(label, 0), share)
         base = sorted({label for _, label in starts})
         places = [at for at, _ in starts]
         want.append((i, len(words), len(starts), min(places, default=None), max(places, default=None), ",".join(base), ",".join(sorted({*base, *shares})), max([1.0 if base else 0.0, *shares.values()])))
