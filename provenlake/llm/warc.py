@@ -13,7 +13,7 @@ CRLF = "\r\n"
 SILENT = ("script", "style", "noscript", "template")
 BREAKS = "address|article|aside|blockquote|body|br|dd|div|dl|dt|figure|footer|form|h[1-6]|head|header|hr|html|li|main|nav|ol|p|pre|section|table|td|th|title|tr|ul"
 ENTITIES = (
-    ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", " "),
+    ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&nbsp;", " "),
     ("&ndash;", "\u2013"), ("&mdash;", "\u2014"), ("&lsquo;", "\u2018"), ("&rsquo;", "\u2019"), ("&ldquo;", "\u201c"), ("&rdquo;", "\u201d"), ("&hellip;", "\u2026"), ("&middot;", "\u00b7"),
     ("&bull;", "\u2022"), ("&copy;", "\u00a9"), ("&reg;", "\u00ae"), ("&trade;", "\u2122"), ("&deg;", "\u00b0"), ("&euro;", "\u20ac"), ("&pound;", "\u00a3"), ("&times;", "\u00d7"),
     ("&agrave;", "\u00e0"), ("&aacute;", "\u00e1"), ("&acirc;", "\u00e2"), ("&auml;", "\u00e4"), ("&ccedil;", "\u00e7"), ("&egrave;", "\u00e8"), ("&eacute;", "\u00e9"), ("&ecirc;", "\u00ea"),
@@ -31,25 +31,38 @@ def html_text(html: Column) -> Column:
         text = F.regexp_replace(text, rf"(?is)<{name}\b[^>]*>.*?</{name}\s*>", " ")
     text = F.regexp_replace(text, rf"(?i)</?(?:{BREAKS})\b[^>]*>", "\n")
     text = F.regexp_replace(text, r"<[^>]*>", "")
-    text = F.when(F.contains(text, F.lit("&")), _decoded(text)).otherwise(text)
+    text = _bound(text, lambda t: F.when(F.contains(t, F.lit("&")), _decoded(t)).otherwise(t))
     text = F.regexp_replace(text, r"[ \t\r\x0B\f]+", " ")
     return F.btrim(F.regexp_replace(text, r" ?\n[ \n]*", "\n"), F.lit(" \n"))
 
 
+def _bound(value: Column, use) -> Column:
+    """use(value), with value worked out once however often use names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _decoded(text: Column) -> Column:
     """Named entities, then numeric ones, then &amp; last, so that nothing is decoded twice.  Numbers that are no
     character stay as they are."""
-    for entity, char in ENTITIES:
-        text = F.replace(text, F.lit(entity), F.lit(char))
-    for pattern, base in ((DECIMAL, 10), (HEXADECIMAL, 16)):
-        found = F.array_distinct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))
-        code = F.transform(found, _code_point(pattern, base))
-        text = F.aggregate(F.arrays_zip(found.alias("entity"), code.alias("code")), text, _put)
+    names = F.create_map(*[F.lit(x) for pair in ENTITIES for x in pair])
+
+    def named(t: Column) -> Column:
+        found = F.array_distinct(F.regexp_extract_all(t, F.lit("&[A-Za-z]+;"), F.lit(0)))
+        return F.aggregate(found, t, lambda acc, e: F.coalesce(F.replace(acc, e, F.try_element_at(names, e)), acc))
+
+    def numbered(pattern: str, base: int):
+        def decode(t: Column) -> Column:
+            found = F.array_distinct(F.regexp_extract_all(t, F.lit(pattern), F.lit(0)))
+            return F.aggregate(F.transform(found, _code_point(pattern, base)), t, _put)
+
+        return lambda t: F.when(F.contains(t, F.lit("&#")), decode(t)).otherwise(t)
+
+    text = _bound(_bound(_bound(text, named), numbered(DECIMAL, 10)), numbered(HEXADECIMAL, 16))
     return F.replace(text, F.lit("&amp;"), F.lit("&"))
 
 
 def _code_point(pattern: str, base: int):
-    return lambda entity: F.conv(F.regexp_extract(entity, pattern, 1), base, 10).cast("long")
+    return lambda entity: F.struct(entity.alias("entity"), F.conv(F.regexp_extract(entity, pattern, 1), base, 10).cast("long").alias("code"))
 
 
 def _put(text: Column, found: Column) -> Column:
