@@ -28,7 +28,7 @@ def sentences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     are returned.  Null texts have none."""
     paragraph = F.posexplode(F.filter(F.transform(F.split(text_col, r"\n\s*\n"), _joined_lines), lambda p: p != "")).alias("p", "body")
     split = docs.select(id_col, paragraph)
-    sentence = F.posexplode(F.filter(F.transform(F.split("body", r"(?<=[.!?])\s+"), F.trim), lambda s: s != "")).alias("s", "text")
+    sentence = F.posexplode(F.filter(F.transform(F.split("body", r"(?<=[.!?])\s+"), lambda s: F.trim(s)), lambda s: s != "")).alias("s", "text")
     return split.select(id_col, (F.col("p") + 1).alias("paragraph"), sentence).select(id_col, "paragraph", (F.col("s") + 1).alias("sentence"), "text")
 
 
