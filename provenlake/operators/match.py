@@ -8,18 +8,22 @@ from pyspark.sql import functions as F
 from .. import constants as K
 from ..functions import text as T
 
-FEATURES = ("numbers", "dates", "terms", "phrases")
+#: What a text's terms say by themselves, by the word list that they meet.
+FACTS = {"scope": K.SCOPE_WORDS, "future": K.PREDICTION_WORDS, "limits": K.LIMITATION_WORDS, "compares": K.COMPARISON_WORDS}
 
 
 def featured(df: DataFrame, text_col: str, prefix: str) -> DataFrame:
-    """df with the token features of a text, worked out once a row and not once a pair."""
-    df = df.withColumn(f"{prefix}_list", T.terms(F.col(text_col)))
+    """df with the token features and facts of a text, worked out once a row and not once a pair."""
+    terms = F.col(f"{prefix}_terms")
+    df = df.withColumn(f"{prefix}_list", T.terms(F.col(text_col))).withColumn(f"{prefix}_terms", F.array_distinct(f"{prefix}_list"))
     return df.select(
         *[c for c in df.columns if c != f"{prefix}_list"],
         T.numbers(F.col(text_col)).alias(f"{prefix}_numbers"),
         T.dates(F.col(text_col)).alias(f"{prefix}_dates"),
-        F.array_distinct(f"{prefix}_list").alias(f"{prefix}_terms"),
         T.phrases(F.col(f"{prefix}_list")).alias(f"{prefix}_phrases"),
+        *[F.arrays_overlap(terms, T.word_set(words)).alias(f"{prefix}_{name}") for name, words in FACTS.items()],
+        F.array_contains(terms, "miss").alias(f"{prefix}_miss"),
+        F.array_contains(terms, "test").alias(f"{prefix}_test"),
     )
 
 
@@ -28,25 +32,28 @@ def shared(name: str) -> Column:
 
 
 def limitation_score() -> Column:
-    broad = F.arrays_overlap("c_terms", T.word_set(K.SCOPE_WORDS))
-    future = F.arrays_overlap("c_terms", T.word_set(K.PREDICTION_WORDS))
-    applies = (F.size(shared("terms")) > 0) & F.arrays_overlap("e_terms", T.word_set(K.LIMITATION_WORDS)) & (broad | future)
-    more = F.when(future & F.array_contains("e_terms", "miss"), 0.12).otherwise(0.0)
-    tested = F.when(broad & F.array_contains("e_terms", "test"), 0.08).otherwise(0.0)
+    applies = (F.col("n_terms") > 0) & F.col("e_limits") & (F.col("c_scope") | F.col("c_future"))
+    more = F.when(F.col("c_future") & F.col("e_miss"), 0.12).otherwise(0.0)
+    tested = F.when(F.col("c_scope") & F.col("e_test"), 0.08).otherwise(0.0)
     return F.when(applies, F.lit(0.18) + more + tested).otherwise(0.0)
 
 
+def counted(pairs: DataFrame) -> DataFrame:
+    """Pairs with n_terms, n_numbers and n_phrases, how many of each both sides share: counted once,
+    as columns, since the score names them often."""
+    return pairs.withColumns({f"n_{name}": F.size(shared(name)) for name in ("terms", "numbers", "phrases")})
+
+
 def pair_score() -> Column:
-    """The score of a pair with features c_* and e_*."""
-    both, numbers = F.size(shared("terms")), F.size(shared("numbers"))
+    """The score of a counted pair with features c_* and e_*."""
+    both, numbers = F.col("n_terms"), F.col("n_numbers")
     coverage = both / F.size("c_terms")
-    jaccard = both / F.size(F.array_union("c_terms", "e_terms"))
+    jaccard = both / (F.size("c_terms") + F.size("e_terms") - both)
     term = F.when(both > 0, F.lit(0.35) * coverage + F.lit(0.1) * jaccard).otherwise(0.0)
-    phrase = F.least(F.lit(0.12), F.size(shared("phrases")) * F.lit(0.04))
+    phrase = F.least(F.lit(0.12), F.col("n_phrases") * F.lit(0.04))
     number = F.when(numbers > 0, F.lit(0.46) + F.lit(0.12) * (numbers / F.size("c_numbers"))).otherwise(0.0)
     date = F.when(F.arrays_overlap("c_dates", "e_dates"), 0.08).otherwise(0.0)
-    words = T.word_set(K.COMPARISON_WORDS)
-    compared = F.when((both > 0) & F.arrays_overlap("c_terms", words) & F.arrays_overlap("e_terms", words), 0.12).otherwise(0.0)
+    compared = F.when((both > 0) & F.col("c_compares") & F.col("e_compares"), 0.12).otherwise(0.0)
     total = term + phrase + number + date + limitation_score() + compared
     capped = F.when((F.size("c_numbers") > 0) & (numbers == 0) & (both > 0), F.least(total, F.lit(K.UNMATCHED_NUMBER_CAP))).otherwise(total)
     return T.rounded(T.clamped(capped))
@@ -75,7 +82,7 @@ def score_bundle_pairs(claims: DataFrame, excerpts: DataFrame) -> DataFrame:
     """Every claim with every excerpt of its bundle: claims(bundle_id, claim_id, claim_text), excerpts
     (bundle_id, source_id, excerpt_id, excerpt_text, ...), and the pair's score."""
     pairs = featured(claims, "claim_text", "c").join(featured(excerpts, "excerpt_text", "e"), "bundle_id")
-    return pairs.withColumn("score", pair_score())
+    return counted(pairs).withColumn("score", pair_score())
 
 
 def score_blocked_pairs(claims: DataFrame, excerpts: DataFrame, threshold: float = K.ADMISSION) -> DataFrame:
@@ -92,7 +99,7 @@ def score_blocked_pairs(claims: DataFrame, excerpts: DataFrame, threshold: float
 
     c_ids, e_ids = ["claim_id"], ["source_id", "excerpt_id"]
     met = keys(c, "c", c_ids).join(keys(e, "e", e_ids), "key").select(*c_ids, *e_ids).distinct()
-    return met.join(c, c_ids).join(e.drop("bundle_id"), e_ids).withColumn("score", pair_score()).filter(F.col("score") >= threshold)
+    return counted(met.join(c, c_ids).join(e.drop("bundle_id"), e_ids)).withColumn("score", pair_score()).filter(F.col("score") >= threshold)
 
 
 def best_candidates(scored: DataFrame, threshold: float = K.ADMISSION, k: int = K.TOP_CANDIDATES) -> DataFrame:
@@ -105,6 +112,6 @@ def scoped_candidates(claims: DataFrame, excerpts: DataFrame, links: DataFrame,
     """Candidates among declared links(bundle_id, claim_id, excerpt_id, role) only: support links at
     the threshold or above, counter links whatever their score; the best k of each claim and role."""
     pairs = featured(claims, "claim_text", "c").join(links, ["bundle_id", "claim_id"]).join(featured(excerpts, "excerpt_text", "e"), ["bundle_id", "excerpt_id"])
-    scored = pairs.withColumn("score", pair_score()).filter((F.col("role") == "counter") | (F.col("score") >= threshold))
+    scored = counted(pairs).withColumn("score", pair_score()).filter((F.col("role") == "counter") | (F.col("score") >= threshold))
     order = Window.partitionBy("bundle_id", "claim_id", "role").orderBy(F.desc("score"), "source_id", "excerpt_id")
     return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)

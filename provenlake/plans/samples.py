@@ -16,8 +16,8 @@ SELECT o_custkey AS bundle_id, 'claim-' || CAST(o_orderkey AS STRING) AS claim_i
     WHEN 0 THEN 'The service will always ship orders within ' || {_N} || ' days.'
     WHEN 1 THEN 'Every workflow across all regions was audited in ' || {_Y} || '.'
     WHEN 2 THEN 'The outage count fell from 9 to ' || {_N} || ' because of the new router.'
-    WHEN 3 THEN 'The new pipeline is faster than the manual process by ' || {_N} || '%.'
-    WHEN 4 THEN 'The operator is a certified technician with broad field experience.'
+    WHEN 3 THEN CASE WHEN o_orderkey % 2 = 0 THEN 'The new pipeline is faster than the manual process by ' || {_N} || '%.' ELSE 'The new pipeline is faster than the manual process.' END
+    WHEN 4 THEN CASE WHEN o_orderkey % 2 = 0 THEN 'The operator is a certified technician with broad field experience.' ELSE 'The operator is a certified technician.' END
     WHEN 5 THEN 'The parser can detect duplicate invoices in the queue.'
     WHEN 6 THEN 'The store processed ' || {_N} || ' orders on ' || {_Y} || '-0' || {_M} || '-15.'
     WHEN 7 THEN 'The report is clear and useful for the support team.'
@@ -37,7 +37,7 @@ SELECT o_custkey AS bundle_id, 'src-' || CAST(o_custkey AS STRING) || '-' || CAS
     WHEN 0 THEN 'The service ships orders within ' || {_N} || ' days; always is a known limitation.'
     WHEN 1 THEN 'Every workflow across all regions was audited in ' || {_Y} || ', two were not tested.'
     WHEN 2 THEN 'The outage count fell from 9 to ' || {_N} || ' after the new router.'
-    WHEN 3 THEN CASE WHEN o_orderkey % 2 = 0 THEN 'The new pipeline is faster than the manual process by 3%.' ELSE 'The new pipeline ran beside a manual process in ' || {_N} || '% of cases.' END
+    WHEN 3 THEN CASE WHEN o_orderkey % 2 = 0 THEN 'The new pipeline is faster than the manual process by 3%.' ELSE 'The new pipeline ran in ' || {_N} || '% of cases.' END
     WHEN 4 THEN CASE WHEN o_orderkey % 2 = 0 THEN 'The operator is a certified technician with field experience.' ELSE 'The operator has broad field experience.' END
     WHEN 5 THEN 'The parser can detect duplicate invoices in the queue.'
     WHEN 6 THEN 'The store processed ' || {_N} || ' orders on ' || {_Y} || '-0' || {_M} || '-15.'
