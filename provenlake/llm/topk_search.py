@@ -270,6 +270,7 @@ def top_k(docs: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "doc_i
     rounds = max(1, math.ceil(weighed.count() / SENT_WORDS))
 
     steps = index.agg(F.percentile_approx("shard", list(STEPS))).first()[0] or []
+    steps = sorted(set(steps))
     order = Window.partitionBy("query").orderBy(F.desc("score"), "id")
     found = None
     for turn in range(rounds):
