@@ -119,13 +119,17 @@ def scoped_matches(spark, sf_dir):
     return found.select("bundle_id", "claim_id", "role", "source_id", "excerpt_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
+#: Threshold of blocked_pairs: low, as the texts share little scored wording.
+BLOCKED_LEAST = 0.02
+
+
 def blocked_pairs(spark, sf_dir):
     """Sentences of all benchmark items against all conversation turns, through shared keys."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text")
     claims = extract.claim_sentences(items, "item_id").select(F.lit(0).alias("bundle_id"), F.format_string("c-%d-%d-%d", "item_id", "paragraph", "sentence").alias("claim_id"), F.col("text").alias("claim_text"))
     turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
     turns = turns.select(F.lit(0).alias("bundle_id"), F.col("conv_id").cast("string").alias("source_id"), F.format_string("%d-%d", "conv_id", "turn").alias("excerpt_id"), F.col("text").alias("excerpt_text"))
-    return match.score_blocked_pairs(claims, turns).select("claim_id", "source_id", "excerpt_id", "score")
+    return match.score_blocked_pairs(claims, turns, BLOCKED_LEAST).select("claim_id", "source_id", "excerpt_id", "score")
 
 
 # --- rules --------------------------------------------------------------------
@@ -336,7 +340,7 @@ ORACLES = {
     "blocked_pairs": f"""WITH claims AS (SELECT 'c-' || item_id || '-' || paragraph || '-' || sentence AS claim_id, {term_set('text')} AS ct, {term_list('text')} AS cl, {numbers('text')} AS cnum, {dates('text')} AS cdat
         FROM ({sentences_sql('benchmark', 'item_id')}) WHERE NOT ends_with(text, '?') AND len({tok('text')}) >= 4),
       excerpts AS (SELECT conv_id::VARCHAR AS source_id, conv_id || '-' || turn AS excerpt_id, {term_set('text')} AS et, {term_list('text')} AS el, {numbers('text')} AS enum, {dates('text')} AS edat FROM conversations)
-      SELECT claim_id, source_id, excerpt_id, score FROM ({scored("SELECT * FROM claims, excerpts")}) WHERE score >= 0.4""",
+      SELECT claim_id, source_id, excerpt_id, score FROM ({scored("SELECT * FROM claims, excerpts")}) WHERE score >= {BLOCKED_LEAST}""",
     "direct_support": f"WITH {CONTEXTS} SELECT bundle_id, claim_id, role, excerpt_id, numeric_direct, date_direct, text_direct, direct, adverse FROM supported",
     "support_labels": f"""WITH {ASSESSED} SELECT bundle_id, claim_id, claim_type, support_signal, support_label, risk_label, array_to_string(codes, ',') AS codes, {_EXPLAIN} AS explanation,
       CASE WHEN claim_type = 'unclassified' THEN {q(K.LIMITATIONS["not_checkable"])} WHEN len(flags) > 0 THEN {q(K.LIMITATIONS["flags"])} ELSE '' END AS limitations FROM assessed""",
