@@ -71,7 +71,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("kind"), pa.array(found, pa.binary())], names=["kind", "features"])
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", train_rows: int = 20_000, steps: int = 1500) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", train_rows: int = 10_000, steps: int = 1500) -> Model:
     """Trains on at most train_rows labelled rows and as many unlabelled ones, of each those with the
     smallest xxhash64(id): the bound of what the driver gathers.  Labelled rows of label 1 are the
     positives; the unlabelled texts are all sampled ones, those that labels does not name and, whatever
@@ -95,6 +95,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     rows = sample.mapInArrow(_sets, "kind int, features binary").collect()
     # copies of one text would make all its words look telling
     by_kind = {kind: sorted({bytes(r.features) for r in rows if r.kind == kind}) for kind in (0, 1, UNLABELLED)}
+    del rows
     labelled = by_kind[0] + by_kind[1]
     prior = len(by_kind[1]) / max(1, len(labelled))
     sets = [[np.frombuffer(x, np.int32) for x in part] for part in (by_kind[1], by_kind[UNLABELLED] + labelled)]
@@ -123,17 +124,19 @@ def train(positives: list[np.ndarray], unlabelled: list[np.ndarray], prior: floa
         return Model(np.zeros(0, np.int64), np.zeros(0), -2.0)
     sets, n = [*positives, *unlabelled], p + u
     positive = np.arange(n) < p
-    column, row = np.concatenate(sets), np.repeat(np.arange(n), [len(s) for s in sets])
-    in_u = np.bincount(column[~positive[row]], minlength=1 << BITS)
-    in_p = np.bincount(column[positive[row]], minlength=1 << BITS)
+    in_p, in_u = np.zeros(1 << BITS, np.int64), np.zeros(1 << BITS, np.int64)
+    for part, held in ((positives, in_p), (unlabelled, in_u)):
+        for one in part:  # a text's features are distinct
+            held[one] += 1
     # one text more of each feature: what no sampled text holds is not held for impossible
     share = (in_u + 1) / (u + 2)
     z = (in_p / p - share) / np.sqrt(share * (1 - share) / p)
     used = np.flatnonzero((in_p >= 3) & (z > 5) & (in_p / p > 2 * share))
     where = np.full(1 << BITS, -1)
     where[used] = np.arange(len(used))
-    keep = where[column] >= 0
-    column, row = where[column[keep]], row[keep]
+    # only the features that are used are laid out together
+    kept = [c[c >= 0] for c in (where[one] for one in sets)]
+    column, row = np.concatenate(kept), np.repeat(np.arange(n), [len(c) for c in kept])
     w, b = np.zeros(len(used)), np.log(prior / (1 - prior))
     m, v = np.zeros(len(used) + 1), np.zeros(len(used) + 1)
     for t in range(1, steps + 1):
