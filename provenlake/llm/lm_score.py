@@ -36,6 +36,8 @@ SMOOTH = 1 << 20
 PULL = 5.0
 #: Bytes of text in a chunk, about, and keys that the chunks together ask of one range, about.
 CHUNK_BYTES, RANGE_KEYS = 4 << 20, 1 << 20
+#: zstd level of what is written and shuffled.
+SQUEEZE = 6
 _CHUNKS = "chunk long, n_words long, n_target long, body binary"
 _ASKED = "bucket long, chunk long, keys binary, target binary, background binary"
 _TOLD = "chunk long, bucket long, body binary, background binary"
@@ -48,15 +50,18 @@ def _batch(schema: str, *columns: list) -> pa.RecordBatch:
 
 
 def _packed(numbers: np.ndarray) -> bytes:
-    """Unsigned numbers in as few bytes each as the largest needs, all first bytes first."""
+    """Unsigned numbers in as few bytes each as the largest needs, all first bytes first, compressed."""
     width = max(1, -(-int(numbers.max(initial=0)).bit_length() // 8))
-    return bytes([width]) + numbers.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
+    planes = numbers.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
+    return bytes([width]) + len(numbers).to_bytes(8, "little") + pa.Codec("zstd", SQUEEZE).compress(planes, asbytes=True)
 
 
 def _unpacked(data: bytes) -> np.ndarray:
-    planes = np.frombuffer(data, np.uint8, offset=1).reshape(data[0], -1)
-    out = np.zeros((planes.shape[1], 8), np.uint8)
-    out[:, : data[0]] = planes.T
+    width, n = data[0], int.from_bytes(data[1:9], "little")
+    out = np.zeros((n, 8), np.uint8)
+    if n:
+        planes = pa.Codec("zstd").decompress(data[9:], width * n, asbytes=True)
+        out[:, :width] = np.frombuffer(planes, np.uint8).reshape(width, n).T
     return out.view("<u8").ravel()
 
 
@@ -91,7 +96,7 @@ def _chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             _, _, bounds = _tokens(part.column("text"))
             n = np.diff(bounds)
             sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, part.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+            with pa.ipc.new_stream(sink, part.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", SQUEEZE))) as writer:
                 writer.write_batch(part)
             chosen = part.column("target").to_numpy(zero_copy_only=False)
             yield _batch(_CHUNKS, [task + made], [int(n.sum())], [int(n[chosen].sum())], [sink.getvalue().to_pybytes()])
