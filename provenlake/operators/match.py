@@ -108,9 +108,10 @@ def best_candidates(scored: DataFrame, threshold: float = K.ADMISSION, k: int =
     return scored.filter(F.col("score") >= threshold).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def scoped_candidates(claims: DataFrame, excerpts: DataFrame, links: DataFrame, threshold: float = K.ADMISSION, k: int = K.TOP_CANDIDATES) -> DataFrame:
+def scoped_candidates(claims: DataFrame, excerpts: DataFrame, links: DataFrame, threshold: float | Column = K.ADMISSION, k: int | Column = K.TOP_CANDIDATES) -> DataFrame:
     """Candidates among declared links(bundle_id, claim_id, excerpt_id, role) only: support links at
-    the threshold or above, counter links whatever their score; the best k of each claim and role."""
+    the threshold or above, counter links whatever their score; the best k of each claim and role.
+    Threshold and k may be columns of claims."""
     pairs = featured(claims, "claim_text", "c").join(links, ["bundle_id", "claim_id"]).join(featured(excerpts, "excerpt_text", "e"), ["bundle_id", "excerpt_id"])
     scored = counted(pairs).withColumn("score", pair_score()).filter((F.col("role") == "counter") | (F.col("score") >= threshold))
     order = Window.partitionBy("bundle_id", "claim_id", "role").orderBy(F.desc("score"), "source_id", "excerpt_id")

@@ -49,10 +49,10 @@ def _of(role: str, condition: Column) -> Column:
     return F.coalesce(F.max((F.col("role") == role) & condition), F.lit(False))
 
 
-def evidence_facts(supported: DataFrame, reference_date: str | None = None, freshness_days: int = K.FRESHNESS_DAYS) -> DataFrame:
+def evidence_facts(supported: DataFrame, reference_date: str | Column | None = None, freshness_days: int = K.FRESHNESS_DAYS) -> DataFrame:
     """One row a claim with what all its contexts say together."""
     direct, row = F.col("direct"), F.col("role") == "support"
-    stale = F.lit(False) if reference_date is None else F.coalesce(F.datediff(F.lit(reference_date).cast("date"), "source_date") > freshness_days, F.lit(False))
+    stale = F.lit(False) if reference_date is None else F.coalesce(F.datediff((F.lit(reference_date) if isinstance(reference_date, str) else reference_date).cast("date"), "source_date") > freshness_days, F.lit(False))
     weak = F.col("reliability").isin("low", "unknown")
     triggers = dict.fromkeys([*K.OVERCONFIDENT, *K.FUTURE_CERTAINTY])
     return supported.groupBy(*CLAIM).agg(
@@ -172,7 +172,7 @@ def guidance(codes: Column) -> Column:
     return F.when(F.col("claim_type") == "unclassified", none).when(F.size(by_code) > 0, by_code).otherwise(by_label)
 
 
-def assess_claims(claims: DataFrame, contexts: DataFrame, sources: DataFrame, reference_date: str | None = None, freshness_days: int = K.FRESHNESS_DAYS) -> DataFrame:
+def assess_claims(claims: DataFrame, contexts: DataFrame, sources: DataFrame, reference_date: str | Column | None = None, freshness_days: int = K.FRESHNESS_DAYS) -> DataFrame:
     """One assessment a claim of claims(bundle_id, claim_id, claim_text, claim_type): support_signal,
     flags, support_label, risk_label, explanation, rewrite_guidance, limitations and the evidence counts.
 
@@ -216,15 +216,14 @@ def material_deviation(scaffold: Column, verdict: Column) -> Column:
 def deviation_notes(scaffold: Column, verdict: Column, cautious: Column) -> Column:
     context = F.concat(F.lit("scaffold_support_status="), scaffold, F.lit("; audit_support_verdict="), verdict)
     return (
-        F.when(cautious, F.concat(F.lit("Material disagreement: "), context, F.lit("; false_caution_flag=true because the scaffold was cautious and CAL found supplied-evidence support.")))
+        F.when(cautious, F.concat(F.lit("Material disagreement: "), context, F.lit(f"; false_caution_flag=true because the scaffold was cautious and {K.AUDITOR} found supplied-evidence support.")))
         .when(material_deviation(scaffold, verdict), F.concat(F.lit("Material disagreement: "), context, F.lit(".")))
-        .otherwise(F.concat(F.lit("No material disagreement between scaffold support status and CAL verdict: "), context, F.lit(".")))
+        .otherwise(F.concat(F.lit(f"No material disagreement between scaffold support status and {K.AUDITOR} verdict: "), context, F.lit(".")))
     )
 
 
 #: field of a bundle's audit configuration: the only value accepted
 POLICY = {
-    "config_id": "cal-rules-v1.2.0",
     "scoring.support_threshold_sourced": K.SOURCED,
     "scoring.support_threshold_partial": K.PARTIAL,
     "scoring.counterevidence_weight": K.COUNTER_WEIGHT,
@@ -237,13 +236,15 @@ POLICY = {
 }
 
 
-def policy_drift(config: dict) -> list[str]:
-    """Differences of a nested configuration from the frozen policy."""
-    out = []
-    for path, expected in POLICY.items():
-        value = config
-        for part in path.split("."):
-            value = (value or {}).get(part)
-        if value != expected:
-            out.append(f"{path}: expected {expected!r}, got {value!r}")
-    return out
+def policy_faults(config: Column, config_id: str | None = None) -> Column:
+    """Array of the differences of a configuration, a JSON text, from the frozen policy; the
+    configuration's own id is compared only where one is given."""
+
+    def fault(path: str, expected: str | bool | float) -> Column:
+        value = F.get_json_object(config, f"$.{path}")
+        same = value.try_cast("double") == expected if isinstance(expected, float) else value == str(expected).lower() if isinstance(expected, bool) else value == expected
+        text = F.concat(F.lit(f"{path}: expected {expected}, got "), F.coalesce(value, F.lit("nothing")))
+        return F.when(~F.coalesce(same, F.lit(False)), text)
+
+    wanted = POLICY if config_id is None else POLICY | {"config_id": config_id}
+    return F.array_compact(F.array(*[fault(path, expected) for path, expected in wanted.items()]))

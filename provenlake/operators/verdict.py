@@ -211,7 +211,7 @@ def contract_verdict(verdict: Column, flags: Column) -> Column:
 
 def audit_notes(claim_id: Column, verdict: Column, reason: Column, flags: Column, label: Column, score: Column, confidence: Column) -> Column:
     return F.concat(
-        F.lit("CAL v1 retrieve-entail: "), verdict, F.coalesce(F.concat(F.lit(" ("), reason, F.lit(")")), F.lit("")),
+        F.lit(f"{K.AUDITOR} retrieve-entail: "), verdict, F.coalesce(F.concat(F.lit(" ("), reason, F.lit(")")), F.lit("")),
         F.lit("; flags="), F.when(F.size(flags) > 0, F.array_join(flags, ",")).otherwise("none"),
         F.lit("; citation_status=not_applicable; entail_signal="), label, F.lit("@"), F.format_string("%.4f", F.bround(score, 4)),
         F.lit("; audit_confidence="), confidence, F.lit(". Full trace: claims/"), claim_id, F.lit(".audit-trace.json"),

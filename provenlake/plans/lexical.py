@@ -350,9 +350,9 @@ ORACLES = {
       d AS (SELECT *, scaffold IN ('uncertain', 'unsupported') AND support_label IN ('supported', 'partially_supported') AND support_signal >= 0.85 AS false_caution,
         (scaffold, support_label) IN ({", ".join(f"('{a}', '{b}')" for a, b in K.MATERIAL_DEVIATIONS)}) AS deviation FROM s)
       SELECT bundle_id, claim_id, scaffold, false_caution, deviation,
-        CASE WHEN false_caution THEN 'Material disagreement: scaffold_support_status=' || scaffold || '; audit_support_verdict=' || support_label || '; false_caution_flag=true because the scaffold was cautious and CAL found supplied-evidence support.'
+        CASE WHEN false_caution THEN 'Material disagreement: scaffold_support_status=' || scaffold || '; audit_support_verdict=' || support_label || '; false_caution_flag=true because the scaffold was cautious and {K.AUDITOR} found supplied-evidence support.'
         WHEN deviation THEN 'Material disagreement: scaffold_support_status=' || scaffold || '; audit_support_verdict=' || support_label || '.'
-        ELSE 'No material disagreement between scaffold support status and CAL verdict: scaffold_support_status=' || scaffold || '; audit_support_verdict=' || support_label || '.' END AS notes FROM d""",
+        ELSE 'No material disagreement between scaffold support status and {K.AUDITOR} verdict: scaffold_support_status=' || scaffold || '; audit_support_verdict=' || support_label || '.' END AS notes FROM d""",
     "evidence_links": f"""WITH {CONTEXTS} SELECT source_id, excerpt_id, role, max(score) AS best_score, string_agg(claim_id, ',' ORDER BY claim_id) AS claim_ids, arg_max(reliability, score) AS reliability
       FROM contexts GROUP BY source_id, excerpt_id, role""",
     "claim_register": f"""WITH {ASSESSED}, first AS (SELECT bundle_id, claim_id, source_id || ' / ' || excerpt_id AS e FROM best WHERE rank = 1)

@@ -181,7 +181,7 @@ _SCALE = "(VALUES " + ", ".join(f"('{v}', {n})" for v, n in K.ORDINAL.items()) +
 ORACLES = {
     "verdicts": f"""WITH {VERDICTS} SELECT claim_id, verdict, reason, confidence, array_to_string(audit_flags, ',') AS flags, array_to_string(rules, ',') AS rules, label, score, passage_id,
       CASE WHEN verdict IN ('supported', 'partially_supported') AND list_contains(audit_flags, 'overstated') THEN 'overstated' WHEN verdict = 'contradicted' THEN 'unsupported' ELSE verdict END AS contract_verdict FROM final""",
-    "audit_notes": f"""WITH {VERDICTS} SELECT claim_id, 'CAL v1 retrieve-entail: ' || verdict || coalesce(' (' || reason || ')', '') || '; flags=' || coalesce(nullif(array_to_string(audit_flags, ','), ''), 'none')
+    "audit_notes": f"""WITH {VERDICTS} SELECT claim_id, '{K.AUDITOR} retrieve-entail: ' || verdict || coalesce(' (' || reason || ')', '') || '; flags=' || coalesce(nullif(array_to_string(audit_flags, ','), ''), 'none')
       || '; citation_status=not_applicable; entail_signal=' || label || '@' || printf('%.4f', score) || '; audit_confidence=' || confidence || '. Full trace: claims/' || claim_id || '.audit-trace.json' AS notes FROM final""",
     "entail_signal": f"""WITH s AS ({samples.SIGNALS}), best AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY claim_id ORDER BY label = 'neutral', score DESC, ordinal) = 1)
       SELECT claim_id, coalesce(label, 'neutral') AS label, coalesce(score, 0)::DOUBLE AS score, passage_id FROM ({samples.CLAIM_FEATURES}) LEFT JOIN best USING (claim_id)""",
