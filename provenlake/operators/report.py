@@ -27,11 +27,11 @@ def inline(text: Column) -> Column:
 
 
 def evidence_links(contexts: DataFrame) -> DataFrame:
-    """One row for each (source, excerpt, role) that claims refer to: best score, the metadata of the
-    best candidate (of the first claim among equals) and the claims' ids in order."""
-    best = F.max_by(F.struct("reliability", "source_date", "url"), F.struct("score", F.col("claim_id").isNotNull()))
-    grouped = contexts.groupBy("source_id", "excerpt_id", "role").agg(F.max("score").alias("best_score"), best.alias("b"), F.array_sort(F.collect_list("claim_id")).alias("claim_ids"))
-    return grouped.select("source_id", "excerpt_id", "role", "best_score", "claim_ids", F.col("b.reliability").alias("reliability"))
+    """One row for each (bundle, source, excerpt, role) that claims refer to: best score, the metadata
+    of the best candidate (of the first claim id among equals) and the claims' ids in order."""
+    best = F.min_by(F.struct("reliability", "source_date", "url"), F.struct(-F.col("score"), "claim_id"))
+    grouped = contexts.groupBy("bundle_id", "source_id", "excerpt_id", "role").agg(F.max("score").alias("best_score"), best.alias("b"), F.array_sort(F.collect_list("claim_id")).alias("claim_ids"))
+    return grouped.select("bundle_id", "source_id", "excerpt_id", "role", "best_score", "claim_ids", "b.*")
 
 
 def claim_register(assessments: DataFrame, contexts: DataFrame) -> DataFrame:

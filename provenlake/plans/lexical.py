@@ -170,7 +170,7 @@ def deviations(spark, sf_dir):
 
 
 def evidence_links(spark, sf_dir):
-    return report.evidence_links(contexts(spark, sf_dir)).withColumn("claim_ids", F.array_join("claim_ids", ","))
+    return report.evidence_links(contexts(spark, sf_dir)).withColumns({"claim_ids": F.array_join("claim_ids", ","), "source_date": F.col("source_date").cast("string")})
 
 
 def claim_register(spark, sf_dir):
@@ -353,8 +353,9 @@ ORACLES = {
         CASE WHEN false_caution THEN 'Material disagreement: scaffold_support_status=' || scaffold || '; audit_support_verdict=' || support_label || '; false_caution_flag=true because the scaffold was cautious and {K.AUDITOR} found supplied-evidence support.'
         WHEN deviation THEN 'Material disagreement: scaffold_support_status=' || scaffold || '; audit_support_verdict=' || support_label || '.'
         ELSE 'No material disagreement between scaffold support status and {K.AUDITOR} verdict: scaffold_support_status=' || scaffold || '; audit_support_verdict=' || support_label || '.' END AS notes FROM d""",
-    "evidence_links": f"""WITH {CONTEXTS} SELECT source_id, excerpt_id, role, max(score) AS best_score, string_agg(claim_id, ',' ORDER BY claim_id) AS claim_ids, arg_max(reliability, score) AS reliability
-      FROM contexts GROUP BY source_id, excerpt_id, role""",
+    "evidence_links": f"""WITH {CONTEXTS} SELECT bundle_id, source_id, excerpt_id, role, max(score) AS best_score, string_agg(claim_id, ',' ORDER BY claim_id) AS claim_ids,
+      first(reliability ORDER BY score DESC, claim_id) AS reliability, first(source_date ORDER BY score DESC, claim_id)::VARCHAR AS source_date, first(url ORDER BY score DESC, claim_id) AS url
+      FROM contexts GROUP BY bundle_id, source_id, excerpt_id, role""",
     "claim_register": f"""WITH {ASSESSED}, first AS (SELECT bundle_id, claim_id, source_id || ' / ' || excerpt_id AS e FROM best WHERE rank = 1)
       SELECT bundle_id, claim_id, support_label, risk_label, coalesce(e, 'none linked') AS strongest,
         CASE WHEN len(flags) > 0 THEN array_to_string(list_transform(flags, lambda f: f.message), '; ') ELSE {_EXPLAIN} END AS main_issue FROM assessed LEFT JOIN first USING (bundle_id, claim_id)""",
