@@ -11,11 +11,11 @@ from pyspark.sql import functions as F
 from provenlake import constants as K
 from provenlake.functions import text as T
 from provenlake.operators import calibrate, extract, verdict
-from provenlake.plans import lexical, samples, semantic, surface
+from provenlake.plans import lexical, review, samples, semantic, surface
 
 DATA = "/root/testdata/sf0.001"
-QUERIES = lexical.QUERIES | semantic.QUERIES | surface.QUERIES
-ORACLES = lexical.ORACLES | semantic.ORACLES | surface.ORACLES
+QUERIES = lexical.QUERIES | semantic.QUERIES | review.QUERIES | surface.QUERIES
+ORACLES = lexical.ORACLES | semantic.ORACLES | review.ORACLES | surface.ORACLES
 #: one of each family that shares its SQL
 COMPARED = [n for n in QUERIES if n in ORACLES and not n.startswith("flag_")] + ["flag_numeric_mismatch", "flag_scope_overreach"]
 
