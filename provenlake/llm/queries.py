@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, license_scan, line_dedup, lm_score, mixing, near_dup, topk_search, toxicity, url_filter, warc
+from . import byte_bpe, decontaminate, license_scan, line_dedup, lm_score, mixing, near_dup, ranked_search, topk_search, toxicity, url_filter, vector_codes, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -71,8 +72,24 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated_pairs(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    encoded = byte_bpe.encode(_table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
+    return byte_bpe.decode(encoded, ranks).select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = vector_codes.product_codes(_table(spark, sf_dir, "embeddings"))
+    return coded.select("vec_id", "code", "error", "label_error", F.lit(vector_codes.books_digest(books)).alias("codebooks_sha256"))
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.rank_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_near_dup, op2_warc_derive, op3_url_filter, op4_line_dedup, op5_license_scan, op6_lm_score, op7_toxicity, op8_topk_search, op9_mix_sources, op10_decontaminate,
+    op11_byte_bpe, op12_vector_codes, op13_ranked_search,
 )}
 
 _RULE_ROWS = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)
@@ -101,6 +118,27 @@ def _sql_uuid(*parts: str) -> str:
     return "'<urn:uuid:' || regexp_replace(md5(concat_ws(chr(10), {})), '^(.{{8}})(.{{4}})(.{{4}})(.{{4}})(.{{12}})$', '\\1-\\2-\\3-\\4-\\5') || '>'".format(", ".join(parts))
 
 
+def _sql_nearest(turn: int) -> str:
+    """Each part's entry in the turn's codebook, and the one's squared distance; ties to the lower entry."""
+    return f"""
+near{turn} AS MATERIALIZED (
+  SELECT r, p, min(far * 64 + e) % 64 AS e, min(far * 64 + e) // 64 AS far FROM (
+    SELECT r, p, e, list_sum(list_transform(list_zip(x.s, y.s), lambda t: (t[1] - t[2]) * (t[1] - t[2])))::BIGINT AS far
+    FROM parts x JOIN book{turn} y USING (p)) GROUP BY r, p)"""
+
+
+def _sql_means(turn: int) -> str:
+    """The codebook after the turn's."""
+    return f"""
+book{turn + 1} AS MATERIALIZED (
+  SELECT p, e, coalesce(any_value(m.s), any_value(b.s)) AS s
+  FROM book{turn} b LEFT JOIN (
+    SELECT p, e, list(mean ORDER BY pos) AS s FROM (
+      SELECT p, e, pos, floor(sum(c) / count(*))::BIGINT AS mean
+      FROM (SELECT r, p, unnest(s) AS c, generate_subscripts(s, 1) AS pos FROM parts) JOIN near{turn} USING (r, p) GROUP BY p, e, pos)
+    GROUP BY p, e) m USING (p, e) GROUP BY p, e)"""
+
+
 _WORDS = "'[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'"
 
 #: All links by an equi-join of sets on shared shingles; components by iterated minima.
@@ -268,5 +306,29 @@ scored AS (
   WHERE q.doc_id % 50 = 0 GROUP BY ALL)
 SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank, doc_id, score
 FROM scored QUALIFY rank <= 10
+""",
+    "op12_vector_codes": f"""
+WITH vectors AS (
+  SELECT row_number() OVER (ORDER BY vec_id, embedding) AS r, vec_id, label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+parts AS MATERIALIZED (SELECT r, vec_id, p, v[p * (len(v) // 16) + 1 : (p + 1) * (len(v) // 16)] AS s FROM vectors, range(16) t(p)),
+book0 AS (SELECT p, r - 1 AS e, s FROM parts WHERE r <= 64),{_sql_nearest(0)},{_sql_means(0)},{_sql_nearest(1)},{_sql_means(1)},{_sql_nearest(2)},
+coded AS (SELECT r, string_agg(printf('%02x', e), '' ORDER BY p) AS code, sum(far)::BIGINT AS error FROM near2 GROUP BY r)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error,
+       (SELECT sha256(string_agg(array_to_string(s, ','), ',' ORDER BY p, e)) FROM book2) AS codebooks_sha256
+FROM vectors JOIN coded USING (r)
+""",
+    "op13_ranked_search": f"""
+WITH d_words AS (SELECT doc_id, unnest(regexp_extract_all({_LOWER.format("coalesce(text, '')")}, {_WORDS})) AS w FROM documents),
+i_words AS (SELECT DISTINCT item_id, w FROM (SELECT item_id, unnest(regexp_extract_all({_LOWER.format("coalesce(text, '')")}, {_WORDS})) AS w FROM benchmark)),
+tf AS (SELECT doc_id, w, count(*) AS tf FROM d_words GROUP BY ALL),
+sizes AS (SELECT doc_id, sum(tf) AS n FROM tf GROUP BY doc_id),
+corpus AS (SELECT count(*)::HUGEINT AS n_docs, sum(n)::HUGEINT AS n_words FROM sizes),
+weights AS (SELECT w, floor(1000 * ln((2 * any_value(n_docs)::DOUBLE + 2) / (2 * count(*) + 1)))::BIGINT AS weight FROM tf, corpus WHERE w IN (SELECT w FROM i_words) GROUP BY w),
+scored AS (
+  SELECT item_id, doc_id, sum(weight * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * n_docs) // n_words))::BIGINT))::BIGINT AS score
+  FROM i_words JOIN weights USING (w) JOIN tf USING (w) JOIN sizes USING (doc_id), corpus GROUP BY ALL)
+SELECT item_id, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id))::INT AS rank, doc_id, score
+FROM scored WHERE score > 0 QUALIFY rank <= 50
 """,
 }
