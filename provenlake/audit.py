@@ -49,7 +49,7 @@ def audit_drafts(
         scored = match.score_blocked_pairs(claims, excerpts, threshold)
         sources = claims.select("bundle_id").filter(F.lit(not rows.isEmpty()))
     else:
-        scored, sources = match.score_bundle_pairs(claims, excerpts), rows
+        scored, sources = match.score_candidates(claims, excerpts, threshold), rows
     contexts = match.best_candidates(scored, threshold, k).withColumn("role", F.lit("support")).select(*CONTEXT)
     return Audit(claims, contexts, rules.assess_claims(claims, contexts, sources, reference_date))
 

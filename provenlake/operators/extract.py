@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions import text as T
+from ..tables import settled
+from . import pairs
 
 #: Every line end that Python's splitlines knows.
 LINE_END = r"\R|[\x1c-\x1e]"
@@ -42,36 +44,56 @@ def claim_sentences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return sentences(docs, id_col, text_col).filter(~F.endswith("text", F.lit("?")) & (F.size(T.tokens(F.col("text"))) >= 4))
 
 
-def near_duplicate(a: Column, b: Column) -> Column:
-    """Whether two term sets are near-duplicates: Jaccard 0.8 or more, or 0.9 of the smaller one
-    shared at a difference of two terms at most; empty sets never."""
-    both = F.size(F.array_intersect(a, b))
-    least = F.least(F.size(a), F.size(b))
-    near = (both >= 0.8 * F.size(F.array_union(a, b))) | ((both >= 0.9 * least) & (F.abs(F.size(a) - F.size(b)) <= 2))
-    return (least > 0) & near
+def first_wins(found: DataFrame, conflicts: DataFrame) -> DataFrame:
+    """The rows of found(row, ...) that stay when they are taken in the order of `row` and one goes where
+    it conflicts with an earlier one that stayed; conflicts(a, b) has a < b.
 
+    In each round the rows without an open earlier conflict stay, those that conflict with one of these
+    go, and conflicts with either are closed.  Rounds go on until no conflict is open: as many as the
+    longest run of rows that each conflict with the next.
+    """
+    open_, gone = settled(conflicts.select("a", "b")), None
+    while not open_.isEmpty():
+        stays = open_.select("a").distinct().join(open_.select(F.col("b").alias("a")), "a", "left_anti")
+        goes = settled(open_.join(stays, "a", "left_semi").select("b").distinct())
+        gone = goes if gone is None else gone.unionByName(goes)
+        left = open_.join(goes, "b", "left_anti").join(goes.select(F.col("b").alias("a")), "a", "left_anti")
+        open_ = settled(left.select("a", "b"))
+    return found if gone is None else found.join(gone.select(F.col("b").alias("row")), "row", "left_anti")
+
+
+def dedupe_claims(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """Claims(id_col, paragraph, sentence, text, claim_type) of which, in each document, the first of
+    equal or nearly equal ones stays: (id_col, claim_id, text, claim_type, location).
+
+    A claim goes when its normalised text equals, or its terms nearly repeat, those of an earlier one of
+    the document that stayed; nearness is not passed on by one that went.  Documents that share an id,
+    and rows without one, are one document; at the same place the smaller text is the earlier.
+    """
+    place = F.struct("paragraph", "sentence", "text", "claim_type")
+    doc = F.struct(F.col(id_col)).alias("doc")  # equal where the id is null, too
+    # equal texts, and equal terms, have the same conflicts: of each kind only the first can stay
+    first = found.groupBy(doc, T.normalized(F.col("text")).alias("norm")).agg(F.min(place).alias("place"))
+    terms = F.array_sort(T.term_set(F.col("norm")))
+    kind = F.when(F.size(terms) > 0, F.to_json(terms)).otherwise(F.concat(F.lit("="), "norm"))
+    first = first.groupBy("doc", kind.alias("kind")).agg(F.min(F.struct("place", "norm")).alias("at"))
+    first = first.select("doc", "at.place", "at.norm", T.term_set(F.col("at.norm")).alias("terms"))
+    # rows are numbered in the documents' own order; the sort is by range, over all tasks
+    numbered = settled(first.orderBy("doc", "place").withColumn("row", F.monotonically_increasing_id()))
+    kept = first_wins(numbered, pairs.near_duplicate_pairs(numbered, "doc"))
+    return kept.select(
+        F.col(f"doc.{id_col}").alias(id_col),
+        T.short_id("claim", F.col(f"doc.{id_col}").cast("string"), F.col("norm")).alias("claim_id"),
+        F.col("place.text").alias("text"),
+        F.col("place.claim_type").alias("claim_type"),
+        F.format_string("paragraph:%d:sentence:%d", "place.paragraph", "place.sentence").alias("location"),
+    )
 
-def extract_claims(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_unclassified: bool = False) -> DataFrame:
-    """(id_col, claim_id, text, claim_type, location) of each document, first of near-duplicates only.
 
-    A sentence goes when its normalised text equals, or its terms nearly repeat, those of an earlier
-    sentence of the document that stayed.  Each document's sentences are folded in order.
-    """
+def extract_claims(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_unclassified: bool = False) -> DataFrame:
+    """(id_col, claim_id, text, claim_type, location) of each document, first of near-duplicates only
+    (dedupe_claims)."""
     found = claim_sentences(docs, id_col, text_col).withColumn("claim_type", claim_type(F.col("text")))
     if not keep_unclassified:
         found = found.filter("claim_type <> 'unclassified'")
-    item = F.struct("paragraph", "sentence", "text", "claim_type", T.normalized(F.col("text")).alias("norm"), T.term_set(F.col("text")).alias("terms"))
-    per_doc = found.groupBy(id_col).agg(F.array_sort(F.collect_list(item)).alias("items"))
-    kept = F.aggregate(
-        "items",
-        F.slice("items", 1, 0),
-        lambda acc, x: F.when(F.exists(acc, lambda y: (y["norm"] == x["norm"]) | near_duplicate(y["terms"], x["terms"])), acc).otherwise(F.concat(acc, F.array(x))),
-    )
-    out = per_doc.select(id_col, F.explode(kept).alias("c"))
-    return out.select(
-        id_col,
-        T.short_id("claim", F.col(id_col).cast("string"), F.col("c.norm")).alias("claim_id"),
-        F.col("c.text").alias("text"),
-        F.col("c.claim_type").alias("claim_type"),
-        F.format_string("paragraph:%d:sentence:%d", "c.paragraph", "c.sentence").alias("location"),
-    )
+    return dedupe_claims(found, id_col)

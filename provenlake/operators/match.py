@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions import text as T
+from ..tables import settled
+from .pairs import by_rarity, grid_join
 
 #: What a text's terms say by themselves, by the word list that they meet.
 FACTS = {"scope": K.SCOPE_WORDS, "future": K.PREDICTION_WORDS, "limits": K.LIMITATION_WORDS, "compares": K.COMPARISON_WORDS}
@@ -85,21 +87,71 @@ def score_bundle_pairs(claims: DataFrame, excerpts: DataFrame) -> DataFrame:
     return counted(pairs).withColumn("score", pair_score())
 
 
-def score_blocked_pairs(claims: DataFrame, excerpts: DataFrame, threshold: float = K.ADMISSION) -> DataFrame:
-    """Pairs of any bundle at or above a positive threshold: claims and excerpts that share no stem,
-    number or date score nothing, so an equi-join on those keys loses no pair."""
+#: The most that terms, phrases and comparison wording give, and what rounding adds.
+ALL_TERMS, ALL_PHRASES, COMPARED, DATED, ROUNDED_UP = 0.45, 0.12, 0.12, 0.08, 0.00005
+#: What an excerpt's wording is for the bounds: whether it names limits, whether it compares.
+KINDS = {0: (False, False), 1: (False, True), 2: (True, False), 3: (True, True)}
+
+
+def least_shared(threshold: float | Column, kind: int) -> Column:
+    """How many terms at least a claim shares with any excerpt of that kind that reaches the threshold
+    without a number or date in common.
+
+    Shared terms give 0.45 of their part in the claim's terms at most, whatever the excerpt's length;
+    phrases, limits and comparisons give what the formula caps them at, and need one shared term.
+    """
+    limits, compares = KINDS[kind]
+    more = F.lit(ALL_PHRASES + ROUNDED_UP)
+    if limits:
+        future, scope = F.col("c_future"), F.col("c_scope")
+        more = more + F.when(future | scope, F.lit(0.18) + F.when(future, 0.12).otherwise(0.0) + F.when(scope, 0.08).otherwise(0.0)).otherwise(0.0)
+    if compares:
+        more = more + F.when(F.col("c_compares"), COMPARED).otherwise(0.0)
+    lacking = (threshold if isinstance(threshold, Column) else F.lit(threshold)) - more
+    return F.greatest(F.lit(1), F.ceil(lacking / ALL_TERMS * F.size("c_terms") - 1e-9))
+
+
+def candidate_pairs(c: DataFrame, e: DataFrame, threshold: float | Column) -> DataFrame:
+    """(c_row, e_row): the pairs of featured rows of a bundle that can reach the threshold, and others.
+
+    Claims and excerpts meet by shared numbers and dates, and by terms: a claim that must share m of its
+    n terms shares one of the n - m + 1 that the fewest excerpts of the bundle have, so it looks for these
+    alone, further into its terms where an excerpt's kind of wording adds to the score.
+    """
+    kind = F.col("e_limits").cast("int") * 2 + F.col("e_compares").cast("int")
+    # a number and a term never look alike; a date is tagged, as some are no numbers
+    figures = {side: F.concat(f"{side}_numbers", F.transform(f"{side}_dates", lambda x: F.concat(F.lit("d:"), x))) for side in "ce"}
+    held = e.select("bundle_id", "e_row", kind.alias("kind"), F.explode("e_terms").alias("key"))
+    postings = held.unionByName(e.select("bundle_id", "e_row", F.lit(-1).alias("kind"), F.explode(figures["e"]).alias("key")))
+
+    often = held.groupBy("bundle_id", "key").agg(F.count("*").alias("rows"))
+    wanted = c.select("bundle_id", "c_row", F.explode("c_terms").alias("key"), *[(F.size("c_terms") - least_shared(threshold, k) + 1).alias(f"within_{k}") for k in KINDS])
+    wanted = by_rarity(wanted, often, ["bundle_id", "key"], "c_row").filter("rows > 0")
+    probes = F.filter(F.array(*[F.when(F.col("place") <= F.col(f"within_{k}"), k) for k in KINDS]), lambda k: k.isNotNull())
+    probes = wanted.select("bundle_id", "c_row", F.explode(probes).alias("kind"), "key")
+    probes = probes.unionByName(c.select("bundle_id", "c_row", F.lit(-1).alias("kind"), F.explode(figures["c"]).alias("key")))
+    return grid_join(probes, postings, ["bundle_id", "kind", "key"]).select("c_row", "e_row").distinct()
+
+
+def score_candidates(claims: DataFrame, excerpts: DataFrame, threshold: float = K.ADMISSION) -> DataFrame:
+    """Every pair of a bundle whose score is the threshold or more, as score_bundle_pairs() has it, by
+    scoring candidate_pairs() only.  At a threshold of 0 or less no pair can be left out, and all are
+    scored.  Rows without a bundle meet none."""
     if threshold <= 0:
-        raise ValueError("pairs without a common key can only be left out above a threshold of 0")
-    c, e = featured(claims, "claim_text", "c"), featured(excerpts, "excerpt_text", "e")
+        return score_bundle_pairs(claims, excerpts).filter(F.col("score") >= threshold)
+    c = settled(featured(claims.filter("bundle_id is not null"), "claim_text", "c").withColumn("c_row", F.monotonically_increasing_id()))
+    e = settled(featured(excerpts.filter("bundle_id is not null"), "excerpt_text", "e").withColumn("e_row", F.monotonically_increasing_id()))
+    met = candidate_pairs(c, e, threshold).join(c, "c_row").join(e.drop("bundle_id"), "e_row").drop("c_row", "e_row")
+    return counted(met).withColumn("score", pair_score()).filter(F.col("score") >= threshold)
 
-    def keys(df: DataFrame, prefix: str, ids: list[str]) -> DataFrame:
-        # a number and a term never look alike; a date is tagged, as some are no numbers
-        dated = F.transform(f"{prefix}_dates", lambda x: F.concat(F.lit("d:"), x))
-        return df.select(*ids, F.explode(F.concat(f"{prefix}_terms", f"{prefix}_numbers", dated)).alias("key"))
 
-    c_ids, e_ids = ["claim_id"], ["source_id", "excerpt_id"]
-    met = keys(c, "c", c_ids).join(keys(e, "e", e_ids), "key").select(*c_ids, *e_ids).distinct()
-    return counted(met.join(c, c_ids).join(e.drop("bundle_id"), e_ids)).withColumn("score", pair_score()).filter(F.col("score") >= threshold)
+def score_blocked_pairs(claims: DataFrame, excerpts: DataFrame, threshold: float = K.ADMISSION) -> DataFrame:
+    """Pairs of any bundle at or above a positive threshold, in the claims' bundles."""
+    if threshold <= 0:
+        raise ValueError("pairs without a common key can only be left out above a threshold of 0")
+    own = claims.withColumnRenamed("bundle_id", "_bundle").withColumn("bundle_id", F.lit(0))
+    found = score_candidates(own, excerpts.withColumn("bundle_id", F.lit(0)), threshold)
+    return found.withColumn("bundle_id", F.col("_bundle")).drop("_bundle")
 
 
 def best_candidates(scored: DataFrame, threshold: float = K.ADMISSION, k: int = K.TOP_CANDIDATES) -> DataFrame:

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions import text as T
-from ..operators import extract, match, report, rules
+from ..operators import extract, match, pairs, report, rules
+from ..tables import settled
 from . import samples
 from .duck import (
     DOC_TEXT, any_of, array, bigrams, count_shared, dates, flag_case, norm, numbers, overlap, q, sentences_sql, sorted_numbers, term_list, term_set, tok, words,
@@ -36,7 +37,7 @@ def _links(spark: SparkSession, sf_dir: str) -> DataFrame:
 def contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidates of the native audit (support) and linked counterevidence, as rule contexts."""
     claims, excerpts = _claims(spark, sf_dir), _excerpts(spark, sf_dir)
-    best = match.best_candidates(match.score_bundle_pairs(claims, excerpts)).withColumn("role", F.lit("support"))
+    best = match.best_candidates(match.score_candidates(claims, excerpts)).withColumn("role", F.lit("support"))
     counter = match.scoped_candidates(claims, excerpts, _links(spark, sf_dir).filter("role = 'counter'"))
     cols = ["bundle_id", "claim_id", "claim_text", "claim_type", "role", "rank", "source_id", "excerpt_id", "score", "excerpt_text", "notes", "reliability", "source_date", "url"]
     return best.select(*cols).unionByName(counter.select(*cols))
@@ -89,17 +90,19 @@ def claim_types(spark, sf_dir):
 
 def near_dup_claims(spark, sf_dir):
     """Near-duplicate pairs of claims within a bundle."""
-    c = _claims(spark, sf_dir).select("bundle_id", "claim_id", T.term_set(F.col("claim_text")).alias("t"))
-    d = c.select("bundle_id", F.col("claim_id").alias("other_id"), F.col("t").alias("u"))
-    return c.join(d, "bundle_id").filter(F.col("claim_id") < F.col("other_id")).filter(extract.near_duplicate(F.col("t"), F.col("u"))).select("bundle_id", "claim_id", "other_id")
+    c = settled(_claims(spark, sf_dir).select("bundle_id", "claim_id", T.term_set(F.col("claim_text")).alias("terms")).withColumn("row", F.monotonically_increasing_id()))
+    found = pairs.near_duplicate_pairs(c, "bundle_id")
+    ids = c.select(F.col("row").alias("a"), F.col("claim_id").alias("one"))
+    found = found.join(ids, "a").join(ids.withColumnsRenamed({"a": "b", "one": "other"}), "b")
+    return found.select("bundle_id", F.least("one", "other").alias("claim_id"), F.greatest("one", "other").alias("other_id"))
 
 
 def claims_deduped(spark, sf_dir):
     """Claims of drafts that a customer's order sentences make, near-duplicates folded away."""
     order = F.regexp_extract("claim_id", "[0-9]+", 0).cast("long")
-    drafts = _claims(spark, sf_dir).groupBy("bundle_id").agg(F.array_sort(F.collect_list(F.struct(order.alias("k"), "claim_text"))).alias("s"))
-    drafts = drafts.select(F.col("bundle_id").alias("doc_id"), F.array_join(F.transform("s", lambda x: x["claim_text"]), "\n\n").alias("text"))
-    return extract.extract_claims(drafts)
+    drafts = _claims(spark, sf_dir).withColumn("paragraph", F.row_number().over(Window.partitionBy("bundle_id").orderBy(order)))
+    drafts = drafts.select(F.col("bundle_id").alias("doc_id"), "paragraph", F.lit(1).alias("sentence"), F.col("claim_text").alias("text"), "claim_type")
+    return extract.dedupe_claims(drafts.filter("claim_type <> 'unclassified'"))
 
 
 # --- matching -----------------------------------------------------------------
@@ -110,7 +113,7 @@ def pair_scores(spark, sf_dir):
 
 
 def topk_candidates(spark, sf_dir):
-    best = match.best_candidates(match.score_bundle_pairs(_claims(spark, sf_dir), _excerpts(spark, sf_dir)))
+    best = match.best_candidates(match.score_candidates(_claims(spark, sf_dir), _excerpts(spark, sf_dir)))
     return best.select("bundle_id", "claim_id", "source_id", "excerpt_id", "score", F.col("rank").cast("long").alias("rank"), match.rationale(F.col("reliability")).alias("rationale"))
 
 
@@ -329,6 +332,20 @@ ORACLES = {
     "near_dup_claims": f"""WITH {BASE} SELECT bundle_id, a.claim_id, b.claim_id AS other_id FROM claims a JOIN claims b USING (bundle_id) WHERE a.claim_id < b.claim_id AND len(a.ct) > 0 AND len(b.ct) > 0
       AND ({count_shared('a.ct', 'b.ct')} >= 0.8 * len(list_distinct(list_concat(a.ct, b.ct)))
         OR ({count_shared('a.ct', 'b.ct')} >= 0.9 * least(len(a.ct), len(b.ct)) AND abs(len(a.ct) - len(b.ct)) <= 2))""",
+    "claims_deduped": f"""WITH RECURSIVE {BASE},
+      placed AS (SELECT *, row_number() OVER (PARTITION BY bundle_id ORDER BY regexp_extract(claim_id, '[0-9]+')::BIGINT) AS paragraph FROM claims),
+      checkable AS (SELECT *, row_number() OVER (PARTITION BY bundle_id ORDER BY paragraph) AS k FROM placed WHERE claim_type <> 'unclassified'),
+      rivals AS (
+        SELECT a.bundle_id, a.k, list(b.k) FILTER (b.k IS NOT NULL) AS earlier FROM checkable a LEFT JOIN checkable b ON a.bundle_id = b.bundle_id AND b.k < a.k AND (a.cn = b.cn OR (len(a.ct) > 0 AND len(b.ct) > 0
+          AND ({count_shared('a.ct', 'b.ct')} >= 0.8 * len(list_distinct(list_concat(a.ct, b.ct)))
+            OR ({count_shared('a.ct', 'b.ct')} >= 0.9 * least(len(a.ct), len(b.ct)) AND abs(len(a.ct) - len(b.ct)) <= 2)))) GROUP BY ALL),
+      folded AS (
+        SELECT bundle_id, 0::BIGINT AS k, []::BIGINT[] AS kept FROM checkable GROUP BY bundle_id
+        UNION ALL
+        SELECT f.bundle_id, r.k, CASE WHEN list_has_any(kept, coalesce(earlier, [])) THEN kept ELSE list_append(kept, r.k) END FROM folded f JOIN rivals r ON r.bundle_id = f.bundle_id AND r.k = f.k + 1),
+      stayed AS (SELECT bundle_id, unnest(arg_max(kept, k)) AS k FROM folded GROUP BY bundle_id)
+      SELECT bundle_id AS doc_id, 'claim-' || left(sha256(bundle_id || ':' || cn), 12) AS claim_id, claim_text AS text, claim_type, 'paragraph:' || paragraph || ':sentence:1' AS location
+      FROM checkable JOIN stayed USING (bundle_id, k)""",
     "pair_scores": f"WITH {BASE} SELECT bundle_id, claim_id, source_id, excerpt_id, score FROM ({scored(_BUNDLE_PAIRS)})",
     "topk_candidates": f"""WITH {CONTEXTS} SELECT bundle_id, claim_id, source_id, excerpt_id, score, rank, concat_ws('; ',
       CASE WHEN n_num > 0 THEN 'matched numbers: ' || array_to_string({sorted_numbers("list_filter(cnum, lambda x: list_contains(enum, x))")}, ', ') END,
