@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import small_batches
+from .shared import small_batches, written
 from .textops import SYMBOLS, pieces
 
 #: Bits of a word's feature number.
@@ -68,13 +68,14 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = []
         for _, _, words in pieces(batch.column("text"), SYMBOLS):
             found += [np.unique(_features(words.of(k))).astype(np.int32).tobytes() for k in range(len(words.offsets) - 1)]
-        yield pa.RecordBatch.from_arrays([batch.column("kind"), pa.array(found, pa.binary())], names=["kind", "features"])
+        yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("kind"), pa.array(found, pa.binary())], names=["id", "kind", "features"])
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", train_rows: int = 10_000, steps: int = 1500) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", train_rows: int = 10_000, steps: int = 1500, train_bytes: int = 256 << 20) -> Model:
     """Trains on at most train_rows labelled rows and as many unlabelled ones, of each those with the
-    smallest xxhash64(id): the bound of what the driver gathers.  Labelled rows of label 1 are the
-    positives; the unlabelled texts are all sampled ones, those that labels does not name and, whatever
+    smallest xxhash64(id), and in that order only as long as the words' features take train_bytes
+    together: the bounds of what the driver gathers.  Of rows that share an id one counts, that of the
+    smallest features as bytes.  Labelled rows of label 1 are the positives; the unlabelled texts are all sampled ones, those that labels does not name and, whatever
     their label, those that it does.  The class prior is the share of label 1 in the labelled
     sample.  Equal texts count once.
 
@@ -91,8 +92,18 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     open_ids = texts.select("id").filter(F.col("id").isNotNull() & ~held_out(F.col("id"))).join(named, "id", "left_anti").distinct()
     unlabelled = open_ids.withColumn("kind", F.lit(UNLABELLED)).orderBy(*order).limit(train_rows)
     # the bounded samples are sent to where the texts are
-    sample = texts.join(F.broadcast(chosen.unionByName(unlabelled)), "id").select("kind", "text")
-    rows = sample.mapInArrow(_sets, "kind int, features binary").collect()
+    sample = texts.join(F.broadcast(chosen.unionByName(unlabelled)), "id").select("id", "kind", "text")
+    kind = texts.schema["id"].dataType.simpleString()
+    sets = sample.mapInArrow(_sets, f"id {kind}, kind int, features binary")
+    sets = written(sets.groupBy("id").agg(F.min("kind").alias("kind"), F.min("features").alias("features")), "sample")
+    sizes = sets.select(F.xxhash64("id").alias("place"), F.length("features").alias("size")).collect()
+    upto, total = None, 0
+    for r in sorted(sizes):
+        total += r.size
+        if total > train_bytes:
+            break
+        upto = r.place
+    rows = [] if upto is None else sets.filter(F.xxhash64("id") <= upto).select("kind", "features").collect()
     # copies of one text would make all its words look telling
     by_kind = {kind: sorted({bytes(r.features) for r in rows if r.kind == kind}) for kind in (0, 1, UNLABELLED)}
     del rows
