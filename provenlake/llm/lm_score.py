@@ -3,11 +3,13 @@
 Words and word pairs are counted one by one, under 64-bit keys, over every document: the target over
 the chosen ones, the background over all others.  The two are matched: the background's counts are
 scaled by target words / background words, so that smoothing weighs the same in both, and no document
-is left out for it.  With c a model's counts, N its words and V = SMOOTH,
+is left out for it.  A document is scored without itself: its own counts are taken out of the model
+that has them, so that a score tells what a text is like and not where it was counted.  With c a model's
+counts then, N its words and V the distinct words of all documents,
     P(w)     = (c(w) + 1) / (N + V)
     P(w | h) = (least(c(h, w), c(h)) + PULL * P(w)) / (c(h) + PULL)
-and the first word of a text has P(w).  A document's score is its mean loss per word under the
-background less that under the target.
+and the first word of a text has P(w); what the words after h leave of 1 is the text's end.  A document's
+score is its mean loss per word under the background less that under the target.
 
 Documents stand in chunks.  A chunk asks for each of its distinct keys once, with its own counts; the
 keys are dealt out by ranges whose number follows the corpus, a range's counts are summed, and the sums
@@ -30,8 +32,6 @@ from pyspark.sql import functions as F
 from .shared import groups, small_batches, written
 from .textops import BASE, BLANK, mix, pieces
 
-#: Words that add-one smoothing reckons with; a constant of the formula, nothing is counted in it.
-SMOOTH = 1 << 20
 #: How many words' weight the unigram model has in the bigram one.
 PULL = 5.0
 #: Bytes of text in a chunk, about, and keys that the chunks together ask of one range, about.
@@ -149,20 +149,26 @@ def _told(buckets: int):
     return run
 
 
-def _losses(of_keys: np.ndarray, which: np.ndarray, begins: np.ndarray, size: float, scale: float) -> np.ndarray:
-    """-log P of each word under one model that has seen size words, its counts scaled."""
+def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each chunk's distinct words."""
+    for batch in batches:
+        for body in batch.column("body"):
+            found = [words.hashes for _, _, words in pieces(_texts(body.as_py()).column("text"), BLANK)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate([*found, np.zeros(0, np.uint64)])).view(np.int64))], names=["word"])
+
+
+def _losses(counts: np.ndarray, begins: np.ndarray, size: np.ndarray, scale: np.ndarray, vocabulary: int) -> np.ndarray:
+    """-log P of each word under one model: the scaled counts of the words and then of the pairs, and for
+    each word how many words the model has seen, with their scale."""
     n = len(begins)
-    counts = (of_keys.astype(np.float64) * scale)[which]
-    p = (counts[:n] + 1.0) / (size * scale + SMOOTH)
+    p = (counts[:n] + 1.0) / (size * scale + vocabulary)
     at = np.flatnonzero(~begins)
     before = counts[at - 1]
     p[at] = (np.minimum(counts[n:], before) + PULL * p[at]) / (before + PULL)
     return -np.log(p)
 
 
-def _scored(sizes: list[float]):
-    scales = (1.0, sizes[0] / sizes[1] if all(sizes) else 1.0)
-
+def _scored(sizes: list[float], vocabulary: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in groups(batches, ["chunk"]):
             # the chunk's texts stand before what its ranges told
@@ -170,9 +176,20 @@ def _scored(sizes: list[float]):
             tokens, begins, bounds = _tokens(texts.column("text"))
             _, which = np.unique(tokens, return_inverse=True)
             n, means = np.diff(bounds), []
-            for name, size, scale in zip(("body", "background"), sizes, scales):
+            chosen = texts.column("target").to_numpy(zero_copy_only=False)
+            # how often a word's or pair's own document has it
+            text = np.repeat(np.arange(len(n)), n)
+            text = np.concatenate([text, text[~begins]])
+            _, spot, times = np.unique(text * (int(which.max(initial=0)) + 1) + which, return_inverse=True, return_counts=True)
+            own = times[spot]
+            without = [sizes[0] - np.where(chosen, n, 0), sizes[1] - np.where(chosen, 0, n)]
+            both = (without[0] > 0) & (without[1] > 0)
+            scales = [np.ones(len(n)), np.where(both, without[0] / np.where(both, without[1], 1), 1.0)]
+            for name, mine, size, scale in zip(("body", "background"), (chosen, ~chosen), without, scales):
                 told = np.concatenate([np.zeros(0, np.uint64), *(_unpacked(x.as_py()) for x in group[name][1:])])
-                total = np.concatenate([[0.0], np.cumsum(_losses(told, which, begins, size, scale))])
+                counts = (told.astype(np.float64)[which] - np.where(mine[text], own, 0)) * scale[text]
+                of_word = text[: len(begins)]
+                total = np.concatenate([[0.0], np.cumsum(_losses(counts, begins, size[of_word], scale[of_word], vocabulary))])
                 with np.errstate(invalid="ignore"):
                     means.append((total[bounds[1:]] - total[bounds[:-1]]) / n)
             target, background = (pa.array(m, from_pandas=True) for m in means)
@@ -190,8 +207,8 @@ def score_documents(docs: DataFrame, target_ids: DataFrame, id_col: str = "doc_i
     target.
 
     Null and blank texts have no words: losses null, score 0.  Null ids are never of the target;
-    repeated rows are counted and scored each; repeated or unknown target ids change nothing.  A
-    model without documents is uniform, and the other one then keeps its own counts.  An empty table gives an empty result.
+    repeated rows are counted and scored each, every one without itself alone; repeated or unknown target
+    ids change nothing.  A model without documents is uniform, and the other one then keeps its own counts.  An empty table gives an empty result.
     """
     small_batches(docs.sparkSession)
     chosen = target_ids.select(F.col(id_col).alias("t_id")).filter("t_id is not null").distinct().withColumn("target", F.lit(True))
@@ -202,10 +219,11 @@ def score_documents(docs: DataFrame, target_ids: DataFrame, id_col: str = "doc_i
     seen = chunks.agg(F.coalesce(F.sum("n_target"), F.lit(0)), F.coalesce(F.sum("n_words"), F.lit(0))).first()
     buckets = max(1, math.ceil(2 * seen[1] / RANGE_KEYS))
 
+    vocabulary = chunks.select("body").mapInArrow(_words, "word long").distinct().count()
     bodies = chunks.select("chunk", F.lit(-1).cast("long").alias("bucket"), "body", F.lit(None).cast("binary").alias("background"))
     asked = chunks.select("chunk", "body").mapInArrow(_asked(buckets), _ASKED).repartition("bucket").sortWithinPartitions("bucket")
     told = asked.mapInArrow(_told(buckets), _TOLD)
     met = bodies.unionByName(told).repartition("chunk").sortWithinPartitions("chunk", "bucket")
     kind = texts.schema["id"].dataType.simpleString()
-    scored = met.mapInArrow(_scored([float(seen[0]), float(seen[1] - seen[0])]), f"id {kind}, n_words long, loss_target double, loss_background double, score double")
+    scored = met.mapInArrow(_scored([float(seen[0]), float(seen[1] - seen[0])], vocabulary), f"id {kind}, n_words long, loss_target double, loss_background double, score double")
     return scored.withColumnRenamed("id", id_col)
