@@ -234,25 +234,13 @@ SELECT doc_id, coalesce(n_words, 0)::BIGINT AS n_words, coalesce(n_base, 0)::BIG
 FROM documents LEFT JOIN counted USING (doc_id) LEFT JOIN found USING (doc_id)
 """,
     "op10_decontaminate": f"""
-WITH masks(k, mask) AS (VALUES (0, '1101011'), (1, '11100101'), (2, '100110011')),
-d AS (SELECT doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, {_WORDS}) AS w FROM documents),
+WITH d AS (SELECT doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, {_WORDS}) AS w FROM documents),
 b AS (SELECT item_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, {_WORDS}) AS w FROM benchmark),
-d_spots AS (SELECT doc_id, w, unnest(range(0, len(w))) AS p FROM d),
-b_spots AS (SELECT item_id, w, unnest(range(0, len(w))) AS p FROM b WHERE len(w) >= 7),
-d_seeds AS (
-  SELECT doc_id, p, k, array_to_string(list_transform(list_filter(range(0, len(mask)), lambda x: mask[x + 1] = '1'), lambda x: w[p + x + 1]), ' ') AS g
-  FROM d_spots JOIN masks ON p + len(mask) <= len(w)),
-b_seeds AS (
-  SELECT item_id, p, k, array_to_string(list_transform(list_filter(range(0, len(mask)), lambda x: mask[x + 1] = '1'), lambda x: w[p + x + 1]), ' ') AS g
-  FROM b_spots JOIN masks ON p + len(mask) <= len(w)
-  UNION ALL
-  SELECT item_id, 0, 100 + len(w), array_to_string(w, ' ') FROM b WHERE len(w) IN (5, 6)),
-d_short AS (
-  SELECT doc_id, p, 100 + n AS k, array_to_string(w[p + 1 : p + n], ' ') AS g
-  FROM d_spots JOIN (SELECT DISTINCT len(w) AS n FROM b WHERE len(w) IN (5, 6)) ON p + n <= len(w)),
+d_words AS (SELECT doc_id, unnest(w) AS g, unnest(range(0, len(w))) AS at FROM d),
+b_words AS (SELECT item_id, least(20, len(w)) AS n, unnest(w) AS g, unnest(range(0, len(w))) AS p FROM b WHERE len(w) >= 5),
 lines AS (
-  SELECT DISTINCT doc_id, item_id, x.p - y.p AS shift
-  FROM (SELECT * FROM d_seeds UNION ALL SELECT * FROM d_short) x JOIN b_seeds y USING (k, g)),
+  SELECT doc_id, item_id, at - p AS shift FROM d_words JOIN b_words USING (g)
+  GROUP BY ALL HAVING 100 * count(*) >= 80 * any_value(n)),
 agree AS (
   SELECT doc_id, item_id, shift, b.w AS i_w, unnest(range(0, len(b.w))) AS p, d.w AS d_w
   FROM lines JOIN d USING (doc_id) JOIN b USING (item_id)),

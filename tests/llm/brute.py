@@ -58,27 +58,20 @@ def without_lines(rows, min_chars=20, min_docs=3):
     return out
 
 
-def overlaps(rows, items, masks, window=20, percent=80, min_tokens=5):
-    """{(doc_id, item_id): (window_tokens, matched)}."""
+def overlaps(rows, items, window=20, percent=80, min_tokens=5):
+    """{(doc_id, item_id): (window_tokens, matched)}, at every shift that lets a single token agree."""
     found = {}
-    shortest = min(map(len, masks))
     for d, text in rows:
         w = symbol_words(text)
+        places = {}
+        for at, word in enumerate(w):
+            places.setdefault(word, []).append(at)
         for item, passage in items:
             b = symbol_words(passage)
             if len(b) < min_tokens:
                 continue
-            seeds = [[p for p, c in enumerate(m) if c == "1"] for m in masks] if len(b) >= shortest else [list(range(len(b)))]
-            spans = list(map(len, masks)) if len(b) >= shortest else [len(b)]
-            shifts = {
-                x - y
-                for seed, span in zip(seeds, spans)
-                for x in range(len(w) - span + 1)
-                for y in range(len(b) - span + 1)
-                if all(w[x + p] == b[y + p] for p in seed)
-            }
             n = min(window, len(b))
-            for shift in shifts:
+            for shift in {at - p for p, word in enumerate(b) for at in places.get(word, ())}:
                 agree = [0 <= p + shift < len(w) and w[p + shift] == b[p] for p in range(len(b))]
                 m = max(sum(agree[p : p + n]) for p in range(len(b) - n + 1))
                 if 100 * m >= percent * n and m > found.get((d, item), (0, 0))[1]:
@@ -106,32 +99,39 @@ def bm25(rows, queries, k=10, k1=1.2, b=0.75):
     return out
 
 
-def lm_scores(rows, target, vocabulary=1 << 20, pull=5.0):
-    """{doc_id: (n_words, score)} by exact counts of words and word pairs."""
+def lm_scores(rows, target, pull=5.0):
+    """{doc_id: (n_words, score)} by exact counts of words and word pairs, without the document's own."""
     texts = {i: blank_words(t) for i, t in rows}
-
-    target = [i for i in texts if i in target]
-    rest = [i for i in texts if i not in target]
-    words_of = lambda ids: sum(len(texts[i]) for i in ids)
-    matched = words_of(target) / words_of(rest) if words_of(target) and words_of(rest) else 1.0
-
-    def model(ids):
-        uni = Counter(w for i in ids for w in texts[i])
-        return uni, Counter(p for i in ids for p in zip(texts[i], texts[i][1:])), sum(uni.values())
-
-    def loss(words, m, scale):
-        uni, bi, n = m
-        total = 0.0
+    vocabulary = len({w for words in texts.values() for w in words})
+    uni_of = {i: Counter(w) for i, w in texts.items()}
+    bi_of = {i: Counter(zip(w, w[1:])) for i, w in texts.items()}
+    total = {}
+    for chosen in (True, False):
+        ids = [i for i in texts if (i in target) == chosen]
+        total[chosen] = sum((uni_of[i] for i in ids), Counter()), sum((bi_of[i] for i in ids), Counter())
+
+    def loss(words, uni, bi, n, scale):
+        out = 0.0
         for at, w in enumerate(words):
-            alone = (uni[w] * scale + 1) / (n * scale + vocabulary)
+            p = (uni[w] * scale + 1) / (n * scale + vocabulary)
             if at:
                 c = uni[words[at - 1]] * scale
-                alone = (min(bi[words[at - 1], w] * scale, c) + pull * alone) / (c + pull)
-            total -= math.log(alone)
-        return total / len(words)
+                p = (min(bi[words[at - 1], w] * scale, c) + pull * p) / (c + pull)
+            out -= math.log(p)
+        return out / len(words)
 
-    t, g = model(target), model(rest)
-    return {i: (len(w), loss(w, g, matched) - loss(w, t, 1.0) if w else 0.0) for i, w in texts.items()}
+    found = {}
+    for i, words in texts.items():
+        models = []
+        for chosen in (True, False):
+            uni, bi = total[chosen]
+            if (i in target) == chosen:
+                uni, bi = uni - uni_of[i], bi - bi_of[i]
+            models.append((uni, bi, uni.total()))
+        (tu, tb, tn), (gu, gb, gn) = models
+        scale = tn / gn if tn and gn else 1.0
+        found[i] = (len(words), loss(words, gu, gb, gn, scale) - loss(words, tu, tb, tn, 1.0) if words else 0.0)
+    return found
 
 
 def sha(text):

@@ -77,7 +77,7 @@ def test_pipeline(spark, tmp_path):
     assert 20 < len(rows) - len(left) < 50
     left = [(i, t) for i, (_, _, t) in brute.without_lines(left).items()]
     left = [(i, t) for i, t in left if brute.components(left, 5, 80)[i][1] == i]
-    bad = {d for d, _ in brute.overlaps(left, items, decontaminate.MASKS)}
+    bad = {d for d, _ in brute.overlaps(left, items)}
     assert bad
     want = [(i, t, len(t)) for i, t in left if i not in bad]
 
