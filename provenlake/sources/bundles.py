@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
@@ -26,8 +28,6 @@ SELF_HASHED = {"audit_config.yaml": ("config_hash",), "bundle_manifest.yaml": ("
 def pending_digest(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     """SHA-256 of a self-hashed YAML file, written again in a fixed form with its own hash pending;
     null where the file has no such field."""
-    import hashlib
-
     import yaml
 
     def digest(name: str, content: bytes) -> str | None:
@@ -69,11 +69,24 @@ def sealed(file: Column) -> Column:
     return (F.element_at(parts, -1) != SUMS) & ~F.array_contains(parts, SET_ASIDE)
 
 
-def folded_digest(file: Column, digest: Column) -> Column:
-    """Aggregate: the digest of a group's files, in the order of their paths' parts.  A group is one
-    bundle's list of files, two short texts each; their contents take no part."""
-    ordered = F.array_sort(F.collect_list(F.struct(F.split(file, "/").alias("parts"), file.alias("file"), digest.alias("digest"))))
-    return F.concat(F.lit("sha256:"), F.sha2(F.array_join(F.transform(ordered, lambda x: F.concat(x["file"], F.lit("\0"), x["digest"], F.lit("\n"))), ""), 256))
+def folded_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(bundle_id, tree_hash, bad) of rows sorted by bundle and path: a digest's state streams over a
+    bundle's rows; bad counts files without a digest."""
+    bundle, state, bad, begun = None, hashlib.sha256(), 0, False
+
+    def told() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([bundle]), pa.array([f"sha256:{state.hexdigest()}"]), pa.array([bad], pa.int64())], names=["bundle_id", "h", "bad"])
+
+    for batch in batches:
+        for b, file, digest in zip(*(batch.column(c).to_pylist() for c in ("bundle_id", "file", "digest"))):
+            if begun and b != bundle:
+                yield told()
+                state, bad = hashlib.sha256(), 0
+            bundle, begun = b, True
+            bad += digest is None
+            state.update(f"{file}\0{digest}\n".encode())
+    if begun:
+        yield told()
 
 
 def tree_hashes(files: DataFrame) -> DataFrame:
@@ -83,7 +96,9 @@ def tree_hashes(files: DataFrame) -> DataFrame:
     # only the few self-hashed files go to Python
     plain = rows.filter(~F.col("own")).select("bundle_id", "file", "digest")
     again = rows.filter("own").select("bundle_id", "file", pending_digest("file", "content").alias("digest"))
-    whole = plain.unionByName(again).groupBy("bundle_id").agg(folded_digest(F.col("file"), F.col("digest")).alias("h"), F.count_if(F.col("digest").isNull()).alias("bad"))
+    rows = plain.unionByName(again).withColumn("parts", F.split("file", "/")).repartition("bundle_id").sortWithinPartitions("bundle_id", "parts").drop("parts")
+    # a digest is a chain, so one bundle is one task's; it holds no more than the digest's state
+    whole = rows.mapInArrow(folded_lines, "bundle_id string, h string, bad long")
     return whole.select("bundle_id", F.when(F.col("bad") == 0, F.col("h")).alias("tree_hash"))
 
 
