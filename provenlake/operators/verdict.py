@@ -7,6 +7,10 @@ non-neutral result of a claim is judged on its own, and the first one that may s
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,18 +25,60 @@ def normalized_vector(vector: Column) -> Column:
     return F.transform(wide, lambda x: F.when(length > 0, x / length).otherwise(x))
 
 
-def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+#: Rows of a bundle that make one block of vectors.
+BLOCK_ROWS = 2048
+
+
+def _blocks(rows: DataFrame, keys: list[str], own: list[str], side: str, cells: DataFrame) -> DataFrame:
+    """Blocks of rows(keys, own, vec) of about BLOCK_ROWS: a row a block, its columns arrays, beside each
+    of the other side's blocks of the bundle."""
+    other = "p" if side == "c" else "c"
+    placed = rows.join(cells, keys).withColumn(f"{side}_cell", F.pmod(F.xxhash64(*own), f"{side}_cells"))
+    packed = placed.groupBy(*keys, f"{side}_cell", f"{other}_cells").agg(F.collect_list(F.struct(*own, "vec")).alias("rows"))
+    columns = [F.col(f"rows.{c}").alias(f"{side}_{c}") for c in own] + [F.flatten("rows.vec").alias(f"{side}_vec")]
+    return packed.withColumn(f"{other}_cell", F.explode(F.sequence(F.lit(0).cast("long"), F.col(f"{other}_cells") - 1))).select(*keys, "c_cell", "p_cell", *columns)
+
+
+def _best_of_blocks(keys: list[str], k: int):
+    """The k best passages of a block for each claim of another: one matrix product."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(batch.num_rows):
+                one = {name: batch.column(name)[at].values for name in ("c_claim_id", "c_vec", "p_passage_id", "p_ordinal", "p_vec")}
+                n, m = len(one["c_claim_id"]), len(one["p_passage_id"])
+                score = one["c_vec"].to_numpy().reshape(n, -1) @ one["p_vec"].to_numpy().reshape(m, -1).T
+                # half-up rounding by floor, as functions.text.rounded has it; passages stand by ordinal
+                score = np.floor(score * 1e6 + 0.5) / 1e6
+                rank = np.argsort(one["p_ordinal"].to_numpy(zero_copy_only=False), kind="stable")
+                best = rank[np.argsort(-score[:, rank], axis=1, kind="stable")[:, :k]]
+                claim, hit = np.repeat(np.arange(n), best.shape[1]), best.ravel()
+                columns = [pa.array([batch.column(c)[at].as_py()] * len(hit), batch.schema.field(c).type) for c in keys]
+                columns += [one["c_claim_id"].take(pa.array(claim)), one["p_passage_id"].take(pa.array(hit)), one["p_ordinal"].take(pa.array(hit)), pa.array(score[claim, hit])]
+                yield pa.RecordBatch.from_arrays(columns, names=[*keys, "claim_id", "passage_id", "ordinal", "score"])
+
+    return run
 
 
 def retrieve(claims: DataFrame, passages: DataFrame, k: int = K.RETRIEVAL_TOP_K, keys: tuple[str, ...] = ("bundle_id",)) -> DataFrame:
     """For claims(keys, claim_id, embedding) the k passages(keys, passage_id, ordinal, embedding) of
     the same bundle of the highest cosine, earlier ones first among equals; no floor is applied.
-    Scores are rounded to six digits before they are ranked."""
-    c = claims.select(*keys, "claim_id", normalized_vector(F.col("embedding")).alias("c_vec"))
-    p = passages.select(*keys, "passage_id", "ordinal", normalized_vector(F.col("embedding")).alias("p_vec"))
-    scored = c.join(p, list(keys)).select(*keys, "claim_id", "passage_id", "ordinal", T.rounded(dot(F.col("c_vec"), F.col("p_vec")), 6).alias("score"))
-    order = Window.partitionBy(*keys, "claim_id").orderBy(F.desc("score"), "ordinal")
+    Scores are rounded to six digits before they are ranked.
+
+    A bundle's vectors lie in blocks of about BLOCK_ROWS, and every block of claims meets every block
+    of passages in a matrix product of its own, which gives k rows a claim: a large bundle is many
+    tasks' work, and no row of a pair is made beside these.  Rows without a vector, or of a bundle
+    without the other side, have no result; vectors of a bundle are of one length.
+    """
+    on = list(keys)
+    c = claims.select(*on, "claim_id", normalized_vector(F.col("embedding")).alias("vec")).filter("vec is not null")
+    p = passages.select(*on, "passage_id", "ordinal", normalized_vector(F.col("embedding")).alias("vec")).filter("vec is not null")
+    counts = c.groupBy(*on).agg(F.ceil(F.count("*") / BLOCK_ROWS).alias("c_cells")).join(p.groupBy(*on).agg(F.ceil(F.count("*") / BLOCK_ROWS).alias("p_cells")), on)
+    met = _blocks(c, on, ["claim_id"], "c", counts).join(_blocks(p, on, ["passage_id", "ordinal"], "p", counts), [*on, "c_cell", "p_cell"])
+    kinds = {f.name: f.dataType.simpleString() for f in [*c.schema, *p.schema]}
+    schema = ", ".join([*(f"{x} {kinds[x]}" for x in [*on, "claim_id", "passage_id", "ordinal"]), "score double"])
+    scored = met.mapInArrow(_best_of_blocks(on, k), schema)
+    order = Window.partitionBy(*on, "claim_id").orderBy(F.desc("score"), "ordinal")
     return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 

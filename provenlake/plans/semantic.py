@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import constants as K
+from ..functions import canonical
 from ..operators import calibrate, verdict
 from . import samples
 from .duck import array
@@ -112,10 +113,29 @@ def alignment(spark, sf_dir):
     return calibrate.check_alignment(gold, traces, starved)
 
 
+def canonical_orders(spark, sf_dir):
+    """Each order with its lines as canonical JSON, and its hash; the fields are given in no order."""
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    line = F.struct(F.col("l_linenumber").alias("number"), F.struct(F.col("l_tax").alias("tax"), F.col("l_discount").alias("discount")).alias("rates"), F.col("l_returnflag").alias("flag"), (F.col("l_quantity") * 1e9).alias("large"))
+    lines = lines.groupBy(F.col("l_orderkey").alias("key")).agg(F.array_sort(F.collect_list(line)).alias("lines"))
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select(
+        F.col("o_orderkey").alias("key"), F.col("o_totalprice").alias("total"), F.concat_ws('"\n\\é', "o_orderstatus", "o_orderpriority").alias("note"), F.to_date("o_orderdate").alias("date"),
+        F.create_map(F.lit("z"), F.col("o_custkey"), F.lit("A"), F.lit(None).cast("long")).alias("Map"), (F.col("o_orderkey") % 2 == 0).alias("even"),
+    )
+    found = canonical.with_canonical(orders.join(lines, "key", "left"), ["note", "total", "Map", "key", "lines", "even", "date"])
+    return found.select("key", F.char_length("canonical").cast("long").alias("n_chars"), F.col("canonical_hash").alias("hash"))
+
+
+def canonical_documents(spark, sf_dir):
+    """The hash of each document's row as canonical JSON."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return canonical.with_canonical(docs, docs.columns).select("doc_id", F.col("canonical_hash").alias("hash"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
-        verdicts, audit_notes, entail_signal, rule_fires, retrieval, crosswalk, agreement, confusion, kappa, weighted_agreement, adverse_by_group, recall_floor, flag_tallies, alignment,
+        canonical_orders, canonical_documents, verdicts, audit_notes, entail_signal, rule_fires, retrieval, crosswalk, agreement, confusion, kappa, weighted_agreement, adverse_by_group, recall_floor, flag_tallies, alignment,
     )
 }
 
@@ -186,6 +206,12 @@ ORACLES = {
     "entail_signal": f"""WITH s AS ({samples.SIGNALS}), best AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY claim_id ORDER BY label = 'neutral', score DESC, ordinal) = 1)
       SELECT claim_id, coalesce(label, 'neutral') AS label, coalesce(score, 0)::DOUBLE AS score, passage_id FROM ({samples.CLAIM_FEATURES}) LEFT JOIN best USING (claim_id)""",
     "rule_fires": f"WITH {VERDICTS} SELECT rule_id, count(DISTINCT claim_id) AS fired FROM (SELECT claim_id, unnest(rules) AS rule_id FROM final) GROUP BY rule_id",
+    "canonical_orders": """WITH lines AS (
+      SELECT l_orderkey AS key, list({'flag': l_returnflag, 'large': l_quantity * 1e9, 'number': l_linenumber, 'rates': {'discount': l_discount, 'tax': l_tax}} ORDER BY l_linenumber, l_tax, l_discount, l_returnflag, l_quantity) AS lines FROM lineitem GROUP BY 1),
+      texts AS (SELECT o_orderkey AS key, to_json({'Map': {'A': NULL, 'z': o_custkey}, 'date': o_orderdate::DATE::VARCHAR, 'even': o_orderkey % 2 = 0, 'key': o_orderkey, 'lines': lines,
+        'note': o_orderstatus || '"' || chr(10) || '\\é' || o_orderpriority, 'total': o_totalprice})::VARCHAR AS t FROM orders LEFT JOIN lines ON key = o_orderkey)
+      SELECT key, length(t)::BIGINT AS n_chars, 'sha256:' || sha256(t) AS hash FROM texts""",
+    "canonical_documents": "SELECT doc_id, 'sha256:' || sha256(to_json({'doc_id': doc_id, 'lang': lang, 'n_chars': n_chars, 'source': source, 'text': text})::VARCHAR) AS hash FROM documents",
     "retrieval": f"""WITH v AS (SELECT vec_id, vec_id // {BUNDLE_VECTORS} AS bundle, embedding::DOUBLE[] AS e FROM embeddings),
       pairs AS (SELECT a.vec_id AS claim_id, b.vec_id AS passage_id, floor(list_inner_product(a.e, b.e) / sqrt(list_inner_product(a.e, a.e)) / sqrt(list_inner_product(b.e, b.e)) * 1000000 + 0.5) / 1000000 AS score
         FROM v a JOIN v b USING (bundle))
