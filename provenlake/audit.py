@@ -15,19 +15,21 @@ from .sources.drafts import read_drafts
 from .sources.evidence import scan_evidence
 from .sources.files import checked
 
-CONTEXT = ["bundle_id", "claim_id", "claim_text", "claim_type", "role", "rank", "source_id", "excerpt_id", "score", "excerpt_text", "notes", "reliability", "source_date", "url"]
+CONTEXT = ["bundle_id", "claim_id", "claim_text", "claim_type", "role", "rank", "source_id", "excerpt_id", "score", "excerpt_text", "notes", "reliability", "source_date", "url", "rationale"]
 
 
 @dataclass(frozen=True)
 class Audit:
     """claims(bundle_id, claim_id, claim_text, claim_type, location), contexts (their candidates, in the
     form that operators.rules and operators.report take), assessments, one row a claim, and
-    faults(bundle_id, file, fault) of bundles that were left out (null for drafts, whose faults fail)."""
+    faults(bundle_id, file, fault) of bundles that were left out (null for drafts, whose faults fail),
+    and for drafts bundles(bundle_id, n_sources)."""
 
     claims: DataFrame
     contexts: DataFrame
     assessments: DataFrame
     faults: DataFrame | None = None
+    bundles: DataFrame | None = None
 
 
 def audit_drafts(
@@ -40,7 +42,8 @@ def audit_drafts(
     whatever its name.  Claims of drafts without evidence are assessed on none.  A draft or evidence
     file that cannot be read fails the query.  bundle_id is the draft's document_id.
     """
-    found = extract.extract_claims(read_drafts(spark, drafts), "document_id", "content", keep_unclassified)
+    texts = read_drafts(spark, drafts)
+    found = extract.extract_claims(texts, "document_id", "content", keep_unclassified)
     claims = found.select(F.col("document_id").alias("bundle_id"), "claim_id", F.col("text").alias("claim_text"), "claim_type", "location")
     rows = checked(scan_evidence(spark, evidence)).filter("source_id is not null").drop("path")
     excerpts = rows.filter("excerpt_id is not null")
@@ -50,8 +53,13 @@ def audit_drafts(
         sources = claims.select("bundle_id").filter(F.lit(not rows.isEmpty()))
     else:
         scored, sources = match.score_candidates(claims, excerpts, threshold), rows
-    contexts = match.best_candidates(scored, threshold, k).withColumn("role", F.lit("support")).select(*CONTEXT)
-    return Audit(claims, contexts, rules.assess_claims(claims, contexts, sources, reference_date))
+    best = match.best_candidates(scored, threshold, k).withColumn("role", F.lit("support"))
+    contexts = best.withColumn("rationale", match.rationale(F.col("reliability"))).select(*CONTEXT)
+    told = rules.assess_claims(claims, contexts, sources, reference_date).join(claims.select("bundle_id", "claim_id", "location"), ["bundle_id", "claim_id"])
+    counts = rows.select("source_id").distinct().agg(F.count("*").alias("n_sources")) if one_file else rows.groupBy("bundle_id").agg(F.count_distinct("source_id").alias("n_sources"))
+    ids = texts.select(F.col("document_id").alias("bundle_id"))
+    bundles = ids.join(counts) if one_file else ids.join(counts, "bundle_id", "left").na.fill(0, ["n_sources"])
+    return Audit(claims, contexts, told, None, bundles)
 
 
 def audit_bundles(spark: SparkSession, root: str, versions: tuple[str, ...] = ("1.0.0",), config_id: str | None = None) -> Audit:
@@ -73,9 +81,10 @@ def audit_bundles(spark: SparkSession, root: str, versions: tuple[str, ...] = ("
     excerpts = adapt.excerpts(records.sources(found), records.passages(found))
     # a bundle's own limits ride on its claims
     scored = match.scoped_candidates(claims.join(own, "bundle_id"), excerpts, adapt.scope_links(raw), F.col("threshold"), F.col("most"))
-    contexts = scored.select(*CONTEXT, "reference_date")
+    contexts = scored.withColumn("rationale", match.rationale(F.col("reliability"))).select(*CONTEXT, "reference_date")
     assessed = rules.assess_claims(claims, contexts, excerpts, F.col("reference_date"))
     told = assessed.join(claims.select("bundle_id", "claim_id", F.col("scaffold_support_status").alias("s")), ["bundle_id", "claim_id"])
     cautious = rules.false_caution(F.col("s"), F.col("support_label"), F.col("support_signal"))
     told = told.withColumns({"false_caution_flag": cautious, "deviation_flag": rules.material_deviation(F.col("s"), F.col("support_label")), "deviation_notes": rules.deviation_notes(F.col("s"), F.col("support_label"), cautious)})
+    told = told.join(claims.select("bundle_id", "claim_id", "location"), ["bundle_id", "claim_id"])
     return Audit(claims.drop("scaffold_support_status"), contexts.drop("reference_date"), told.drop("s"), faults)

@@ -64,20 +64,3 @@ def nested_json(assessments: DataFrame, contexts: DataFrame) -> DataFrame:
     rows = assessments.join(lists, CLAIM, "left")
     claim = F.struct("claim_id", "claim_text", "claim_type", "support_label", "risk_label", "support_signal", "candidate_evidence", "counterevidence", "flags", "explanation", "rewrite_guidance", "limitations")
     return rows.groupBy("bundle_id").agg(F.to_json(F.struct(F.array_sort(F.collect_list(claim)).alias("claims"))).alias("report"))
-
-
-def markdown_lines(assessments: DataFrame, contexts: DataFrame) -> DataFrame:
-    """(bundle_id, part, place, line): the lines of each bundle's Markdown report, in order of part and place."""
-    cell = F.concat_ws(
-        " | ", F.concat(F.lit("`"), escaped(F.col("claim_id")), F.lit("`")), escaped(F.col("claim_text")), "claim_type", "support_label", F.format_string("%.4f", "support_signal"), "risk_label",
-        escaped(F.col("strongest")), escaped(F.col("main_issue")),
-    )
-    register = claim_register(assessments, contexts).drop("support_label", "risk_label").join(assessments, CLAIM)
-    table = register.select("bundle_id", F.lit(2).alias("part"), F.col("claim_id").alias("place"), F.concat(F.lit("| "), cell, F.lit(" |")).alias("line"))
-    counts = assessments.groupBy("bundle_id").agg(*[F.count_if(F.col("support_label") == n).alias(n) for n in K.SUPPORT_LABELS], F.count("*").alias("total"))
-    summary = F.concat(F.lit("Claims: "), F.col("total").cast("string"), *[F.concat(F.lit(f"; {n}: "), F.col(n).cast("string")) for n in K.SUPPORT_LABELS])
-    head = counts.select("bundle_id", F.lit(0).alias("part"), F.lit("").alias("place"), summary.alias("line"))
-    title = counts.select("bundle_id", F.lit(1).alias("part"), F.lit("").alias("place"), F.lit("| Claim | Text | Type | Label | Signal | Risk | Strongest evidence | Main issue |").alias("line"))
-    guide = assessments.select("bundle_id", F.lit(3).alias("part"), F.col("claim_id").alias("place"), F.explode("rewrite_guidance").alias("g"))
-    guide = guide.select("bundle_id", "part", "place", F.concat(F.lit("- `"), inline(F.col("place")), F.lit("` "), "g").alias("line"))
-    return head.unionByName(title).unionByName(table).unionByName(guide)

@@ -4,6 +4,7 @@ import hashlib
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from provenlake.plans import lexical
 from provenlake.sources import bundles, drafts, evidence, files, reports
@@ -108,7 +109,9 @@ def test_report_files(spark, tmp_path):
     n = assessed.groupBy("bundle_id").count().collect()
     assert n
     for bundle, claims in n:
-        (file,) = (tmp_path / "md" / f"bundle_id={bundle}").glob("*.txt")
-        assert file.read_text().startswith(f"Claims: {claims};")
-        (file,) = (tmp_path / "json" / f"bundle_id={bundle}").glob("*.txt")
-        assert len(json.loads(file.read_text())["claims"]) == claims
+        text = (tmp_path / "md" / f"{bundle}.md").read_text()
+        assert f"- Total claims: {claims}\n" in text and text.count("\n### `claim-") >= claims
+        assert len(json.loads((tmp_path / "json" / f"{bundle}.json").read_text())["claims"]) == claims
+    reports.write_markdown(assessed, contexts, str(tmp_path / "md"))
+    with pytest.raises(Exception, match="refusing to overwrite"):
+        reports.write_markdown(assessed.withColumn("risk_label", F.lit("low")), contexts, str(tmp_path / "md"))
