@@ -16,12 +16,16 @@ LINE_END = r"\R|[\x1c-\x1e]"
 
 def claim_type(text: Column) -> Column:
     """The first class, in order of priority, of which a pattern fits the normalised text."""
-    norm = T.normalized(text)
-    out = None
-    for name, patterns in K.CLAIM_TYPES.items():
-        fits = T.any_pattern(norm, patterns)
-        out = F.when(fits, name) if out is None else out.when(fits, name)
-    return out.otherwise("unclassified")
+
+    def first(norm: Column) -> Column:
+        out = None
+        for name, patterns in K.CLAIM_TYPES.items():
+            fits = T.any_pattern(norm, patterns)
+            out = F.when(fits, name) if out is None else out.when(fits, name)
+        return out.otherwise("unclassified")
+
+    # as the one member of an array the normalised text is worked out once, not in each branch
+    return F.get(F.transform(F.array(T.normalized(text)), first), F.lit(0))
 
 
 def sentences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -35,7 +39,7 @@ def sentences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 
 
 def _joined_lines(paragraph: Column) -> Column:
-    lines = F.transform(F.split(paragraph, LINE_END), lambda x: F.regexp_replace(x, r"^\s+|\s+$", ""))
+    lines = F.transform(F.split(paragraph, LINE_END), lambda x: F.btrim(x, F.lit(" \t\n\x0b\x0c\r")))
     return F.array_join(F.filter(lines, lambda x: (x != "") & ~x.rlike(r"^#{1,6}\s")), " ")
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .. import constants as K
 from ..functions import text as T
 from ..operators import extract, match, pairs, report, rules
-from ..tables import settled
+from ..tables import scanned, settled
 from . import samples
 from .duck import (
     DOC_TEXT, any_of, array, bigrams, count_shared, dates, flag_case, norm, numbers, overlap, q, sentences_sql, sorted_numbers, term_list, term_set, tok, words,
@@ -19,7 +19,7 @@ def _ascii() -> Column:
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    return scanned(spark, f"{sf_dir}/documents.parquet").select("doc_id", "text")
 
 
 def _claims(spark: SparkSession, sf_dir: str) -> DataFrame:

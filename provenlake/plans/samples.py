@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..tables import scanned
+
 _N, _Y, _M = "CAST(o_orderkey % 4 + 2 AS STRING)", "CAST(2019 + o_orderkey % 5 AS STRING)", "CAST(o_orderkey % 9 + 1 AS STRING)"
 
 CLAIMS = f"""
@@ -106,7 +108,7 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 
 def run_sql(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     """A sample's rows.  The tables are views of this call only."""
-    used = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES if f" {t}" in sql}
+    used = {t: scanned(spark, f"{sf_dir}/{t}.parquet") for t in TABLES if f" {t}" in sql}
     text = sql
     for name in used:
         text = text.replace(f"FROM {name}", f"FROM {{{name}}}").replace(f"JOIN {name}", f"JOIN {{{name}}}")

@@ -3,21 +3,39 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def scanned(spark: SparkSession, path: str) -> DataFrame:
+    """A Parquet table; one of fewer file parts than the session has cores is dealt out over them, a
+    larger one stays as it lies."""
+    table = spark.read.parquet(path)
+    cores = spark.sparkContext.defaultParallelism
+    return table.repartition(cores) if table.rdd.getNumPartitions() < cores else table
+
+
+def _shared_folder(spark: SparkSession) -> str:
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not named:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        named = tempfile.mkdtemp(prefix="provenlake-")
+        spark.conf.set("spark.checkpoint.dir", named)
+    return named.rstrip("/")
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """The rows of df, written once to the folder of spark.checkpoint.dir and read back: what follows
-    reads them as often as it likes, and a lost executor replays nothing before them.  Spark removes the
-    files when nothing refers to them any more (spark.cleaner.referenceTracking.cleanCheckpoints).
+    """The rows of df, written once as Parquet to the folder of spark.checkpoint.dir and read back: what
+    follows reads the columns it needs as often as it likes, and a lost executor replays nothing before
+    them.  The files go when the session's JVM ends.
 
     Only a local session that names no folder gets a temporary one; on a cluster that raises ValueError.
     """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not named and not context.master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="provenlake-"))
-    return df.checkpoint()
+    spark = df.sparkSession
+    path = f"{_shared_folder(spark)}/settled-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(there)
+    return spark.read.schema(df.schema).parquet(path)
