@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from . import audit
 from .operators import adapt, rules
-from .sources import gold, reports, settings, traces, writeback
+from .sources import deviations, gold, reports, settings, traces, writeback
 from .sources.files import SourceError
 from .sources.named_files import overlaps, write_named
 
@@ -30,6 +30,7 @@ def parser() -> argparse.ArgumentParser:
     two.add_argument("--out", required=True, help="folder of the audited copies, made afresh")
     two.add_argument("--reports", help="folder of the Markdown reports")
     two.add_argument("--faults", help="folder of a table of the faults of bundles that were left out")
+    two.add_argument("--deviations", help="folder of the deviation records of bundles that were left out")
     two.add_argument("--audit-run-id", required=True)
     two.add_argument("--audited-at", required=True, help="UTC time that is written into the claims")
     three = commands.add_parser("calibrate", help="verdicts of traces against human labels")
@@ -54,7 +55,7 @@ def run_audit(spark: SparkSession, args: argparse.Namespace) -> list[str]:
 
 
 def run_bundles(spark: SparkSession, args: argparse.Namespace) -> list[str]:
-    if any(path and overlaps(path, args.bundles) for path in (args.out, args.reports, args.faults)):
+    if any(path and overlaps(path, args.bundles) for path in (args.out, args.reports, args.faults, args.deviations)):
         raise ValueError("the output must not be the source or inside it")
     done = audit.audit_bundles(spark, args.bundles)
     writeback.write_audited(spark, args.bundles, args.out, writeback.lexical_results(done.assessments), args.audit_run_id, args.audited_at)
@@ -65,6 +66,8 @@ def run_bundles(spark: SparkSession, args: argparse.Namespace) -> list[str]:
     left = done.faults.select("bundle_id").distinct().count()
     if args.faults:
         reports.write_rows(done.faults, args.faults)
+    if args.deviations:
+        deviations.write_deviations(deviations.deviation_records(done.faults, args.audited_at), args.deviations)
     return [*said, f"Bundles left out for their faults: {left}", *_summary(done.assessments)]
 
 

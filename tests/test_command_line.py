@@ -1,6 +1,7 @@
 """The command line, labels and settings."""
 
 import dataclasses
+import hashlib
 import json
 
 import pytest
@@ -8,7 +9,7 @@ import yaml
 from pyspark.sql import functions as F
 
 from provenlake.__main__ import main
-from provenlake.sources import gold, settings, traces
+from provenlake.sources import deviations, gold, settings, traces
 from provenlake.sources.files import SourceError
 
 from .test_whole_audits import CLAIM, DRAFT, EVIDENCE, bundle
@@ -46,7 +47,13 @@ def test_bundle_command(spark, tmp_path, capsys):
     bundle(tmp_path / "in" / "bad", version="2.0.0")
     run = ["audit-bundle", str(tmp_path / "in"), "--audit-run-id", "r1", "--audited-at", "2026-05-11T00:00:00Z"]
     assert main([*run, "--out", str(tmp_path / "in" / "x")], spark) == 1 and "inside" in capsys.readouterr().err
-    assert main([*run, "--out", str(tmp_path / "out"), "--reports", str(tmp_path / "md"), "--faults", str(tmp_path / "faults")], spark) == 0
+    assert main([*run, "--out", str(tmp_path / "out"), "--reports", str(tmp_path / "md"), "--faults", str(tmp_path / "faults"), "--deviations", str(tmp_path / "dev")], spark) == 0
+    told = "bad:vocabulary_drift:CONTRACT_VERSION: contract version is not supported"
+    (record,) = held(tmp_path / "dev").items()
+    assert record[0] == "intake-bad.yaml" and yaml.safe_load(record[1]) == {
+        "deviation_id": "dev-" + hashlib.sha256(told.encode()).hexdigest()[:12], "deviation_type": "vocabulary_drift", "artifact_id": "bad", "detected_at_utc": "2026-05-11T00:00:00Z", "detected_by": "provenlake",
+        "description": "CONTRACT_VERSION: contract version is not supported", "impact_assessment": "Cannot proceed; bundle intake halted.", "resolution": "pending", "capa_notes": "",
+    }
     assert "left out for their faults: 1" in capsys.readouterr().out
     assert yaml.safe_load((tmp_path / "out" / "one" / "claims" / "0.yaml").read_text())["audit"]["audit_run_id"] == "r1"
     assert set(held(tmp_path / "md")) == {"one.md"} and b"contract version" in b"".join(held(tmp_path / "faults").values())
@@ -108,6 +115,14 @@ def test_gold_labels(spark, tmp_path):
     assert traces.verdict_rows(spark.createDataFrame([], traces.TRACE)).filter(F.lit(True)).count() == 0
 
 
+def test_deviations_take_the_first_fault(spark):
+    faults = [("a", "x", "tree hash differs"), ("a", "z", "lacks task_id"), ("a", "y", "lacks task_id"), ("b", "l", "digest differs"), ("b", "c", "duplicate claim id"), ("c", "c", "scoring.x: expected 1, got 2"), (None, "q", "no list")]
+    found = deviations.deviation_records(spark.createDataFrame(faults, "bundle_id string, file string, fault string"), "t").collect()
+    assert {(r.artifact_id, r.deviation_type, r.description) for r in found} == {
+        ("a", "schema_validation_failure", "y: lacks task_id"), ("b", "intake_hash_mismatch", "l: digest differs"), ("c", "vocabulary_drift", "c: scoring.x: expected 1, got 2"), (None, "intake_hash_mismatch", "q: no list"),
+    }
+
+
 def test_settings(tmp_path):
     found = settings.load_settings()
     assert (found.top_k, found.retrieval_floor, found.supported_threshold) == (5, 0.4, 0.7) and settings.settings_hash(found).startswith("sha256:")
