@@ -31,9 +31,9 @@ NONE = np.int64(1) << 62
 #: Leaves of the trees that are worked at once; from this size on a piece is worked by itself.
 LEAVES, LONG = 1 << 15, 1 << 11
 #: Pieces, and bytes of one, that a task remembers.
-KNOWN_PIECES, KNOWN_BYTES = 1 << 18, 64
+KNOWN_PIECES, KNOWN_BYTES = 1 << 17, 64
 #: Bytes of text that are encoded together.
-TEXT_BYTES = 1 << 21
+TEXT_BYTES = 1 << 20
 #: Bytes of a rank file that may be broadcast.
 MOST_BYTES = 64 << 20
 
