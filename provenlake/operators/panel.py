@@ -197,3 +197,37 @@ def pairwise_agreement(atoms: DataFrame, decompositions: DataFrame, votes: DataF
     pairs = mine.withColumnRenamed("coder", "coder_a").join(other, "atom_id").filter("coder_a < coder_b")
     counted = pairs.groupBy("coder_a", "coder_b").agg(F.count("*").alias("comparable"), F.count_if(F.col("label") == F.col("label_b")).alias("exact"))
     return counted.withColumn("rate", F.bround(F.col("exact") / F.col("comparable"), 4))
+
+
+#: The form of receipts that is read, and how a whole answer ends.
+RECEIPT_FORM, WHOLE = "receipt-1", "end_turn"
+
+
+def receipt_fault(asked: Column, model: Column) -> Column:
+    """What is wrong with a receipt of the columns form, r_hash, stop_reason, r_model, texts and called_at,
+    the first that fits; asked is the hash of the prepared request and model the one it names."""
+    return (
+        F.when(~F.col("form").eqNullSafe(F.lit(RECEIPT_FORM)), F.lit("unsupported form"))
+        .when(~F.col("r_hash").eqNullSafe(asked), F.lit("request hash differs"))
+        .when(~F.col("stop_reason").eqNullSafe(F.lit(WHOLE)), F.lit("answer did not end"))
+        .when(~F.col("r_model").eqNullSafe(model), F.lit("model differs"))
+        .when(~F.col("texts").eqNullSafe(F.lit(1)), F.lit("not one text"))
+        .when(F.col("called_at").isNull(), F.lit("no time of the call"))
+    )
+
+
+def settled_receipts(requests: DataFrame, receipts: DataFrame) -> DataFrame:
+    """(request_id, attempts, attempt, output, fault): a row a request(request_id, request_hash, model).
+
+    Of its receipts(request_id, attempt, called_at, form, r_hash, stop_reason, r_model, texts, output)
+    the latest sound one counts, by time of the call, then by attempt and output.  A request without a sound one
+    stays, as an unavailable vote: no output, and the fault of its latest attempt, or 'no receipt'.
+    Receipts of unknown requests count for nothing.  The fold is an aggregate, part by part.
+    """
+    met = requests.join(receipts, "request_id", "left")
+    there = F.col("attempt").isNotNull()
+    met = met.withColumn("fault", F.when(there, receipt_fault(F.col("request_hash"), F.col("model"))).otherwise(F.lit("no receipt")))
+    sound = F.when(F.col("fault").isNull(), F.struct("called_at", "attempt", "output"))
+    faulty = F.when(F.col("fault").isNotNull(), F.struct("called_at", "attempt", "fault"))
+    folded = met.groupBy("request_id").agg(F.count_if(there).alias("attempts"), F.max(sound).alias("best"), F.max(faulty).alias("last"))
+    return folded.select("request_id", "attempts", "best.attempt", "best.output", F.when(F.col("best").isNull(), F.col("last.fault")).alias("fault"))

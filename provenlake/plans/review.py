@@ -174,6 +174,29 @@ def majority_triage(spark, sf_dir):
     return panel.majority_triage(*_rows(spark, sf_dir, ATOMS, VOTES, SELECTIONS)).withColumn("backed", F.array_join("backed", ","))
 
 
+#: A request an order, and its lines as receipts of several attempts, sound and faulty.
+REQUESTS = "SELECT o_orderkey AS request_id, CONCAT('h-', CAST(o_orderkey AS STRING)) AS request_hash, CONCAT('m', CAST(o_custkey % 3 AS STRING)) AS model, CONCAT('a-', CAST(o_orderkey % 500 AS STRING)) AS atom_id FROM orders"
+RECEIPTS = """
+SELECT l_orderkey AS request_id, l_linenumber AS attempt, CASE WHEN (l_orderkey + l_linenumber) % 17 > 0 THEN l_partkey % 40 END AS called_at, CASE WHEN l_orderkey % 41 = 3 THEN 'receipt-0' ELSE 'receipt-1' END AS form,
+  CASE WHEN l_suppkey % 5 = 1 THEN 'h-0' ELSE CONCAT('h-', CAST(l_orderkey AS STRING)) END AS r_hash, CASE WHEN l_partkey % 3 = 0 THEN 'max_tokens' ELSE 'end_turn' END AS stop_reason,
+  CONCAT('m', CAST(CASE WHEN l_partkey % 7 = 0 THEN 9 ELSE o_custkey % 3 END AS STRING)) AS r_model, CASE WHEN l_quantity > 45 THEN 2 ELSE 1 END AS texts,
+  CASE WHEN l_orderkey % 4 = 0 THEN 'refutes' ELSE 'supports' END AS output
+FROM lineitem JOIN orders ON l_orderkey = o_orderkey
+"""
+
+
+def settled_receipts(spark, sf_dir):
+    return panel.settled_receipts(*_rows(spark, sf_dir, REQUESTS, RECEIPTS))
+
+
+def receipt_triage(spark, sf_dir):
+    """Majorities of the votes that receipts hold; unavailable ones are no votes."""
+    requests, receipts = _rows(spark, sf_dir, REQUESTS, RECEIPTS)
+    votes = panel.settled_receipts(requests, receipts).join(requests, "request_id").filter("output is not null").select("atom_id", F.col("request_id").alias("coder"), F.col("output").alias("label"))
+    none = votes.select("atom_id", "coder", F.lit("").alias("candidate_id")).limit(0)
+    return panel.majority_triage(requests.select("atom_id").distinct(), votes, none).drop("backed")
+
+
 def pairwise_agreement(spark, sf_dir):
     return panel.pairwise_agreement(*_rows(spark, sf_dir, ATOMS, DECOMPOSITIONS, VOTES))
 
@@ -254,7 +277,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         claim_sample, candidate_shuffle, candidate_union, candidate_drift, export_faults, parent_results, atom_dispositions, silver_parents, audit_sample, human_queue, panel_counts,
-        majority_triage, pairwise_agreement, diff_rows, diff_summary, floor_sweep, sentence_windows, fallback_targets, variant_summary, absence_route, joined_gold,
+        majority_triage, settled_receipts, receipt_triage, pairwise_agreement, diff_rows, diff_summary, floor_sweep, sentence_windows, fallback_targets, variant_summary, absence_route, joined_gold,
         bundle_excerpts, passage_faults, claim_locations, request_passages, scope_links,
     )
 }
@@ -264,6 +287,16 @@ def _mapping(col: str, names: dict[str, str]) -> str:
     return f"CASE {col} " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in names.items()) + " ELSE 'unknown' END"
 
 
+_SETTLED = f"""
+requests AS ({REQUESTS}),
+receipts AS ({RECEIPTS}),
+told AS (SELECT q.request_id, r.attempt, r.called_at, r.output, r.attempt IS NOT NULL AS there,
+    CASE WHEN r.attempt IS NULL THEN 'no receipt' WHEN form <> 'receipt-1' THEN 'unsupported form' WHEN r_hash <> request_hash THEN 'request hash differs' WHEN stop_reason <> 'end_turn' THEN 'answer did not end'
+      WHEN r_model <> model THEN 'model differs' WHEN texts <> 1 THEN 'not one text' WHEN called_at IS NULL THEN 'no time of the call' END AS f
+  FROM requests q LEFT JOIN receipts r USING (request_id)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY f IS NULL DESC, called_at DESC NULLS LAST, attempt DESC NULLS LAST, f DESC) AS k, count(*) FILTER (there) OVER (PARTITION BY request_id) AS attempts FROM told),
+settled AS (SELECT request_id, attempts, CASE WHEN f IS NULL THEN attempt END AS attempt, CASE WHEN f IS NULL THEN output END AS output, f AS fault FROM ranked WHERE k = 1)"""
+
 _FOUND = f"""
 votes AS ({VOTES}), selections AS ({SELECTIONS}), atoms AS ({ATOMS}),
 chosen AS (SELECT atom_id, candidate_id, count(DISTINCT coder) AS n FROM selections GROUP BY ALL),
@@ -357,6 +390,14 @@ backs AS (SELECT atom_id, candidate_id FROM tiers JOIN votes USING (atom_id, lab
 SELECT atom_id, coalesce(tier, 'unresolved') AS tier, CASE WHEN tier <> 'unresolved' THEN label END AS label, coalesce(total, 0) AS votes,
   coalesce((SELECT string_agg(candidate_id, ',' ORDER BY candidate_id) FROM backs WHERE backs.atom_id = atoms.atom_id), '') AS backed
 FROM atoms LEFT JOIN tiers USING (atom_id)""",
+    "settled_receipts": f"WITH {_SETTLED} SELECT request_id, attempts, attempt, output, fault FROM settled",
+    "receipt_triage": f"""
+WITH {_SETTLED}, votes AS (SELECT atom_id, output AS label FROM settled JOIN requests USING (request_id) WHERE output IS NOT NULL),
+n AS (SELECT atom_id, label, count(*) AS n FROM votes GROUP BY ALL),
+tops AS (SELECT atom_id, sum(n)::BIGINT AS total, max(n) AS top, arg_max(label, n) AS label, count(*) FILTER (n = m) AS ties FROM (SELECT *, max(n) OVER (PARTITION BY atom_id) AS m FROM n) GROUP BY atom_id),
+tiers AS (SELECT *, CASE WHEN ties = 1 AND total >= 3 AND top >= 3 THEN CASE WHEN 4 * top >= 3 * total THEN 'strong_majority_suggestion' ELSE 'unresolved' END
+  WHEN ties = 1 AND total >= 2 AND top = total THEN 'weak_available_unanimity' ELSE 'unresolved' END AS tier FROM tops)
+SELECT atom_id, coalesce(tier, 'unresolved') AS tier, CASE WHEN tier <> 'unresolved' THEN label END AS label, coalesce(total, 0) AS votes FROM (SELECT DISTINCT atom_id FROM requests) LEFT JOIN tiers USING (atom_id)""",
     "pairwise_agreement": f"""
 WITH m AS (SELECT atom_id, coder, label FROM ({VOTES}) JOIN ({ATOMS}) USING (atom_id) JOIN ({DECOMPOSITIONS}) USING (parent_id, coder) WHERE status = 'approved')
 SELECT a.coder AS coder_a, b.coder AS coder_b, count(*) AS comparable, count(*) FILTER (a.label = b.label) AS exact, round_even(count(*) FILTER (a.label = b.label) / count(*), 4) AS rate
