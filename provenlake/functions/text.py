@@ -120,8 +120,3 @@ def rounded(value: Column, digits: int = 4) -> Column:
 
 def clamped(value: Column) -> Column:
     return F.least(F.greatest(value, F.lit(0.0)), F.lit(1.0))
-
-
-def iso_date(text: Column) -> Column:
-    """The date of the first ten characters; null where there is none."""
-    return F.try_to_date(F.left(text, F.lit(10)), "yyyy-MM-dd") if hasattr(F, "try_to_date") else F.to_date(F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}"), F.left(text, F.lit(10))))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 
+#: The notes.
 NOTES = {
     "weak": "Linked candidate evidence includes low or unknown source reliability metadata.",
     "low": "Direct support is flagged for weak source reliability.",

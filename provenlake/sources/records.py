@@ -97,7 +97,7 @@ def record_faults(files: DataFrame, versions: tuple[str, ...] = ("1.0.0",), conf
     Beside seal_faults: a header that is missing, a contract version that is not among versions, a
     record that is no YAML mapping or lacks a field, a configuration that departs from the policy
     (rules.policy_faults) or from its own or the manifest's hash, a tree hash or counts other than the
-    manifest's, a folder of another name than its source, ids that stand twice, ends before beginnings,
+    manifest's, a folder of another name than its source, a passage without a source, ids that stand twice, ends before beginnings,
     and claims that refer to a passage the bundle does not hold.
     """
     found = records(files)
@@ -128,10 +128,12 @@ def record_faults(files: DataFrame, versions: tuple[str, ...] = ("1.0.0",), conf
     policy = found.filter("kind = 'config'").select("bundle_id", "file", F.explode(rules.policy_faults(F.col("doc"), config_id)).alias("fault"))
     folder = F.concat(F.lit("evidence/"), F.col("source_id"))
     named = s.filter("recorded_id <> source_id").select("bundle_id", folder.alias("file"), F.lit("folder and source differ").alias("fault"))
+    # what the joins to sources would drop in silence
+    orphans = p.join(s.select("bundle_id", "source_id"), ["bundle_id", "source_id"], "left_anti").select("bundle_id", F.concat(folder, F.lit("/"), "passage_id").alias("file"), F.lit("no such source").alias("fault"))
     twice = c.groupBy("bundle_id", "claim_id").count().filter("count > 1").select("bundle_id", F.concat(F.lit("claims/"), "claim_id").alias("file"), F.lit("duplicate claim id").alias("fault"))
     turned = adapt.bad_offsets(p).select("bundle_id", F.concat(folder, F.lit("/"), "passage_id").alias("file"), "fault")
     held = p.join(s.select("bundle_id", "source_id"), ["bundle_id", "source_id"], "left_semi").select("bundle_id", adapt.excerpt_id(F.col("source_id"), F.col("passage_id")).alias("excerpt_id"))
     dangling = adapt.dangling_links(adapt.scope_links(c), held).select("bundle_id", F.concat(F.lit("claims/"), "claim_id").alias("file"), F.concat(F.lit("no such passage: "), "excerpt_id").alias("fault"))
     # the seal does not cover its own list
     sealed = seal_faults(files).filter((F.col("file") != SUMS) | (F.col("fault") == "no list"))
-    return reduce(DataFrame.unionByName, [missing, other, unread, whole, policy, named, twice, turned, dangling], sealed)
+    return reduce(DataFrame.unionByName, [missing, other, unread, whole, policy, named, orphans, twice, turned, dangling], sealed)

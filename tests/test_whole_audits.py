@@ -133,9 +133,12 @@ def test_bundle_faults(spark, tmp_path):
     (tmp_path / "altered" / "claims" / "0.yaml").write_text(yaml.safe_dump(CLAIM | {"task_id": "t2"}, **DUMP))
     bundle(tmp_path / "headless")
     (tmp_path / "headless" / "audit_config.yaml").unlink()
+    bundle(tmp_path / "orphan")
+    (tmp_path / "orphan" / "evidence" / "s1" / "source_profile.yaml").unlink()
     found = {}
     for r in records.record_faults(bundle_files(spark, str(tmp_path))).collect():
         found.setdefault(r.bundle_id, set()).add(r.fault)
+    assert found.pop("orphan") >= {"missing file", "tree hash differs", "no such source"}
     assert found.pop("headless") >= {"missing file", "tree hash differs"}
     assert found == {
         "version": {"contract version is not supported"},
