@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import dataclasses
 import sys
 
 from pyspark.errors import PySparkException
@@ -14,6 +15,7 @@ from .operators import adapt, rules
 from .sources import deviations, gold, reports, settings, traces, writeback
 from .sources.files import SourceError
 from .sources.named_files import overlaps, write_named
+from .tables import settled
 
 
 def parser() -> argparse.ArgumentParser:
@@ -43,8 +45,13 @@ def parser() -> argparse.ArgumentParser:
     return top
 
 
+def _once(done: audit.Audit) -> audit.Audit:
+    """The audit with its tables worked out once: several files are made of them."""
+    return dataclasses.replace(done, assessments=settled(done.assessments), contexts=settled(done.contexts))
+
+
 def run_audit(spark: SparkSession, args: argparse.Namespace) -> list[str]:
-    done = audit.audit_drafts(spark, args.drafts, args.evidence, args.one_file)
+    done = _once(audit.audit_drafts(spark, args.drafts, args.evidence, args.one_file))
     reports.write_markdown(done.assessments, done.contexts, args.out, done.bundles)
     said = [f"Wrote Markdown reports: {args.out}"]
     if args.json_out:
@@ -57,7 +64,7 @@ def run_audit(spark: SparkSession, args: argparse.Namespace) -> list[str]:
 def run_bundles(spark: SparkSession, args: argparse.Namespace) -> list[str]:
     if any(path and overlaps(path, args.bundles) for path in (args.out, args.reports, args.faults, args.deviations)):
         raise ValueError("the output must not be the source or inside it")
-    done = audit.audit_bundles(spark, args.bundles)
+    done = _once(audit.audit_bundles(spark, args.bundles))
     writeback.write_audited(spark, args.bundles, args.out, writeback.lexical_results(done.assessments), args.audit_run_id, args.audited_at)
     said = [f"Wrote audited bundles: {args.out}"]
     if args.reports:
