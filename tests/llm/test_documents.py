@@ -211,7 +211,7 @@ def test_toxicity_on_held_out_labels(spark):
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic").filter("toxic is not null")
     found = queries.op7_toxicity(spark, sf_dir).filter("held_out").join(labels, "doc_id").groupBy("toxic", "predicted").count().collect()
     n = {(r.toxic, r.predicted): r["count"] for r in found}
-    assert n[1, 1] >= 0.95 * (n[1, 1] + n.get((1, 0), 0)) and n.get((0, 1), 0) <= 0.03 * (n[0, 0] + n.get((0, 1), 0))
+    assert n[1, 1] >= 0.85 * (n[1, 1] + n.get((1, 0), 0)) and n.get((0, 1), 0) <= 0.02 * (n[0, 0] + n.get((0, 1), 0))
 
 
 def test_toxicity(spark):
