@@ -14,6 +14,7 @@ from .sources.bundles import bundle_files
 from .sources.drafts import read_drafts
 from .sources.evidence import scan_evidence
 from .sources.files import checked
+from .tables import settled
 
 CONTEXT = ["bundle_id", "claim_id", "claim_text", "claim_type", "role", "rank", "source_id", "excerpt_id", "score", "excerpt_text", "notes", "reliability", "source_date", "url", "rationale"]
 
@@ -54,7 +55,7 @@ def audit_drafts(
     else:
         scored, sources = match.score_candidates(claims, excerpts, threshold), rows
     best = match.best_candidates(scored, threshold, k).withColumn("role", F.lit("support"))
-    contexts = best.withColumn("rationale", match.rationale(F.col("reliability"))).select(*CONTEXT)
+    contexts = settled(best.withColumn("rationale", match.rationale(F.col("reliability"))).select(*CONTEXT))
     told = rules.assess_claims(claims, contexts, sources, reference_date).join(claims.select("bundle_id", "claim_id", "location"), ["bundle_id", "claim_id"])
     counts = rows.select("source_id").distinct().agg(F.count("*").alias("n_sources")) if one_file else rows.groupBy("bundle_id").agg(F.count_distinct("source_id").alias("n_sources"))
     ids = texts.select(F.col("document_id").alias("bundle_id"))
@@ -81,7 +82,7 @@ def audit_bundles(spark: SparkSession, root: str, versions: tuple[str, ...] = ("
     excerpts = adapt.excerpts(records.sources(found), records.passages(found))
     # a bundle's own limits ride on its claims
     scored = match.scoped_candidates(claims.join(own, "bundle_id"), excerpts, adapt.scope_links(raw), F.col("threshold"), F.col("most"))
-    contexts = scored.withColumn("rationale", match.rationale(F.col("reliability"))).select(*CONTEXT, "reference_date")
+    contexts = settled(scored.withColumn("rationale", match.rationale(F.col("reliability"))).select(*CONTEXT, "reference_date"))
     assessed = rules.assess_claims(claims, contexts, excerpts, F.col("reference_date"))
     told = assessed.join(claims.select("bundle_id", "claim_id", F.col("scaffold_support_status").alias("s")), ["bundle_id", "claim_id"])
     cautious = rules.false_caution(F.col("s"), F.col("support_label"), F.col("support_signal"))

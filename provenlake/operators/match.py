@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions import text as T
-from ..tables import settled
+from ..tables import once_a_text, settled, with_texts
 from .pairs import by_rarity, grid_join
 
 #: What a text's terms say by themselves, by the word list that they meet.
@@ -43,7 +45,9 @@ def limitation_score() -> Column:
 def counted(pairs: DataFrame) -> DataFrame:
     """Pairs with n_terms, n_numbers and n_phrases, how many of each both sides share: counted once,
     as columns, since the score names them often."""
-    return pairs.withColumns({f"n_{name}": F.size(shared(name)) for name in ("terms", "numbers", "phrases")})
+    counts = F.struct(*[F.size(shared(name)).alias(f"n_{name}") for name in ("terms", "numbers", "phrases")])
+    # the one member of an array: a filter on the score would take plain columns in and count anew for each use
+    return pairs.select("*", F.explode_outer(F.array(counts)).alias("_n")).select("*", "_n.*").drop("_n")
 
 
 def pair_score() -> Column:
@@ -111,6 +115,57 @@ def least_shared(threshold: float | Column, kind: int) -> Column:
     return F.greatest(F.lit(1), F.ceil(lacking / ALL_TERMS * F.size("c_terms") - 1e-9))
 
 
+#: Columns of 64 bits each in which a text's terms leave a mark.
+MARKS = 3
+
+
+def figures(prefix: str) -> Column:
+    """Numbers and dates of a featured text; a date is tagged, as some are no numbers."""
+    return F.concat(f"{prefix}_numbers", F.transform(f"{prefix}_dates", lambda x: F.concat(F.lit("d:"), x)))
+
+
+def excerpt_kind() -> Column:
+    return F.col("e_limits").cast("int") * 2 + F.col("e_compares").cast("int")
+
+
+def marked_features(df: DataFrame, text_col: str, prefix: str, threshold: float) -> DataFrame:
+    """featured() of the distinct texts of df, with marks: a bit for each term and for each figure; of
+    claims also how many marks an excerpt of each kind must share, of excerpts the kind."""
+
+    none, one = F.lit(0).cast("long"), F.lit(1).cast("long")
+
+    def marks(values: Column, columns: int) -> list[Column]:
+        places = F.transform(values, lambda x: F.pmod(F.xxhash64(x), F.lit(64 * columns)))
+
+        def column(k: int) -> Column:
+            bit = lambda p: F.when(F.floor(p / 64) == k, F.call_function("shiftleft", one, (p % 64).cast("int"))).otherwise(none)
+            return F.aggregate(places, none, lambda bits, p: bits.bitwiseOR(bit(p)))
+
+        return [column(k) for k in range(columns)]
+
+    def told(texts: DataFrame) -> DataFrame:
+        rows = featured(texts, text_col, prefix)
+        rows = rows.withColumns({f"{prefix}_marks_{k}": m for k, m in enumerate(marks(F.col(f"{prefix}_terms"), MARKS))} | {f"{prefix}_figures": marks(figures(prefix), 1)[0]})
+        if prefix == "e":
+            return rows.withColumn("e_kind", excerpt_kind())
+        # terms that fall on one mark are counted as shared where that mark is
+        twice = F.size("c_terms") - functools.reduce(Column.__add__, [F.bit_count(f"c_marks_{k}") for k in range(MARKS)])
+        return rows.withColumns({f"c_needs_{kind}": least_shared(threshold, kind) - twice for kind in KINDS})
+
+    return once_a_text(df, text_col, told)
+
+
+def may_reach() -> Column:
+    """Whether a pair of marked texts can reach the threshold: by a figure in common, or by as many terms
+    as least_shared() asks for."""
+    met = functools.reduce(Column.__add__, [F.bit_count(F.col(f"c_marks_{k}").bitwiseAND(F.col(f"e_marks_{k}"))) for k in range(MARKS)])
+    needs = F.coalesce(*[F.when(F.col("e_kind") == kind, F.col(f"c_needs_{kind}")) for kind in KINDS])
+    return (F.col("c_figures").bitwiseAND(F.col("e_figures")) != 0) | (met >= needs)
+
+
+MARKED = ["e_kind", *[f"c_needs_{kind}" for kind in KINDS], *[f"{side}_{name}" for side in "ce" for name in ("figures", *[f"marks_{k}" for k in range(MARKS)])]]
+
+
 def candidate_pairs(c: DataFrame, e: DataFrame, threshold: float | Column) -> DataFrame:
     """(c_row, e_row): the pairs of featured rows of a bundle that can reach the threshold, and others.
 
@@ -118,31 +173,56 @@ def candidate_pairs(c: DataFrame, e: DataFrame, threshold: float | Column) -> Da
     n terms shares one of the n - m + 1 that the fewest excerpts of the bundle have, so it looks for these
     alone, further into its terms where an excerpt's kind of wording adds to the score.
     """
-    kind = F.col("e_limits").cast("int") * 2 + F.col("e_compares").cast("int")
-    # a number and a term never look alike; a date is tagged, as some are no numbers
-    figures = {side: F.concat(f"{side}_numbers", F.transform(f"{side}_dates", lambda x: F.concat(F.lit("d:"), x))) for side in "ce"}
-    held = e.select("bundle_id", "e_row", kind.alias("kind"), F.explode("e_terms").alias("key"))
-    postings = held.unionByName(e.select("bundle_id", "e_row", F.lit(-1).alias("kind"), F.explode(figures["e"]).alias("key")))
+    # a number and a term never look alike
+    held = e.select("bundle_id", "e_row", excerpt_kind().alias("kind"), F.explode("e_terms").alias("key"))
+    postings = held.unionByName(e.select("bundle_id", "e_row", F.lit(-1).alias("kind"), F.explode(figures("e")).alias("key")))
 
     often = held.groupBy("bundle_id", "key").agg(F.count("*").alias("rows"))
     wanted = c.select("bundle_id", "c_row", F.explode("c_terms").alias("key"), *[(F.size("c_terms") - least_shared(threshold, k) + 1).alias(f"within_{k}") for k in KINDS])
     wanted = by_rarity(wanted, often, ["bundle_id", "key"], "c_row").filter("rows > 0")
     probes = F.filter(F.array(*[F.when(F.col("place") <= F.col(f"within_{k}"), k) for k in KINDS]), lambda k: k.isNotNull())
     probes = wanted.select("bundle_id", "c_row", F.explode(probes).alias("kind"), "key")
-    probes = probes.unionByName(c.select("bundle_id", "c_row", F.lit(-1).alias("kind"), F.explode(figures["c"]).alias("key")))
+    probes = probes.unionByName(c.select("bundle_id", "c_row", F.lit(-1).alias("kind"), F.explode(figures("c")).alias("key")))
     return grid_join(probes, postings, ["bundle_id", "kind", "key"]).select("c_row", "e_row").distinct()
 
 
+#: Most claims or excerpts of a bundle all of whose pairs are looked at.
+BUNDLE_ROWS = 256
+
+
 def score_candidates(claims: DataFrame, excerpts: DataFrame, threshold: float = K.ADMISSION) -> DataFrame:
-    """Every pair of a bundle whose score is the threshold or more, as score_bundle_pairs() has it, by
-    scoring candidate_pairs() only.  At a threshold of 0 or less no pair can be left out, and all are
-    scored.  Rows without a bundle meet none."""
+    """Every pair of a bundle whose score is the threshold or more, as score_bundle_pairs() has it.  At a
+    threshold of 0 or less no pair can be left out, and all are scored.  Rows without a bundle meet none.
+
+    A bundle of BUNDLE_ROWS claims and excerpts at most is one group of a join, whose pairs are scored
+    where may_reach() holds; of larger bundles candidate_pairs() only.  claims and excerpts are read
+    several times.
+    """
     if threshold <= 0:
         return score_bundle_pairs(claims, excerpts).filter(F.col("score") >= threshold)
-    c = settled(featured(claims.filter("bundle_id is not null"), "claim_text", "c").withColumn("c_row", F.monotonically_increasing_id()))
-    e = settled(featured(excerpts.filter("bundle_id is not null"), "excerpt_text", "e").withColumn("e_row", F.monotonically_increasing_id()))
-    met = candidate_pairs(c, e, threshold).join(c, "c_row").join(e.drop("bundle_id"), "e_row").drop("c_row", "e_row")
-    return counted(met).withColumn("score", pair_score()).filter(F.col("score") >= threshold)
+    claims, excerpts = claims.filter("bundle_id is not null"), excerpts.filter("bundle_id is not null")
+    told = {"c": marked_features(claims, "claim_text", "c", threshold), "e": marked_features(excerpts, "excerpt_text", "e", threshold)}
+    sizes = [df.groupBy("bundle_id").agg(F.count("*").alias("n")).filter(F.col("n") > BUNDLE_ROWS).select("bundle_id") for df in (claims, excerpts)]
+    large = settled(sizes[0].union(sizes[1]).distinct())
+    some = not large.isEmpty()
+
+    def worded(how: str) -> tuple[DataFrame, DataFrame]:
+        c, e = (df.join(large, "bundle_id", how) if some else df for df in (claims, excerpts))
+        # dealt out by bundle before the features come, which are wider than the texts
+        return with_texts(c.repartition("bundle_id"), told["c"], "claim_text"), with_texts(e.repartition("bundle_id"), told["e"], "excerpt_text")
+
+    c, e = worded("left_anti")
+    scored = scored_from(c.join(e, "bundle_id").filter(may_reach()), threshold)
+    if some:
+        c, e = worded("left_semi")
+        c, e = settled(c.withColumn("c_row", F.monotonically_increasing_id())), settled(e.withColumn("e_row", F.monotonically_increasing_id()))
+        met = candidate_pairs(c, e, threshold).join(c, "c_row").join(e.drop("bundle_id"), "e_row").drop("c_row", "e_row")
+        scored = scored.unionByName(scored_from(met, threshold))
+    return scored.drop(*MARKED)
+
+
+def scored_from(pairs: DataFrame, threshold: float) -> DataFrame:
+    return counted(pairs).withColumn("score", pair_score()).filter(F.col("score") >= threshold)
 
 
 def score_blocked_pairs(claims: DataFrame, excerpts: DataFrame, threshold: float = K.ADMISSION) -> DataFrame:
@@ -164,7 +244,9 @@ def scoped_candidates(claims: DataFrame, excerpts: DataFrame, links: DataFrame,
     """Candidates among declared links(bundle_id, claim_id, excerpt_id, role) only: support links at
     the threshold or above, counter links whatever their score; the best k of each claim and role.
     Threshold and k may be columns of claims."""
-    pairs = featured(claims, "claim_text", "c").join(links, ["bundle_id", "claim_id"]).join(featured(excerpts, "excerpt_text", "e"), ["bundle_id", "excerpt_id"])
+    pairs = claims.join(links, ["bundle_id", "claim_id"]).join(excerpts, ["bundle_id", "excerpt_id"])
+    for df, text_col, side in ((claims, "claim_text", "c"), (excerpts, "excerpt_text", "e")):
+        pairs = with_texts(pairs, once_a_text(df, text_col, functools.partial(featured, text_col=text_col, prefix=side)), text_col)
     scored = counted(pairs).withColumn("score", pair_score()).filter((F.col("role") == "counter") | (F.col("score") >= threshold))
     order = Window.partitionBy("bundle_id", "claim_id", "role").orderBy(F.desc("score"), "source_id", "excerpt_id")
     return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)

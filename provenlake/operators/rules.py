@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions import text as T
+from ..tables import once_a_text, with_texts
 
 CLAIM = ["bundle_id", "claim_id"]
 
@@ -20,20 +21,58 @@ def evidence_text() -> Column:
     return F.btrim(F.concat(F.coalesce("excerpt_text", F.lit("")), F.lit(" "), F.coalesce("notes", F.lit(""))))
 
 
+#: Wording that direct evidence excuses.
+TRIGGERS = list(dict.fromkeys([*K.OVERCONFIDENT, *K.FUTURE_CERTAINTY]))
+
+
+def claim_facts(claims: DataFrame) -> DataFrame:
+    """What support and flags need of each distinct claim_text."""
+    c, norm = F.col("claim_text"), F.col("c_norm")
+
+    def told(texts: DataFrame) -> DataFrame:
+        rows = texts.withColumns({"c_norm": T.normalized(c), "c_set": T.term_set(c), "c_numbers": T.numbers(c), "c_dates": T.dates(c)})
+        return rows.select(
+            "claim_text", "c_numbers", "c_dates", is_deadline(c).alias("deadline"),
+            F.array_except("c_set", T.word_set(K.TRIGGER_WORDS, stopwords=True)).alias("core"),
+            F.array_join(T.sorted_numbers(F.col("c_numbers")), ",").alias("c_figures"),
+            F.arrays_overlap("c_set", T.word_set(K.LINK_WORDS)).alias("linked"),
+            F.coalesce(*[F.when(norm.contains(t), F.lit(t)) for t in K.CAUSAL_TRIGGERS], F.lit("causal")).alias("causal"),
+            F.coalesce(*[F.when(norm.rlike(p), F.lit(t)) for t, p in K.SCOPE_TRIGGERS.items()], F.lit("scope")).alias("scope"),
+            _wording(norm, K.OVERCONFIDENT).alias("confident_words"),
+            _wording(norm, K.FUTURE_CERTAINTY).alias("certain_words"),
+        )
+
+    return once_a_text(claims, "claim_text", told)
+
+
+def evidence_wording(contexts: DataFrame) -> DataFrame:
+    """What support and flags need of each distinct evidence text of contexts."""
+    e, norm = F.col("evidence"), F.col("norm")
+
+    def told(texts: DataFrame) -> DataFrame:
+        rows = texts.withColumns({"norm": T.normalized(e), "e_set": T.term_set(e)})
+        return rows.select(
+            "evidence", "norm", "e_set", T.numbers(e).alias("e_numbers"), T.dates(e).alias("e_dates"), T.any_pattern(norm, K.ADVERSE_LIMITATIONS).alias("adverse"),
+            T.any_substring(norm, K.STRONG_CAUSAL).alias("strong"),
+            F.arrays_overlap("e_set", T.word_set(K.COMPARISON_WORDS)).alias("compared"),
+            F.array_compact(F.array(*[F.when(F.contains("norm", F.lit(t)), F.lit(t)) for t in TRIGGERS])).alias("triggers"),
+        )
+
+    return once_a_text(contexts, "evidence", told)
+
+
 def with_support(contexts: DataFrame) -> DataFrame:
-    """contexts with numeric_direct, date_direct, text_direct, direct and what flags need of a row."""
-    c, e = F.col("claim_text"), F.col("evidence")
-    core = F.array_except(T.term_set(c), T.word_set(K.TRIGGER_WORDS, stopwords=True))
-    coverage = F.when(F.size("core") > 0, F.size(F.array_intersect("core", T.term_set(e))) / F.size("core")).otherwise(0.0)
+    """contexts with numeric_direct, date_direct, text_direct, direct and what flags need of a row.
+    contexts is read several times: settle it first."""
+    rows = contexts.withColumn("evidence", evidence_text())
+    told = evidence_wording(rows)
+    rows = with_texts(with_texts(rows, claim_facts(contexts), "claim_text"), told, "evidence")
+    coverage = F.when(F.size("core") > 0, F.size(F.array_intersect("core", "e_set")) / F.size("core")).otherwise(0.0)
     there = F.col("excerpt_text").isNotNull()
-    rows = contexts.withColumn("evidence", evidence_text()).withColumns(
-        {"norm": T.normalized(F.col("evidence")), "core": core, "c_numbers": T.numbers(c), "c_dates": T.dates(c), "deadline": is_deadline(c)}
-    )
     rows = rows.withColumns(
         {
-            "adverse": T.any_pattern(F.col("norm"), K.ADVERSE_LIMITATIONS),
-            "numeric_direct": there & (F.col("score") >= K.DIRECT_NUMERIC) & (F.size("c_numbers") > 0) & (F.size(F.array_except("c_numbers", T.numbers(e))) == 0),
-            "date_direct": there & (F.col("score") >= K.DIRECT_DATE) & (F.size("c_dates") > 0) & (F.size(F.array_except("c_dates", T.dates(e))) == 0),
+            "numeric_direct": there & (F.col("score") >= K.DIRECT_NUMERIC) & (F.size("c_numbers") > 0) & (F.size(F.array_except("c_numbers", "e_numbers")) == 0),
+            "date_direct": there & (F.col("score") >= K.DIRECT_DATE) & (F.size("c_dates") > 0) & (F.size(F.array_except("c_dates", "e_dates")) == 0),
         }
     )
     text_direct = there & (F.col("score") >= K.DIRECT_TEXT) & ~F.col("adverse") & (coverage >= K.DIRECT_COVERAGE)
@@ -54,7 +93,6 @@ def evidence_facts(supported: DataFrame, reference_date: str | Column | None = N
     direct, row = F.col("direct"), F.col("role") == "support"
     stale = F.lit(False) if reference_date is None else F.coalesce(F.datediff((F.lit(reference_date) if isinstance(reference_date, str) else reference_date).cast("date"), "source_date") > freshness_days, F.lit(False))
     weak = F.col("reliability").isin("low", "unknown")
-    triggers = dict.fromkeys([*K.OVERCONFIDENT, *K.FUTURE_CERTAINTY])
     return supported.groupBy(*CLAIM).agg(
         F.count_if(row).alias("n_support"),
         F.count_if(~row).alias("n_counter"),
@@ -64,47 +102,46 @@ def evidence_facts(supported: DataFrame, reference_date: str | Column | None = N
         _of("support", F.col("numeric_direct")).alias("any_numeric"),
         _of("support", F.col("date_direct")).alias("any_date"),
         _of("support", F.col("adverse")).alias("any_adverse"),
-        _of("support", direct & T.any_substring(F.col("norm"), K.STRONG_CAUSAL)).alias("strong_causal"),
-        _of("support", F.arrays_overlap(T.term_set(F.col("evidence")), T.word_set(K.COMPARISON_WORDS))).alias("any_comparison"),
+        _of("support", direct & F.col("strong")).alias("strong_causal"),
+        _of("support", F.col("compared")).alias("any_comparison"),
         _of("support", F.coalesce(F.col("url"), F.lit("")) != "").alias("any_url"),
         (F.count_if(direct & weak) == F.count_if(direct)).alias("all_weak"),
         (F.count_if(direct & stale) == F.count_if(direct)).alias("all_stale"),
         F.array_join(F.array_sort(F.collect_list(F.when(direct, F.col("source_id")))), ",").alias("direct_sources"),
         F.array_join(F.array_sort(F.collect_list(F.when(direct & stale, F.concat("source_id", F.lit(":"), F.col("source_date").cast("string"))))), ",").alias("stale_sources"),
         F.array_join(F.array_sort(F.collect_list(F.when(~row, F.concat("source_id", F.lit(":"), "excerpt_id")))), ",").alias("counter_ids"),
-        F.array_distinct(F.flatten(F.collect_list(F.when(direct, F.array_compact(F.array(*[F.when(F.contains("norm", F.lit(t)), F.lit(t)) for t in triggers])))))).alias("excused"),
+        F.array_distinct(F.flatten(F.collect_list(F.when(direct & (F.size("triggers") > 0), F.col("triggers"))))).alias("excused"),
     )
 
 
-def _first_trigger(patterns: dict[str, str]) -> Column:
+def _wording(norm: Column, patterns: dict[str, str]) -> Column:
+    return F.array_compact(F.array(*[F.when(norm.rlike(p), F.lit(t)) for t, p in patterns.items()]))
+
+
+def _first_trigger(wording: str) -> Column:
     """The first trigger of the claim's wording that no direct evidence shares; with counterevidence
     none is excused."""
-    norm = F.col("c_norm")
-    hit = F.array_compact(F.array(*[F.when(norm.rlike(p), F.lit(t)) for t, p in patterns.items()]))
-    return F.get(F.filter(hit, lambda t: (F.col("n_counter") > 0) | ~F.array_contains("excused", t)), F.lit(0))
+    return F.get(F.filter(wording, lambda t: (F.col("n_counter") > 0) | ~F.array_contains("excused", t)), F.lit(0))
 
 
 def flags(needs_source: bool = True, overstated: bool = True) -> Column:
-    """array<struct<code, id, message, risk>> of a claim joined with its facts, by code and id."""
-    kind, norm = F.col("claim_type"), F.col("c_norm")
-    terms = T.term_set(F.col("claim_text"))
-    numbers = T.numbers(F.col("claim_text"))
-    causal = F.coalesce(*[F.when(norm.contains(t), F.lit(t)) for t in K.CAUSAL_TRIGGERS], F.lit("causal"))
-    scope = F.coalesce(*[F.when(norm.rlike(p), F.lit(t)) for t, p in K.SCOPE_TRIGGERS.items()], F.lit("scope"))
+    """array<struct<code, id, message, risk>> of a claim joined with its facts and those of its text, by
+    code and id."""
+    kind = F.col("claim_type")
     none_direct = F.col("n_direct") == 0
     source, strong = F.lit(needs_source), F.lit(overstated)
     fires = {
-        "numeric_mismatch": ((F.size(numbers) > 0) & ~F.col("any_numeric"), F.array_join(T.sorted_numbers(numbers), ",")),
-        "causal_overreach": ((kind == "causal") & ~none_direct & ~F.col("strong_causal"), causal),
+        "numeric_mismatch": ((F.size("c_numbers") > 0) & ~F.col("any_numeric"), F.col("c_figures")),
+        "causal_overreach": ((kind == "causal") & ~none_direct & ~F.col("strong_causal"), F.col("causal")),
         "comparison_missing": (source & (kind == "comparative") & ~F.col("any_comparison"), F.lit("comparative")),
         "credential_missing_source": (source & (kind == "credential") & none_direct, F.lit("credential")),
-        "public_link_missing_source": (source & F.arrays_overlap(terms, T.word_set(K.LINK_WORDS)) & ~F.col("any_url"), F.lit("public_link")),
+        "public_link_missing_source": (source & F.col("linked") & ~F.col("any_url"), F.lit("public_link")),
         "overconfident_wording": (strong & F.col("confident").isNotNull(), F.col("confident")),
         "low_reliability_only": (~none_direct & F.col("all_weak"), F.col("direct_sources")),
         "stale_source": (~none_direct & F.col("all_stale"), F.col("stale_sources")),
-        "date_missing_support": (source & is_deadline(F.col("claim_text")) & ~F.col("any_date"), F.lit("date")),
+        "date_missing_support": (source & F.col("deadline") & ~F.col("any_date"), F.lit("date")),
         "future_certainty": (strong & F.col("certain").isNotNull(), F.col("certain")),
-        "scope_overreach": (strong & (kind == "scope") & (none_direct | F.col("any_adverse")), scope),
+        "scope_overreach": (strong & (kind == "scope") & (none_direct | F.col("any_adverse")), F.col("scope")),
         "counterevidence_present": (F.col("n_counter") > 0, F.col("counter_ids")),
     }
     made = []
@@ -178,15 +215,16 @@ def assess_claims(claims: DataFrame, contexts: DataFrame, sources: DataFrame, re
 
     Claims without contexts are assessed on none.  Unclassified claims and claims of bundles without a
     row in sources(bundle_id) leave before any rule, in this order, without flags and with signal 0.
+    contexts is read several times: settle it first.
     """
     facts = evidence_facts(with_support(contexts), reference_date, freshness_days)
     has = sources.select("bundle_id").distinct().withColumn("has_sources", F.lit(True))
-    joined = claims.join(facts, CLAIM, "left").join(has, "bundle_id", "left").withColumn("has_sources", F.coalesce("has_sources", F.lit(False)))
+    joined = claims.join(has, "bundle_id", "left").withColumn("has_sources", F.coalesce("has_sources", F.lit(False))).join(facts, CLAIM, "left")
     filled = joined.na.fill(0, ["n_support", "n_counter", "n_direct", "best_support", "best_counter"]).na.fill(
         False, ["any_numeric", "any_date", "any_adverse", "strong_causal", "any_comparison", "any_url", "all_weak", "all_stale"]
     )
-    rows = filled.withColumn("c_norm", T.normalized(F.col("claim_text"))).withColumn("excused", F.coalesce("excused", F.array().cast("array<string>")))
-    rows = rows.withColumns({"confident": _first_trigger(K.OVERCONFIDENT), "certain": _first_trigger(K.FUTURE_CERTAINTY)})
+    rows = with_texts(filled, claim_facts(claims), "claim_text").withColumn("excused", F.coalesce("excused", F.array().cast("array<string>")))
+    rows = rows.withColumns({"confident": _first_trigger("confident_words"), "certain": _first_trigger("certain_words")})
     skipped = (F.col("claim_type") == "unclassified") | ~F.col("has_sources")
     found = flags()
     rows = rows.withColumn("flags", F.when(skipped, F.slice(found, 1, 0)).otherwise(found))

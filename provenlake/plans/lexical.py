@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .. import constants as K
 from ..functions import text as T
 from ..operators import extract, match, pairs, report, rules
-from ..tables import scanned, settled
+from ..tables import once_a_text, scanned, settled, with_texts
 from . import samples
 from .duck import (
     DOC_TEXT, any_of, array, bigrams, count_shared, dates, flag_case, norm, numbers, overlap, q, sentences_sql, sorted_numbers, term_list, term_set, tok, words,
@@ -23,7 +23,8 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _claims(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return samples.run_sql(spark, sf_dir, samples.CLAIMS).withColumn("claim_type", extract.claim_type(F.col("claim_text")))
+    claims = samples.run_sql(spark, sf_dir, samples.CLAIMS)
+    return with_texts(claims, once_a_text(claims, "claim_text", lambda texts: texts.withColumn("claim_type", extract.claim_type(F.col("claim_text")))), "claim_text")
 
 
 def _excerpts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,19 +36,30 @@ def _links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Candidates of the native audit (support) and linked counterevidence, as rule contexts."""
-    claims, excerpts = _claims(spark, sf_dir), _excerpts(spark, sf_dir)
+    """Candidates of the native audit (support) and linked counterevidence, as rule contexts, settled."""
+    return _contexts(spark, sf_dir, _claims(spark, sf_dir))
+
+
+def _contexts(spark: SparkSession, sf_dir: str, claims: DataFrame) -> DataFrame:
+    excerpts = _excerpts(spark, sf_dir)
     best = match.best_candidates(match.score_candidates(claims, excerpts)).withColumn("role", F.lit("support"))
     counter = match.scoped_candidates(claims, excerpts, _links(spark, sf_dir).filter("role = 'counter'"))
     cols = ["bundle_id", "claim_id", "claim_text", "claim_type", "role", "rank", "source_id", "excerpt_id", "score", "excerpt_text", "notes", "reliability", "source_date", "url"]
-    return best.select(*cols).unionByName(counter.select(*cols))
+    return settled(best.select(*cols).unionByName(counter.select(*cols)))
 
 
 REFERENCE_DATE = "1999-06-30"
 
 
+def _audited(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Assessments, and the contexts that they rest on."""
+    claims = _claims(spark, sf_dir)
+    found = _contexts(spark, sf_dir, claims)
+    return rules.assess_claims(claims, found, _excerpts(spark, sf_dir), REFERENCE_DATE), found
+
+
 def _assessed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rules.assess_claims(_claims(spark, sf_dir), contexts(spark, sf_dir), _excerpts(spark, sf_dir), REFERENCE_DATE)
+    return _audited(spark, sf_dir)[0]
 
 
 # --- text -------------------------------------------------------------------
@@ -177,11 +189,11 @@ def evidence_links(spark, sf_dir):
 
 
 def claim_register(spark, sf_dir):
-    return report.claim_register(_assessed(spark, sf_dir), contexts(spark, sf_dir))
+    return report.claim_register(*_audited(spark, sf_dir))
 
 
 def quality_notes(spark, sf_dir):
-    return report.quality_notes(_assessed(spark, sf_dir), contexts(spark, sf_dir)).withColumn("notes", F.array_join("notes", " "))
+    return report.quality_notes(*_audited(spark, sf_dir)).withColumn("notes", F.array_join("notes", " "))
 
 
 QUERIES = {

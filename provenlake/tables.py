@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def scanned(spark: SparkSession, path: str) -> DataFrame:
@@ -39,3 +41,17 @@ def settled(df: DataFrame) -> DataFrame:
     there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(there)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def once_a_text(df: DataFrame, text_col: str, found: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(text_col, ...): what found() tells of the distinct texts of df, settled, so that a text that many
+    rows have is read once.  df itself is read, too: settle it first where that is dear."""
+    return settled(found(df.select(text_col).distinct()))
+
+
+def with_texts(df: DataFrame, told: DataFrame, text_col: str) -> DataFrame:
+    """df with what once_a_text() told of its texts; null is a text like others.  Columns of df that are
+    called like told's are replaced.  Few texts go to every task, many are joined by a shuffle."""
+    own = told.withColumnRenamed(text_col, "_text")
+    kept = df.drop(*[c for c in told.columns if c != text_col])
+    return kept.join(own, F.col(text_col).eqNullSafe(F.col("_text")), "left").drop("_text")

@@ -7,6 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from provenlake.operators import extract, match, pairs
+from provenlake.plans import lexical
+from provenlake.tables import once_a_text, with_texts
 
 SENTENCES = "doc_id long, paragraph int, sentence int, text string, claim_type string"
 
@@ -121,3 +123,42 @@ def test_candidates_are_few(spark):
     e = match.featured(excerpts, "excerpt_text", "e").withColumn("e_row", F.col("excerpt_id"))
     every = match.score_bundle_pairs(claims, excerpts).filter("score >= 0.4").count()
     assert every <= match.candidate_pairs(c, e, 0.4).count() < 40_000 * 0.65
+
+
+@pytest.mark.parametrize("rows", [0, 40])
+def test_large_bundles_lose_no_candidate(spark, monkeypatch, rows):
+    """Bundles on either side of the bound give what scoring every pair gives."""
+    monkeypatch.setattr(match, "BUNDLE_ROWS", rows)
+    claims, excerpts = claims_and_excerpts(spark, 7, 90)
+    cols = ["bundle_id", "claim_id", "source_id", "excerpt_id", "score"]
+    want = Counter(tuple(r) for r in match.score_bundle_pairs(claims, excerpts).filter("score >= 0.4").select(*cols).collect())
+    found = match.score_candidates(claims, excerpts)
+    assert Counter(tuple(r) for r in found.select(*cols).collect()) == want and want
+    assert not set(match.MARKED) & set(found.columns)
+
+
+def shuffles(df):
+    return df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].count("Exchange hashpartitioning")
+
+
+def test_pairs_are_not_shuffled(spark):
+    """Claims and excerpts are dealt out by bundle once; their pairs stay where they meet."""
+    claims, excerpts = claims_and_excerpts(spark, 8, 30)
+    best = match.best_candidates(match.score_candidates(claims, excerpts))
+    assert shuffles(best.select("bundle_id", "claim_id", "excerpt_id", "rank")) == 2
+
+
+def test_contexts_are_worked_out_once(spark):
+    """What an audit says of claims is read from settled contexts: no pair is ranked again."""
+    data = "/root/testdata/sf0.001"
+    for query in ("claim_register", "quality_notes"):
+        plan = lexical.QUERIES[query](spark, data)._jdf.queryExecution().optimizedPlan().toString()
+        assert "Window" not in plan
+
+
+def test_facts_of_texts(spark):
+    """Every distinct text is read once, null too; columns of the same name are replaced."""
+    df = spark.createDataFrame([(1, "a", 0), (2, None, 0), (3, "a", 0), (4, "", 0)], "k int, t string, n int")
+    told = once_a_text(df, "t", lambda texts: texts.withColumn("n", F.coalesce(F.length("t"), F.lit(-1))))
+    assert told.count() == 3
+    assert sorted(tuple(r) for r in with_texts(df, told, "t").select("k", "n").collect()) == [(1, 1), (2, -1), (3, 1), (4, 0)]
