@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..tables import settled
+
 
 def draw(*parts: Column) -> Column:
     """Hex SHA-256 of the parts joined by colons: an order that a seed fixes."""
@@ -131,10 +133,10 @@ def dispositions(atoms: DataFrame, votes: DataFrame, selections: DataFrame, code
         .otherwise("silver_candidate")
     )
     rows = rows.withColumn("disposition", kind)
-    settled = ~F.col("disposition").isin("missing_vote_queue", "label_disagreement_queue")
-    listed = settled & (F.col("disposition") != "retrieval_gap_queue")
+    agreed = ~F.col("disposition").isin("missing_vote_queue", "label_disagreement_queue")
+    listed = agreed & (F.col("disposition") != "retrieval_gap_queue")
     return rows.select(
-        "parent_id", "atom_id", "disposition", F.when(settled, F.col("l")).alias("label"), F.when(listed, F.col("both")).otherwise(none).alias("shared"), F.when(listed, F.col("union")).otherwise(none).alias("all_chosen")
+        "parent_id", "atom_id", "disposition", F.when(agreed, F.col("l")).alias("label"), F.when(listed, F.col("both")).otherwise(none).alias("shared"), F.when(listed, F.col("union")).otherwise(none).alias("all_chosen")
     )
 
 
@@ -147,10 +149,26 @@ def silver_parents(found: DataFrame) -> DataFrame:
     return parent_results(clean.select("parent_id", "atom_id"), approved, sure).select("parent_id", "verdict")
 
 
+#: Hex digits of a draw by which an audit sample is counted out.
+DIGITS = 4
+
+
 def audit_sample(silver: DataFrame, parents: int, packet_hash: str) -> DataFrame:
-    """Silver parents that are looked at all the same: a fifth of all parents, two at least."""
-    order = draw(F.lit(packet_hash), F.lit("audit"), F.col("parent_id"))
-    return silver.orderBy(order, "parent_id").limit(max(2, round(parents * 0.2))).select("parent_id")
+    """Silver parents that are looked at all the same: a fifth of all parents, two at least, of the lowest
+    draws.
+
+    Draws are counted by their first digits, 65,536 counts at most: groups below the bound are in whole,
+    and only the one that the bound cuts is ranked.
+    """
+    most = max(2, round(parents * 0.2))
+    drawn = silver.select("parent_id", draw(F.lit(packet_hash), F.lit("audit"), F.col("parent_id")).alias("draw"))
+    drawn = settled(drawn.withColumn("first", F.left("draw", F.lit(DIGITS))))
+    counts = drawn.groupBy("first").agg(F.count("*").alias("n"))
+    upto = F.sum("n").over(Window.orderBy("first"))
+    counts = counts.select("first", (upto - F.col("n")).alias("before"), upto.alias("upto")).filter(F.col("before") < most)
+    met = drawn.join(F.broadcast(counts), "first")
+    cut = met.filter(F.col("upto") > most).withColumn("place", F.row_number().over(Window.partitionBy("first").orderBy("draw", "parent_id")))
+    return met.filter(F.col("upto") <= most).select("parent_id").unionByName(cut.filter(F.col("before") + F.col("place") <= most).select("parent_id"))
 
 
 def human_queue(found: DataFrame, sample: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..operators import adapt, diff, panel
+from ..tables import settled
 from . import samples
 
 CODERS, SEED, PACKET, FLOORS = 3, "seed-7", "packet-1", [0.2, 0.4, 0.6]
@@ -102,7 +103,7 @@ FROM orders
 
 
 def _rows(spark: SparkSession, sf_dir: str, *sqls: str) -> list[DataFrame]:
-    return [samples.run_sql(spark, sf_dir, sql) for sql in sqls]
+    return [samples.run_sql(spark, sf_dir, sql, by_order=True) for sql in sqls]
 
 
 def claim_sample(spark, sf_dir):
@@ -152,7 +153,8 @@ def silver_parents(spark, sf_dir):
 
 
 def _audited(spark, sf_dir):
-    found = _dispositions(spark, sf_dir)
+    # read several times
+    found = settled(_dispositions(spark, sf_dir).select("parent_id", "atom_id", "disposition", "label"))
     silver = panel.silver_parents(found)
     return found, silver, panel.audit_sample(silver, _rows(spark, sf_dir, PARENTS)[0].count(), PACKET)
 
