@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions import text as T
-from ..tables import once_a_text, with_texts
+from ..tables import once_a_text, parts_for, with_texts
 
 CLAIM = ["bundle_id", "claim_id"]
 
@@ -215,9 +215,12 @@ def assess_claims(claims: DataFrame, contexts: DataFrame, sources: DataFrame, re
 
     Claims without contexts are assessed on none.  Unclassified claims and claims of bundles without a
     row in sources(bundle_id) leave before any rule, in this order, without flags and with signal 0.
-    contexts is read several times: settle it first.
+    contexts and claims are read several times: settle contexts first.
     """
-    facts = evidence_facts(with_support(contexts), reference_date, freshness_days)
+    # lists are gathered by sorting a task's rows, whose number must not grow with the table
+    parts = parts_for(claims.sparkSession, max(contexts.count(), claims.count()))
+    facts = evidence_facts(with_support(contexts).repartition(parts, *CLAIM), reference_date, freshness_days)
+    claims = claims.repartition(parts, "bundle_id")
     has = sources.select("bundle_id").distinct().withColumn("has_sources", F.lit(True))
     joined = claims.join(has, "bundle_id", "left").withColumn("has_sources", F.coalesce("has_sources", F.lit(False))).join(facts, CLAIM, "left")
     filled = joined.na.fill(0, ["n_support", "n_counter", "n_direct", "best_support", "best_counter"]).na.fill(

@@ -43,6 +43,17 @@ def settled(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows that one task may have where a job deals rows out by its own count of them: parts put together by
+#: their bytes hold ever more rows, as equal texts shrink well.
+ROWS_A_TASK = 250_000
+
+
+def parts_for(spark: SparkSession, rows: int) -> int:
+    """In how many parts so many rows are dealt out; no fewer than the session's shuffles make, or a join
+    would deal them out anew."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // ROWS_A_TASK))
+
+
 def once_a_text(df: DataFrame, text_col: str, found: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """(text_col, ...): what found() tells of the distinct texts of df, settled, so that a text that many
     rows have is read once.  df itself is read, too: settle it first where that is dear."""
