@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions import text as T
-from ..tables import once_a_text, settled, with_texts
+from ..tables import once_a_text, parts_for, settled, with_texts
 from .pairs import by_rarity, grid_join
 
 #: What a text's terms say by themselves, by the word list that they meet.
@@ -188,39 +188,69 @@ def candidate_pairs(c: DataFrame, e: DataFrame, threshold: float | Column) -> Da
 
 #: Most claims or excerpts of a bundle all of whose pairs are looked at.
 BUNDLE_ROWS = 256
+#: Most pairs of distinct texts that are scored by themselves; their scores go to every task.
+TEXT_PAIRS = 1 << 18
 
 
-def score_candidates(claims: DataFrame, excerpts: DataFrame, threshold: float = K.ADMISSION) -> DataFrame:
-    """Every pair of a bundle whose score is the threshold or more, as score_bundle_pairs() has it.  At a
-    threshold of 0 or less no pair can be left out, and all are scored.  Rows without a bundle meet none.
+def score_candidates(claims: DataFrame, excerpts: DataFrame, threshold: float = K.ADMISSION, features: bool = True) -> DataFrame:
+    """Every pair of a bundle whose score is the threshold or more, as score_bundle_pairs() has it, without
+    the texts' features where none are asked for.  At a threshold of 0 or less no pair can be left out, and
+    all are scored.  Rows without a bundle meet none.
 
-    A bundle of BUNDLE_ROWS claims and excerpts at most is one group of a join, whose pairs are scored
-    where may_reach() holds; of larger bundles candidate_pairs() only.  claims and excerpts are read
-    several times.
+    Where the distinct texts make at most TEXT_PAIRS pairs, and no more than there are rows, each of
+    these is scored once, and a bundle's pairs look their score up.  Otherwise each pair of rows is scored
+    where may_reach() holds.  A bundle of BUNDLE_ROWS claims and excerpts at most is one group of a
+    join; of larger bundles only candidate_pairs() meet.  claims and excerpts are read several times.
     """
     if threshold <= 0:
         return score_bundle_pairs(claims, excerpts).filter(F.col("score") >= threshold)
     claims, excerpts = claims.filter("bundle_id is not null"), excerpts.filter("bundle_id is not null")
     told = {"c": marked_features(claims, "claim_text", "c", threshold), "e": marked_features(excerpts, "excerpt_text", "e", threshold)}
-    sizes = [df.groupBy("bundle_id").agg(F.count("*").alias("n")).filter(F.col("n") > BUNDLE_ROWS).select("bundle_id") for df in (claims, excerpts)]
-    large = settled(sizes[0].union(sizes[1]).distinct())
+    sizes = [settled(df.groupBy("bundle_id").agg(F.count("*").alias("n"))) for df in (claims, excerpts)]
+    large = settled(sizes[0].union(sizes[1]).filter(F.col("n") > BUNDLE_ROWS).select("bundle_id").distinct())
     some = not large.isEmpty()
-
-    def worded(how: str) -> tuple[DataFrame, DataFrame]:
-        c, e = (df.join(large, "bundle_id", how) if some else df for df in (claims, excerpts))
+    rows = max(df.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] for df in sizes)
+    parts = parts_for(claims.sparkSession, rows)
+    by_text = told["c"].count() * told["e"].count() <= min(rows, TEXT_PAIRS)
+    if by_text:
+        told = {side: settled(df.withColumn(f"{side}_text", F.monotonically_increasing_id())) for side, df in told.items()}
+        scores = scored_texts(told["c"], told["e"], threshold)
+
+    def dealt(how: str) -> tuple[DataFrame, DataFrame]:
         # dealt out by bundle before the features come, which are wider than the texts
-        return with_texts(c.repartition("bundle_id"), told["c"], "claim_text"), with_texts(e.repartition("bundle_id"), told["e"], "excerpt_text")
+        return tuple((df.join(large, "bundle_id", how) if some else df).repartition(parts, "bundle_id") for df in (claims, excerpts))
 
-    c, e = worded("left_anti")
-    scored = scored_from(c.join(e, "bundle_id").filter(may_reach()), threshold)
+    def worded(how: str) -> tuple[DataFrame, DataFrame]:
+        c, e = dealt(how)
+        return with_texts(c, told["c"], "claim_text"), with_texts(e, told["e"], "excerpt_text")
+
+    if by_text:
+        c, e = dealt("left_anti")
+        c, e = with_texts(c, told["c"].select("claim_text", "c_text"), "claim_text"), with_texts(e, told["e"].select("excerpt_text", "e_text"), "excerpt_text")
+        scored = c.join(e, "bundle_id").join(F.broadcast(scores), ["c_text", "e_text"])
+        if features:
+            scored = scored.join(told["c"].drop("claim_text"), "c_text").join(told["e"].drop("excerpt_text"), "e_text")
+        scored = scored.drop("c_text", "e_text")
+    else:
+        c, e = worded("left_anti")
+        scored = scored_from(c.join(e, "bundle_id").filter(may_reach()), threshold)
     if some:
         c, e = worded("left_semi")
         c, e = settled(c.withColumn("c_row", F.monotonically_increasing_id())), settled(e.withColumn("e_row", F.monotonically_increasing_id()))
-        met = candidate_pairs(c, e, threshold).join(c, "c_row").join(e.drop("bundle_id"), "e_row").drop("c_row", "e_row")
-        scored = scored.unionByName(scored_from(met, threshold))
+        met = candidate_pairs(c, e, threshold).join(c, "c_row").join(e.drop("bundle_id"), "e_row").drop("c_row", "e_row", "c_text", "e_text")
+        more = scored_from(met, threshold)
+        scored = scored.unionByName(more if features else more.select(*scored.columns))
     return scored.drop(*MARKED)
 
 
+def scored_texts(c: DataFrame, e: DataFrame, threshold: float) -> DataFrame:
+    """(c_text, e_text, n_terms, n_numbers, n_phrases, score) of the pairs of marked texts, by their numbers
+    c_text and e_text, whose score is the threshold or more."""
+    cores = c.sparkSession.sparkContext.defaultParallelism
+    pairs = c.repartition(cores, "c_text").crossJoin(e).filter(may_reach())
+    return settled(scored_from(pairs, threshold).select("c_text", "e_text", "n_terms", "n_numbers", "n_phrases", "score"))
+
+
 def scored_from(pairs: DataFrame, threshold: float) -> DataFrame:
     return counted(pairs).withColumn("score", pair_score()).filter(F.col("score") >= threshold)
 

@@ -42,7 +42,7 @@ def contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _contexts(spark: SparkSession, sf_dir: str, claims: DataFrame) -> DataFrame:
     excerpts = _excerpts(spark, sf_dir)
-    best = match.best_candidates(match.score_candidates(claims, excerpts)).withColumn("role", F.lit("support"))
+    best = match.best_candidates(match.score_candidates(claims, excerpts, features=False)).withColumn("role", F.lit("support"))
     counter = match.scoped_candidates(claims, excerpts, _links(spark, sf_dir).filter("role = 'counter'"))
     cols = ["bundle_id", "claim_id", "claim_text", "claim_type", "role", "rank", "source_id", "excerpt_id", "score", "excerpt_text", "notes", "reliability", "source_date", "url"]
     return settled(best.select(*cols).unionByName(counter.select(*cols)))

@@ -1,11 +1,13 @@
 """Pair joins, first-wins dedupe and score bounds against all pairs."""
 
 import random
+import re
 from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
+from provenlake import tables
 from provenlake.operators import extract, match, pairs
 from provenlake.plans import lexical
 from provenlake.tables import once_a_text, with_texts
@@ -141,6 +143,38 @@ def shuffles(df):
     return df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].count("Exchange hashpartitioning")
 
 
+@pytest.mark.parametrize("rows", [40, 1000])
+def test_equal_texts_are_scored_once(spark, monkeypatch, rows):
+    """Few texts of many rows: each two of them are scored once and looked up, null and large bundles too."""
+    monkeypatch.setattr(match, "BUNDLE_ROWS", rows)
+    rng = random.Random(10)
+    texts = [sentence(rng, WORDS, n) for n in (3, 8, 8, 12, 20)] + ["", None]
+    claims = spark.createDataFrame([(rng.choice([1, 1, 2, 3, None]), f"c{k}", rng.choice(texts)) for k in range(100)], "bundle_id int, claim_id string, claim_text string")
+    excerpts = spark.createDataFrame([(rng.choice([1, 1, 2, 4, None]), "s", f"e{k}", rng.choice(texts)) for k in range(90)], "bundle_id int, source_id string, excerpt_id string, excerpt_text string")
+    cols = ["bundle_id", "claim_id", "excerpt_id", "score", "n_terms", "n_numbers", "n_phrases"]
+    every = match.score_bundle_pairs(claims, excerpts).filter("score >= 0.4")
+    want = Counter(tuple(r) for r in every.select(*cols).collect())
+    found = match.score_candidates(claims, excerpts)
+    assert set(found.columns) == set(every.columns) and Counter(tuple(r) for r in found.select(*cols).collect()) == want and want
+    least = match.score_candidates(claims, excerpts, features=False)
+    assert Counter(tuple(r) for r in least.select(*cols).collect()) == want
+    if rows == 1000:
+        assert not {"c_phrases", "e_phrases"} & set(least.columns)
+        assert "array_intersect" not in match.best_candidates(found).select("claim_id", "rank")._jdf.queryExecution().executedPlan().toString()
+
+
+def test_rows_of_a_task_are_bounded(spark, monkeypatch):
+    """Assessments deal claims and contexts out by their number, not by their bytes."""
+    run = lambda: lexical.QUERIES["guidance"](spark, "/root/testdata/sf0.001")
+    want = Counter(tuple(r) for r in run().collect())
+    monkeypatch.setattr(tables, "ROWS_A_TASK", 100)
+    found = run()
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    dealt = [int(n) for n in re.findall(r"hashpartitioning\(bundle_id#\d+L?, claim_id#\d+, (\d+)\), REPARTITION_BY_NUM", plan)]
+    assert dealt and min(dealt) >= want.total() // 100
+    assert Counter(tuple(r) for r in found.collect()) == want
+
+
 def test_pairs_are_not_shuffled(spark):
     """Claims and excerpts are dealt out by bundle once; their pairs stay where they meet."""
     claims, excerpts = claims_and_excerpts(spark, 8, 30)
