@@ -103,10 +103,12 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         if total > train_bytes:
             break
         upto = r.place
-    rows = [] if upto is None else sets.filter(F.xxhash64("id") <= upto).select("kind", "features").collect()
-    # copies of one text would make all its words look telling
-    by_kind = {kind: sorted({bytes(r.features) for r in rows if r.kind == kind}) for kind in (0, 1, UNLABELLED)}
-    del rows
+    # copies of one text would make all its words look telling; the driver takes one part at a time
+    found: dict[int, set[bytes]] = {0: set(), 1: set(), UNLABELLED: set()}
+    if upto is not None:
+        for r in sets.filter(F.xxhash64("id") <= upto).select("kind", "features").toLocalIterator():
+            found[r.kind].add(bytes(r.features))
+    by_kind = {kind: sorted(found.pop(kind)) for kind in (0, 1, UNLABELLED)}
     labelled = by_kind[0] + by_kind[1]
     prior = len(by_kind[1]) / max(1, len(labelled))
     sets = [[np.frombuffer(x, np.int32) for x in part] for part in (by_kind[1], by_kind[UNLABELLED] + labelled)]
@@ -135,19 +137,22 @@ def train(positives: list[np.ndarray], unlabelled: list[np.ndarray], prior: floa
         return Model(np.zeros(0, np.int64), np.zeros(0), -2.0)
     sets, n = [*positives, *unlabelled], p + u
     positive = np.arange(n) < p
-    in_p, in_u = np.zeros(1 << BITS, np.int64), np.zeros(1 << BITS, np.int64)
+    in_p, in_u = np.zeros(1 << BITS, np.int32), np.zeros(1 << BITS, np.int32)
     for part, held in ((positives, in_p), (unlabelled, in_u)):
         for one in part:  # a text's features are distinct
             held[one] += 1
+    # only few features are held by three positives: the rest is not laid out in doubles
+    may = np.flatnonzero(in_p >= 3)
+    in_p, in_u = in_p[may].astype(np.int64), in_u[may].astype(np.int64)
     # one text more of each feature: what no sampled text holds is not held for impossible
     share = (in_u + 1) / (u + 2)
     z = (in_p / p - share) / np.sqrt(share * (1 - share) / p)
-    used = np.flatnonzero((in_p >= 3) & (z > 5) & (in_p / p > 2 * share))
-    where = np.full(1 << BITS, -1)
+    used = may[(z > 5) & (in_p / p > 2 * share)]
+    where = np.full(1 << BITS, -1, np.int32)
     where[used] = np.arange(len(used))
     # only the features that are used are laid out together
     kept = [c[c >= 0] for c in (where[one] for one in sets)]
-    column, row = np.concatenate(kept), np.repeat(np.arange(n), [len(c) for c in kept])
+    column, row = np.concatenate(kept).astype(np.int64), np.repeat(np.arange(n), [len(c) for c in kept])
     w, b = np.zeros(len(used)), np.log(prior / (1 - prior))
     m, v = np.zeros(len(used) + 1), np.zeros(len(used) + 1)
     for t in range(1, steps + 1):

@@ -1,6 +1,7 @@
 """Operators on documents against their plain versions, and their edge cases."""
 
 import random
+import tracemalloc
 import zlib
 from itertools import combinations
 
@@ -205,6 +206,20 @@ def test_toxicity_sample_is_bounded(spark, monkeypatch):
     assert seen[0][0] <= 20 and 20 <= seen[0][1] <= 40 and seen[1][2] <= 2 * 200 and seen[1][1] < seen[0][1]
 
 
+def test_toxicity_training_takes_little_memory():
+    """Only features that three positives hold are laid out in doubles, not the whole range of features."""
+    rng = np.random.default_rng(5)
+    draw = lambda: np.unique(rng.integers(0, 1 << toxicity.BITS, 40)).astype(np.int32)
+    positives = [np.unique(np.append(draw(), [7, 11])).astype(np.int32) for _ in range(40)]
+    tracemalloc.start()
+    try:
+        model = toxicity.train(positives, [draw() for _ in range(400)], 0.1, steps=20)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert model.features.tolist() == [7, 11] and peak < 24 << 20
+
+
 def test_toxicity_on_held_out_labels(spark):
     """Most toxic documents that were never learnt from are caught, and few clean ones taken for such."""
     sf_dir = "/root/testdata/sf0.1"
