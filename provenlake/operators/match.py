@@ -274,9 +274,13 @@ def scoped_candidates(claims: DataFrame, excerpts: DataFrame, links: DataFrame,
     """Candidates among declared links(bundle_id, claim_id, excerpt_id, role) only: support links at
     the threshold or above, counter links whatever their score; the best k of each claim and role.
     Threshold and k may be columns of claims."""
-    pairs = claims.join(links, ["bundle_id", "claim_id"]).join(excerpts, ["bundle_id", "excerpt_id"])
+    # joins and ranks sort a task's rows, whose number must not grow with the table
+    parts = parts_for(claims.sparkSession, max(df.count() for df in (claims, links, excerpts)))
+    by_claim, by_excerpt = ["bundle_id", "claim_id"], ["bundle_id", "excerpt_id"]
+    pairs = claims.repartition(parts, *by_claim).join(links.repartition(parts, *by_claim), by_claim)
+    pairs = pairs.repartition(parts, *by_excerpt).join(excerpts.repartition(parts, *by_excerpt), by_excerpt)
     for df, text_col, side in ((claims, "claim_text", "c"), (excerpts, "excerpt_text", "e")):
         pairs = with_texts(pairs, once_a_text(df, text_col, functools.partial(featured, text_col=text_col, prefix=side)), text_col)
     scored = counted(pairs).withColumn("score", pair_score()).filter((F.col("role") == "counter") | (F.col("score") >= threshold))
     order = Window.partitionBy("bundle_id", "claim_id", "role").orderBy(F.desc("score"), "source_id", "excerpt_id")
-    return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    return scored.repartition(parts, *by_claim, "role").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)

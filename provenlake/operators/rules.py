@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions import text as T
-from ..tables import once_a_text, parts_for, with_texts
+from ..tables import once_a_text, parts_for, settled, with_texts
 
 CLAIM = ["bundle_id", "claim_id"]
 
@@ -88,12 +88,31 @@ def _of(role: str, condition: Column) -> Column:
     return F.coalesce(F.max((F.col("role") == role) & condition), F.lit(False))
 
 
-def evidence_facts(supported: DataFrame, reference_date: str | Column | None = None, freshness_days: int = K.FRESHNESS_DAYS) -> DataFrame:
-    """One row a claim with what all its contexts say together."""
+def evidence_rows(supported: DataFrame, reference_date: str | Column | None = None, freshness_days: int = K.FRESHNESS_DAYS) -> DataFrame:
+    """What evidence_facts() takes of each context, without its texts and links: these rows are shuffled."""
     direct, row = F.col("direct"), F.col("role") == "support"
     stale = F.lit(False) if reference_date is None else F.coalesce(F.datediff((F.lit(reference_date) if isinstance(reference_date, str) else reference_date).cast("date"), "source_date") > freshness_days, F.lit(False))
-    weak = F.col("reliability").isin("low", "unknown")
-    return supported.groupBy(*CLAIM).agg(
+    return supported.select(
+        *CLAIM, "role", "score", "numeric_direct", "date_direct", "direct", "adverse", "compared",
+        (direct & F.col("strong")).alias("strong_direct"),
+        (F.coalesce(F.col("url"), F.lit("")) != "").alias("has_url"),
+        (direct & F.col("reliability").isin("low", "unknown")).alias("weak_direct"),
+        (direct & stale).alias("stale_direct"),
+        F.when(direct, F.col("source_id")).alias("direct_source"),
+        F.when(direct & stale, F.concat("source_id", F.lit(":"), F.col("source_date").cast("string"))).alias("stale_source"),
+        F.when(~row, F.concat("source_id", F.lit(":"), "excerpt_id")).alias("counter_id"),
+        F.when(direct & (F.size("triggers") > 0), F.col("triggers")).alias("excuses"),
+    )
+
+
+def evidence_facts(rows: DataFrame) -> DataFrame:
+    """One row a claim with what all its contexts, as evidence_rows() has them, say together."""
+    direct, row = F.col("direct"), F.col("role") == "support"
+
+    def listed(name: str) -> Column:
+        return F.array_join(F.array_sort(F.collect_list(name)), ",")
+
+    return rows.groupBy(*CLAIM).agg(
         F.count_if(row).alias("n_support"),
         F.count_if(~row).alias("n_counter"),
         F.count_if(direct).alias("n_direct"),
@@ -102,15 +121,15 @@ def evidence_facts(supported: DataFrame, reference_date: str | Column | None = N
         _of("support", F.col("numeric_direct")).alias("any_numeric"),
         _of("support", F.col("date_direct")).alias("any_date"),
         _of("support", F.col("adverse")).alias("any_adverse"),
-        _of("support", direct & F.col("strong")).alias("strong_causal"),
+        _of("support", F.col("strong_direct")).alias("strong_causal"),
         _of("support", F.col("compared")).alias("any_comparison"),
-        _of("support", F.coalesce(F.col("url"), F.lit("")) != "").alias("any_url"),
-        (F.count_if(direct & weak) == F.count_if(direct)).alias("all_weak"),
-        (F.count_if(direct & stale) == F.count_if(direct)).alias("all_stale"),
-        F.array_join(F.array_sort(F.collect_list(F.when(direct, F.col("source_id")))), ",").alias("direct_sources"),
-        F.array_join(F.array_sort(F.collect_list(F.when(direct & stale, F.concat("source_id", F.lit(":"), F.col("source_date").cast("string"))))), ",").alias("stale_sources"),
-        F.array_join(F.array_sort(F.collect_list(F.when(~row, F.concat("source_id", F.lit(":"), "excerpt_id")))), ",").alias("counter_ids"),
-        F.array_distinct(F.flatten(F.collect_list(F.when(direct & (F.size("triggers") > 0), F.col("triggers"))))).alias("excused"),
+        _of("support", F.col("has_url")).alias("any_url"),
+        (F.count_if("weak_direct") == F.count_if(direct)).alias("all_weak"),
+        (F.count_if("stale_direct") == F.count_if(direct)).alias("all_stale"),
+        listed("direct_source").alias("direct_sources"),
+        listed("stale_source").alias("stale_sources"),
+        listed("counter_id").alias("counter_ids"),
+        F.array_distinct(F.flatten(F.collect_list("excuses"))).alias("excused"),
     )
 
 
@@ -209,6 +228,14 @@ def guidance(codes: Column) -> Column:
     return F.when(F.col("claim_type") == "unclassified", none).when(F.size(by_code) > 0, by_code).otherwise(by_label)
 
 
+def with_sources(claims: DataFrame, sources: DataFrame) -> DataFrame:
+    """claims with has_sources: whether their bundle has a row in sources.  The bundles without any are
+    looked for first: they are few as a rule, and then go to every task instead of a shuffle of all claims."""
+    named = claims.filter("bundle_id is not null").select("bundle_id").distinct()
+    bare = settled(named.join(sources.select("bundle_id").distinct(), "bundle_id", "left_anti")).withColumn("bare", F.lit(True))
+    return claims.join(bare, "bundle_id", "left").withColumn("has_sources", F.col("bundle_id").isNotNull() & F.col("bare").isNull()).drop("bare")
+
+
 def assess_claims(claims: DataFrame, contexts: DataFrame, sources: DataFrame, reference_date: str | Column | None = None, freshness_days: int = K.FRESHNESS_DAYS) -> DataFrame:
     """One assessment a claim of claims(bundle_id, claim_id, claim_text, claim_type): support_signal,
     flags, support_label, risk_label, explanation, rewrite_guidance, limitations and the evidence counts.
@@ -219,10 +246,8 @@ def assess_claims(claims: DataFrame, contexts: DataFrame, sources: DataFrame, re
     """
     # lists are gathered by sorting a task's rows, whose number must not grow with the table
     parts = parts_for(claims.sparkSession, max(contexts.count(), claims.count()))
-    facts = evidence_facts(with_support(contexts).repartition(parts, *CLAIM), reference_date, freshness_days)
-    claims = claims.repartition(parts, "bundle_id")
-    has = sources.select("bundle_id").distinct().withColumn("has_sources", F.lit(True))
-    joined = claims.join(has, "bundle_id", "left").withColumn("has_sources", F.coalesce("has_sources", F.lit(False))).join(facts, CLAIM, "left")
+    facts = evidence_facts(evidence_rows(with_support(contexts), reference_date, freshness_days).repartition(parts, *CLAIM))
+    joined = with_sources(claims, sources).repartition(parts, *CLAIM).join(facts, CLAIM, "left")
     filled = joined.na.fill(0, ["n_support", "n_counter", "n_direct", "best_support", "best_counter"]).na.fill(
         False, ["any_numeric", "any_date", "any_adverse", "strong_causal", "any_comparison", "any_url", "all_weak", "all_stale"]
     )

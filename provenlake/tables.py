@@ -44,8 +44,8 @@ def settled(df: DataFrame) -> DataFrame:
 
 
 #: Rows that one task may have where a job deals rows out by its own count of them: parts put together by
-#: their bytes hold ever more rows, as equal texts shrink well.
-ROWS_A_TASK = 250_000
+#: their bytes hold ever more rows, as equal texts shrink well.  A task sorts them in some 100 to 200 MB.
+ROWS_A_TASK = 100_000
 
 
 def parts_for(spark: SparkSession, rows: int) -> int:

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from provenlake import tables
-from provenlake.operators import extract, match, pairs
+from provenlake.operators import extract, match, pairs, rules
 from provenlake.plans import lexical
 from provenlake.tables import once_a_text, with_texts
 
@@ -175,6 +175,52 @@ def test_rows_of_a_task_are_bounded(spark, monkeypatch):
     assert Counter(tuple(r) for r in found.collect()) == want
 
 
+def dealt_out(df):
+    """(dealt by row count, dealt otherwise): how many parts each shuffle by keys of df's plan makes."""
+    plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    found = re.findall(r"hashpartitioning\(.*?, (\d+)\), (\w+)", plan)
+    return [int(n) for n, why in found if why == "REPARTITION_BY_NUM"], [int(n) for n, why in found if why != "REPARTITION_BY_NUM"]
+
+
+def test_linked_pairs_are_dealt_by_count(spark, monkeypatch):
+    """No join or rank of linked pairs takes parts put together by their bytes; rows are those of all pairs."""
+    claims, excerpts = claims_and_excerpts(spark, 11, 80)
+    rng = random.Random(12)
+    links = [(rng.choice([1, 1, 2, None]), f"c{rng.randrange(80)}", f"e{rng.randrange(80)}", rng.choice(["support", "counter"])) for _ in range(900)]
+    links = spark.createDataFrame(links, "bundle_id int, claim_id string, excerpt_id string, role string").distinct()
+    cols = ["bundle_id", "claim_id", "excerpt_id", "role", "score"]
+    every = match.score_bundle_pairs(claims, excerpts).join(links, ["bundle_id", "claim_id", "excerpt_id"])
+    want = Counter(tuple(r) for r in every.filter("role = 'counter' or score >= 0.4").select(*cols).collect())
+    monkeypatch.setattr(tables, "ROWS_A_TASK", 10)
+    found = match.scoped_candidates(claims, excerpts, links.localCheckpoint(), k=1000)
+    by_count, otherwise = dealt_out(found)
+    assert len(by_count) == 5 and min(by_count) >= 8 and not otherwise
+    assert Counter(tuple(r) for r in found.select(*cols).collect()) == want and want
+
+
+def test_audits_shuffle_claims_once(spark):
+    """Assessments shuffle claims once and contexts once, without texts or links of the evidence."""
+    found = lexical.QUERIES["guidance"](spark, "/root/testdata/sf0.001")
+    by_count, otherwise = dealt_out(found)
+    assert len(by_count) == 2 and not otherwise
+    plan = found._jdf.queryExecution().optimizedPlan()
+    nodes = [node for node in map(plan.p, range(200)) if node is not None]
+    dealt = [str(node.output().mkString(",")) for node in nodes if node.nodeName() == "RepartitionByExpression"]
+    names = [name for columns in dealt for name in re.findall(r"(\w+)#", columns)]
+    assert len(dealt) == 2 and "direct_source" in names
+    assert not set(names) & {"excerpt_text", "evidence", "notes", "url", "reliability", "triggers", "source_date"}
+
+
+def test_bundles_without_sources(spark):
+    """Claims of bundles that no source has, and of none, are told apart, repeated sources and nulls too."""
+    claims = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c"), (None, "d"), (3, "e"), (3, "e")], "bundle_id int, claim_id string")
+    sources = spark.createDataFrame([(1,), (1,), (None,), (4,)], "bundle_id int")
+    want = Counter([(1, "a", True), (1, "b", True), (2, "c", False), (None, "d", False), (3, "e", False), (3, "e", False)])
+    found = lambda s: Counter(tuple(r) for r in rules.with_sources(claims, s).select("bundle_id", "claim_id", "has_sources").collect())
+    assert found(sources) == want
+    assert found(sources.limit(0)) == Counter({(b, c, False): n for (b, c, _), n in want.items()})
+
+
 def test_pairs_are_not_shuffled(spark):
     """Claims and excerpts are dealt out by bundle once; their pairs stay where they meet."""
     claims, excerpts = claims_and_excerpts(spark, 8, 30)
