@@ -195,6 +195,26 @@ def test_decontamination_of_odd_rows(spark):
     assert got(found, "doc_id", "item_id", "window_tokens", "matched") == sorted([(None, None, 6, 6), (None, 2, 6, 6), (7, None, 6, 6), (7, 2, 6, 6), (8, 2, 20, 20)], key=repr)
 
 
+def test_decontamination_sends_equal_items_once_and_rounds_apart(spark, monkeypatch):
+    """Copies of an item add no round, and a round's seeds are gone when the next one begins."""
+    rng = random.Random(8)
+    texts = [" ".join(rng.choices([f"b{x}" for x in range(60)], k=20)) for _ in range(4)]
+    items = [(100 * copy + k, text) for copy in range(30) for k, text in enumerate(texts)] + [(0, texts[1])]
+    rows = [(k, f"before {texts[k % 3]} after {k % 5}") for k in range(40)] + [(None, texts[2])]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    made, own = [], decontaminate.written
+    monkeypatch.setattr(decontaminate, "written", lambda df, name: made.append(name) or own(df, name))
+    want = sorted([(*k, *v) for k, v in brute.overlaps(rows, items).items()], key=repr)
+    for sent, most in ((4 * 20 * 5, 1), (20 * 5, 4)):
+        made.clear()
+        found = decontaminate.contaminated_pairs(table(spark, rows), benchmark, sent_seeds=sent)
+        assert got(found, "doc_id", "item_id", "window_tokens", "matched") == want
+        assert 1 <= made.count("overlaps") <= most
+        assert "i_at" not in found._jdf.queryExecution().toString()
+    left = decontaminate.drop_contaminated(table(spark, [*rows, (900, "clean")]), benchmark, sent_seeds=20 * 5)
+    assert got(left, "doc_id") == [(900,)]
+
+
 def test_toxicity_sample_is_bounded(spark, monkeypatch):
     """Rows that share an id count once, and the features' bytes are bounded too."""
     seen = []
