@@ -129,8 +129,8 @@ def excerpt_kind() -> Column:
 
 
 def marked_features(df: DataFrame, text_col: str, prefix: str, threshold: float) -> DataFrame:
-    """featured() of the distinct texts of df, with marks: a bit for each term and for each figure; of
-    claims also how many marks an excerpt of each kind must share, of excerpts the kind."""
+    """featured() of the distinct texts of df, numbered, with marks: a bit for each term and for each
+    figure; of claims also how many marks an excerpt of each kind must share, of excerpts the kind."""
 
     none, one = F.lit(0).cast("long"), F.lit(1).cast("long")
 
@@ -144,7 +144,7 @@ def marked_features(df: DataFrame, text_col: str, prefix: str, threshold: float)
         return [column(k) for k in range(columns)]
 
     def told(texts: DataFrame) -> DataFrame:
-        rows = featured(texts, text_col, prefix)
+        rows = featured(texts, text_col, prefix).withColumn(f"{prefix}_text", F.monotonically_increasing_id())
         rows = rows.withColumns({f"{prefix}_marks_{k}": m for k, m in enumerate(marks(F.col(f"{prefix}_terms"), MARKS))} | {f"{prefix}_figures": marks(figures(prefix), 1)[0]})
         if prefix == "e":
             return rows.withColumn("e_kind", excerpt_kind())
@@ -166,8 +166,9 @@ def may_reach() -> Column:
 MARKED = ["e_kind", *[f"c_needs_{kind}" for kind in KINDS], *[f"{side}_{name}" for side in "ce" for name in ("figures", *[f"marks_{k}" for k in range(MARKS)])]]
 
 
-def candidate_pairs(c: DataFrame, e: DataFrame, threshold: float | Column) -> DataFrame:
-    """(c_row, e_row): the pairs of featured rows of a bundle that can reach the threshold, and others.
+def candidate_keys(c: DataFrame, e: DataFrame, threshold: float | Column) -> tuple[DataFrame, DataFrame]:
+    """(bundle_id, c_row, kind, key) and (bundle_id, e_row, kind, key): featured rows of a bundle that can
+    reach the threshold have a key in common, and others may.
 
     Claims and excerpts meet by shared numbers and dates, and by terms: a claim that must share m of its
     n terms shares one of the n - m + 1 that the fewest excerpts of the bundle have, so it looks for these
@@ -182,14 +183,55 @@ def candidate_pairs(c: DataFrame, e: DataFrame, threshold: float | Column) -> Da
     wanted = by_rarity(wanted, often, ["bundle_id", "key"], "c_row").filter("rows > 0")
     probes = F.filter(F.array(*[F.when(F.col("place") <= F.col(f"within_{k}"), k) for k in KINDS]), lambda k: k.isNotNull())
     probes = wanted.select("bundle_id", "c_row", F.explode(probes).alias("kind"), "key")
-    probes = probes.unionByName(c.select("bundle_id", "c_row", F.lit(-1).alias("kind"), F.explode(figures("c")).alias("key")))
+    return probes.unionByName(c.select("bundle_id", "c_row", F.lit(-1).alias("kind"), F.explode(figures("c")).alias("key"))), postings
+
+
+def candidate_pairs(c: DataFrame, e: DataFrame, threshold: float | Column) -> DataFrame:
+    """(c_row, e_row): the pairs of featured rows of a bundle that can reach the threshold, and others, by
+    their keys (see candidate_keys)."""
+    probes, postings = candidate_keys(c, e, threshold)
     return grid_join(probes, postings, ["bundle_id", "kind", "key"]).select("c_row", "e_row").distinct()
 
 
+def scored_large(c: DataFrame, e: DataFrame, told: dict[str, DataFrame], threshold: float) -> DataFrame:
+    """Pairs of the rows of large bundles, (bundle_id, ..., c_text) and (bundle_id, ..., e_text), that reach
+    the threshold, without their texts' features; c and e are read several times.
+
+    A bundle's distinct texts are paired and scored, then the rows that have them are put in.  The side
+    of fewer texts goes to every task, in rounds of at most SENT_TEXTS; of the other side each text lies
+    in one task with all its keys, so no pair is shuffled with what it is scored by.
+    """
+    spark = c.sparkSession
+    rows, texts = {}, {}
+    for side, df in (("c", c), ("e", e)):
+        own = settled(df.select("bundle_id", f"{side}_text").distinct().withColumn(f"{side}_row", F.monotonically_increasing_id()))
+        rows[side] = settled(df.join(own, ["bundle_id", f"{side}_text"]))
+        texts[side] = settled(own.join(told[side].drop("claim_text", "excerpt_text"), f"{side}_text"))
+    counts = {side: df.count() for side, df in texts.items()}
+    few, many = sorted("ce", key=lambda side: counts[side])
+    parts = parts_for(spark, counts[many])
+    rounds = max(1, -(-counts[few] // SENT_TEXTS))
+    found = None
+    for turn in range(rounds):
+        sent = texts[few].filter(F.pmod(F.xxhash64(f"{few}_row"), F.lit(rounds)) == turn)
+        keys = dict(zip("ce", candidate_keys(*[sent if side == few else texts[side].repartition(parts, f"{side}_row") for side in "ce"], threshold)))
+        met = keys[many].join(F.broadcast(keys[few]), ["bundle_id", "kind", "key"]).select("c_row", "e_row").distinct()
+        pairs = met.join(texts[many].repartition(parts, f"{many}_row"), f"{many}_row").join(F.broadcast(sent.drop("bundle_id")), f"{few}_row")
+        best = settled(scored_from(pairs, threshold).select("c_row", "e_row", "n_terms", "n_numbers", "n_phrases", "score"))
+        found = best if found is None else found.unionByName(best)
+    # the longer table first: its rows meet pairs that are still narrow
+    placed = grid_join(found, rows[many].drop("bundle_id"), [f"{many}_row"])
+    if rows[few].count() <= SENT_TEXTS:
+        return placed.join(F.broadcast(rows[few]), f"{few}_row").drop("c_row", "e_row")
+    return grid_join(placed, rows[few], [f"{few}_row"]).drop("c_row", "e_row")
+
+
 #: Most claims or excerpts of a bundle all of whose pairs are looked at.
 BUNDLE_ROWS = 256
 #: Most pairs of distinct texts that are scored by themselves; their scores go to every task.
 TEXT_PAIRS = 1 << 18
+#: Most texts, or rows, of the shorter side of large bundles that go to every task at once.
+SENT_TEXTS = 20_000
 
 
 def score_candidates(claims: DataFrame, excerpts: DataFrame, threshold: float = K.ADMISSION, features: bool = True) -> DataFrame:
@@ -213,34 +255,32 @@ def score_candidates(claims: DataFrame, excerpts: DataFrame, threshold: float =
     parts = parts_for(claims.sparkSession, rows)
     by_text = told["c"].count() * told["e"].count() <= min(rows, TEXT_PAIRS)
     if by_text:
-        told = {side: settled(df.withColumn(f"{side}_text", F.monotonically_increasing_id())) for side, df in told.items()}
         scores = scored_texts(told["c"], told["e"], threshold)
 
     def dealt(how: str) -> tuple[DataFrame, DataFrame]:
         # dealt out by bundle before the features come, which are wider than the texts
         return tuple((df.join(large, "bundle_id", how) if some else df).repartition(parts, "bundle_id") for df in (claims, excerpts))
 
-    def worded(how: str) -> tuple[DataFrame, DataFrame]:
+    def numbered(how: str) -> tuple[DataFrame, DataFrame]:
         c, e = dealt(how)
-        return with_texts(c, told["c"], "claim_text"), with_texts(e, told["e"], "excerpt_text")
+        return with_texts(c, told["c"].select("claim_text", "c_text"), "claim_text"), with_texts(e, told["e"].select("excerpt_text", "e_text"), "excerpt_text")
+
+    def with_features(pairs: DataFrame) -> DataFrame:
+        return pairs.join(told["c"].drop("claim_text"), "c_text").join(told["e"].drop("excerpt_text"), "e_text")
 
     if by_text:
-        c, e = dealt("left_anti")
-        c, e = with_texts(c, told["c"].select("claim_text", "c_text"), "claim_text"), with_texts(e, told["e"].select("excerpt_text", "e_text"), "excerpt_text")
+        c, e = numbered("left_anti")
         scored = c.join(e, "bundle_id").join(F.broadcast(scores), ["c_text", "e_text"])
-        if features:
-            scored = scored.join(told["c"].drop("claim_text"), "c_text").join(told["e"].drop("excerpt_text"), "e_text")
-        scored = scored.drop("c_text", "e_text")
+        scored = with_features(scored) if features else scored
     else:
-        c, e = worded("left_anti")
+        c, e = dealt("left_anti")
+        c, e = with_texts(c, told["c"], "claim_text"), with_texts(e, told["e"], "excerpt_text")
         scored = scored_from(c.join(e, "bundle_id").filter(may_reach()), threshold)
     if some:
-        c, e = worded("left_semi")
-        c, e = settled(c.withColumn("c_row", F.monotonically_increasing_id())), settled(e.withColumn("e_row", F.monotonically_increasing_id()))
-        met = candidate_pairs(c, e, threshold).join(c, "c_row").join(e.drop("bundle_id"), "e_row").drop("c_row", "e_row", "c_text", "e_text")
-        more = scored_from(met, threshold)
-        scored = scored.unionByName(more if features else more.select(*scored.columns))
-    return scored.drop(*MARKED)
+        more = scored_large(*[settled(df) for df in numbered("left_semi")], told, threshold)
+        more = with_features(more) if features else more
+        scored = scored.unionByName(more) if features else scored.select(*more.columns).unionByName(more)
+    return scored.drop("c_text", "e_text", *MARKED)
 
 
 def scored_texts(c: DataFrame, e: DataFrame, threshold: float) -> DataFrame:
@@ -255,12 +295,12 @@ def scored_from(pairs: DataFrame, threshold: float) -> DataFrame:
     return counted(pairs).withColumn("score", pair_score()).filter(F.col("score") >= threshold)
 
 
-def score_blocked_pairs(claims: DataFrame, excerpts: DataFrame, threshold: float = K.ADMISSION) -> DataFrame:
+def score_blocked_pairs(claims: DataFrame, excerpts: DataFrame, threshold: float = K.ADMISSION, features: bool = True) -> DataFrame:
     """Pairs of any bundle at or above a positive threshold, in the claims' bundles."""
     if threshold <= 0:
         raise ValueError("pairs without a common key can only be left out above a threshold of 0")
     own = claims.withColumnRenamed("bundle_id", "_bundle").withColumn("bundle_id", F.lit(0))
-    found = score_candidates(own, excerpts.withColumn("bundle_id", F.lit(0)), threshold)
+    found = score_candidates(own, excerpts.withColumn("bundle_id", F.lit(0)), threshold, features)
     return found.withColumn("bundle_id", F.col("_bundle")).drop("_bundle")
 
 

@@ -144,7 +144,7 @@ def blocked_pairs(spark, sf_dir):
     claims = extract.claim_sentences(items, "item_id").select(F.lit(0).alias("bundle_id"), F.format_string("c-%d-%d-%d", "item_id", "paragraph", "sentence").alias("claim_id"), F.col("text").alias("claim_text"))
     turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
     turns = turns.select(F.lit(0).alias("bundle_id"), F.col("conv_id").cast("string").alias("source_id"), F.format_string("%d-%d", "conv_id", "turn").alias("excerpt_id"), F.col("text").alias("excerpt_text"))
-    return match.score_blocked_pairs(claims, turns, BLOCKED_LEAST).select("claim_id", "source_id", "excerpt_id", "score")
+    return match.score_blocked_pairs(claims, turns, BLOCKED_LEAST, features=False).select("claim_id", "source_id", "excerpt_id", "score")
 
 
 # --- rules --------------------------------------------------------------------

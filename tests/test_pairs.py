@@ -163,6 +163,30 @@ def test_equal_texts_are_scored_once(spark, monkeypatch, rows):
         assert "array_intersect" not in match.best_candidates(found).select("claim_id", "rank")._jdf.queryExecution().executedPlan().toString()
 
 
+@pytest.mark.parametrize("sent", [1000, 3])
+def test_pairs_of_large_bundles_move_without_features(spark, monkeypatch, sent):
+    """Pairs of a large bundle are scored where the longer side's texts lie, and settled narrow; in rounds
+    of the shorter side, too, whichever it is, and rows of equal texts come back each."""
+    monkeypatch.setattr(match, "SENT_TEXTS", sent)
+    monkeypatch.setattr(match, "BUNDLE_ROWS", 5)
+    monkeypatch.setattr(match, "TEXT_PAIRS", 0)
+    kept, own = [], match.settled
+    monkeypatch.setattr(match, "settled", lambda df: kept.append(df) or own(df))
+    claims, excerpts = claims_and_excerpts(spark, 13, 40)
+    cols = ["bundle_id", "claim_id", "source_id", "excerpt_id", "score", "n_terms"]
+    for c, e in ((claims.limit(15), excerpts), (claims, excerpts.limit(15))):
+        want = Counter(tuple(r) for r in match.score_bundle_pairs(c, e).filter("score >= 0.2").select(*cols).collect())
+        kept.clear()
+        found = match.score_candidates(c, e, 0.2, features=False)
+        assert Counter(tuple(r) for r in found.select(*cols).collect()) == want and want
+        pairs = [df for df in kept if {"c_row", "e_row", "score"} <= set(df.columns)]
+        assert len(pairs) == 1 if sent == 1000 else len(pairs) > 1
+        for df in pairs:
+            assert set(df.columns) == {"c_row", "e_row", "n_terms", "n_numbers", "n_phrases", "score"}
+            dealt = re.findall(r"hashpartitioning\((.*?), \d+\), (\w+)", df._jdf.queryExecution().optimizedPlan().toString() + df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0])
+            assert not any("c_row" in by and "e_row" in by for by, _ in dealt)
+
+
 def test_rows_of_a_task_are_bounded(spark, monkeypatch):
     """Assessments deal claims and contexts out by their number, not by their bytes."""
     run = lambda: lexical.QUERIES["guidance"](spark, "/root/testdata/sf0.001")
