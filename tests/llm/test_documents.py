@@ -151,6 +151,21 @@ def test_top_k(spark, monkeypatch):
     assert topk_search.top_k(table(spark, []), table(spark, [])).count() == 0
 
 
+def test_equal_queries_are_searched_once(spark, monkeypatch):
+    """Queries of the same words, in any order and many times over, get the same results from one search."""
+    rows = brute.corpus(seed=6, n=60)
+    rng = random.Random(3)
+    queries = [(9000 + k, "w1 w2 w2 w5") for k in range(30)] + [(9100, "w2 w5 w1 w2"), (9101, "w1 w2 w5"), (9102, "W5 w2! w1 w2")] + [(9200 + k, text) for k, (_, text) in enumerate(rows[:5])]
+    rng.shuffle(queries)
+    seen, own = [], topk_search.Queries.of
+    monkeypatch.setattr(topk_search.Queries, "of", lambda part: seen.append(set(part["query"].to_pylist())) or own(part))
+    found = got(topk_search.top_k(table(spark, rows), table(spark, queries)), "query_id", "rank", "doc_id", "score")
+    want = sorted(brute.bm25(rows, queries), key=repr)
+    assert [r[:3] for r in found] == [r[:3] for r in want] and len(want) > 100
+    assert [r[3] for r in found] == pytest.approx([r[3] for r in want], abs=2e-6)
+    assert 2 <= len(set().union(*seen)) <= 7
+
+
 @pytest.mark.parametrize("rounds", [10**6, 1500])
 def test_decontamination(spark, rounds):
     rows = brute.corpus(seed=2, n=50, vocabulary=200, lo=30)
