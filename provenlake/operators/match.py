@@ -209,8 +209,9 @@ def scored_large(c: DataFrame, e: DataFrame, told: dict[str, DataFrame], thresho
         texts[side] = settled(own.join(told[side].drop("claim_text", "excerpt_text"), f"{side}_text"))
     counts = {side: df.count() for side, df in texts.items()}
     few, many = sorted("ce", key=lambda side: counts[side])
-    parts = parts_for(spark, counts[many])
     rounds = max(1, -(-counts[few] // SENT_TEXTS))
+    # one pair in 64 at least may be scored
+    parts = parts_for(spark, max(counts[many], counts["c"] * counts["e"] // (64 * rounds)))
     found = None
     for turn in range(rounds):
         sent = texts[few].filter(F.pmod(F.xxhash64(f"{few}_row"), F.lit(rounds)) == turn)
@@ -258,8 +259,9 @@ def score_candidates(claims: DataFrame, excerpts: DataFrame, threshold: float =
         scores = scored_texts(told["c"], told["e"], threshold)
 
     def dealt(how: str) -> tuple[DataFrame, DataFrame]:
-        # dealt out by bundle before the features come, which are wider than the texts
-        return tuple((df.join(large, "bundle_id", how) if some else df).repartition(parts, "bundle_id") for df in (claims, excerpts))
+        # dealt out by bundle before the features come, which are wider than the texts; a large bundle is no task's
+        kept = [df.join(large, "bundle_id", how) if some else df for df in (claims, excerpts)]
+        return tuple(df if how == "left_semi" else df.repartition(parts, "bundle_id") for df in kept)
 
     def numbered(how: str) -> tuple[DataFrame, DataFrame]:
         c, e = dealt(how)
