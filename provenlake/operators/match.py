@@ -198,7 +198,7 @@ def scored_large(c: DataFrame, e: DataFrame, told: dict[str, DataFrame], thresho
     the threshold, without their texts' features; c and e are read several times.
 
     A bundle's distinct texts are paired and scored, then the rows that have them are put in.  The side
-    of fewer texts goes to every task, in rounds of at most SENT_TEXTS; of the other side each text lies
+    of fewer texts goes to every task, in rounds of about SENT_TEXTS and SENT_KEYS at most; of the other side each text lies
     in one task with all its keys, so no pair is shuffled with what it is scored by.
     """
     spark = c.sparkSession
@@ -209,7 +209,9 @@ def scored_large(c: DataFrame, e: DataFrame, told: dict[str, DataFrame], thresho
         texts[side] = settled(own.join(told[side].drop("claim_text", "excerpt_text"), f"{side}_text"))
     counts = {side: df.count() for side, df in texts.items()}
     few, many = sorted("ce", key=lambda side: counts[side])
-    rounds = max(1, -(-counts[few] // SENT_TEXTS))
+    # a claim's term may be a key of every kind
+    sent_keys = texts[few].agg(F.coalesce(F.sum(F.size(f"{few}_terms")), F.lit(0))).first()[0] * (len(KINDS) if few == "c" else 1)
+    rounds = max(1, -(-counts[few] // SENT_TEXTS), -(-sent_keys // SENT_KEYS))
     # one pair in 64 at least may be scored
     parts = parts_for(spark, max(counts[many], counts["c"] * counts["e"] // (64 * rounds)))
     found = None
@@ -233,6 +235,8 @@ BUNDLE_ROWS = 256
 TEXT_PAIRS = 1 << 18
 #: Most texts, or rows, of the shorter side of large bundles that go to every task at once.
 SENT_TEXTS = 20_000
+#: Most of their keys, about.
+SENT_KEYS = 1_000_000
 
 
 def score_candidates(claims: DataFrame, excerpts: DataFrame, threshold: float = K.ADMISSION, features: bool = True) -> DataFrame:

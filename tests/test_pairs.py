@@ -163,11 +163,11 @@ def test_equal_texts_are_scored_once(spark, monkeypatch, rows):
         assert "array_intersect" not in match.best_candidates(found).select("claim_id", "rank")._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("sent", [1000, 3])
-def test_pairs_of_large_bundles_move_without_features(spark, monkeypatch, sent):
+@pytest.mark.parametrize(("name", "sent"), [("SENT_TEXTS", 1000), ("SENT_TEXTS", 3), ("SENT_KEYS", 20)])
+def test_pairs_of_large_bundles_move_without_features(spark, monkeypatch, name, sent):
     """Pairs of a large bundle are scored where the longer side's texts lie, and settled narrow; in rounds
     of the shorter side, too, whichever it is, and rows of equal texts come back each."""
-    monkeypatch.setattr(match, "SENT_TEXTS", sent)
+    monkeypatch.setattr(match, name, sent)
     monkeypatch.setattr(match, "BUNDLE_ROWS", 5)
     monkeypatch.setattr(match, "TEXT_PAIRS", 0)
     kept, own = [], match.settled
